@@ -76,7 +76,8 @@ def _number(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str) -> None:
     """Write a folder of CSV files with header; quotes are doubled, as ``read_ledger`` expects."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    kept = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode("overwrite").options(**kept).csv(path)
 
 
 def enriched_view(df: DataFrame, cfg: LedgerConfig = BATCH) -> DataFrame:
