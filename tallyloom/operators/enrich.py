@@ -33,7 +33,7 @@ def assign_batches(df: DataFrame, cfg: LedgerConfig = BATCH) -> DataFrame:
         numbered = with_position(df, ROW_KEY, "_position")
         if cfg.max_rows is not None:
             numbered = numbered.where(F.col("_position") < cfg.max_rows)
-    batch = F.floor(F.col("_position") / cfg.batch_size).cast("long")
+    batch = F.expr(f"_position div {int(cfg.batch_size)}")
     return numbered.withColumn("batch_id", batch).drop("_position")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.sources.staging import stage
+
 ROW_BITS = 18
 BLOCK_BITS = 22
 
@@ -18,11 +20,11 @@ def with_position(df: DataFrame, key: str, out: str) -> DataFrame:
     rows are shuffled once, by block; the counts combine on the map side and need the key alone.
     """
     block = F.shiftright(F.col(key), ROW_BITS)
-    section = F.shiftright(F.col("_block"), BLOCK_BITS)
-    counts = (
+    # Written, since it is read twice: a few bytes per block.
+    counts = stage(
         df.groupBy(block.alias("_block"))
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_section", section)
+        .withColumn("_section", F.shiftright(F.col("_block"), BLOCK_BITS))
     )
     in_section = Window.partitionBy("_section").orderBy("_block")
     blocks = counts.withColumn("_before_block", F.sum("_n").over(in_section) - F.col("_n"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,11 +46,12 @@ def detect_anomalies(df: DataFrame, cfg: LedgerConfig = BATCH) -> DataFrame:
     threshold = high_threshold(df, cfg)
     keys = duplicate_columns(df)
     flagged = flag_duplicates(df, keys, "_duplicate", cfg.hot_rows)
-    high = f"Unusually high amount (> {threshold_text(threshold)})"
-    reasons = F.concat_ws(
-        ", ",
-        F.when(is_high(threshold), F.lit(high)),
-        F.when(is_negative(), F.lit(NEGATIVE)),
-        F.when(F.col("_duplicate"), F.lit(DUPLICATE)),
-    )
-    return flagged.withColumn(REASONS, reasons).withColumn(FLAG, F.col(REASONS) != "").drop("_duplicate")
+    tests = {
+        f"Unusually high amount (> {threshold_text(threshold)})": is_high(threshold),
+        NEGATIVE: is_negative(),
+        DUPLICATE: F.col("_duplicate"),
+    }
+    reasons = F.concat_ws(", ", *[F.when(test, F.lit(text)) for text, test in tests.items()])
+    # The same as reasons != "", without building the text where only the flag is asked for.
+    hit = reduce(or_, [F.coalesce(test, F.lit(False)) for test in tests.values()])
+    return flagged.withColumns({REASONS: reasons, FLAG: hit}).drop("_duplicate")

@@ -302,34 +302,41 @@ def merged_predictions(spark, sf_dir):
     return merged(spark, sf_dir).select("row_index", *enrich.PREDICTION)
 
 
-def priority_classifier(payload: str) -> str:
-    """A deterministic stand-in for a model: the category follows the order priority."""
+def priority_classifier() -> enrich.Classifier:
+    """A deterministic stand-in for a model: the category follows the order priority.
+
+    An inner function travels to the workers by value, so they need not have this package.
+    """
     labels = {"1": "Travel", "2": "Software", "3": "Meals", "4": "Utilities", "5": "Miscellaneous"}
-    results = []
-    for row in json.loads(payload):
-        unsure = row["amount"] is None
-        result = {
-            "row_index": row["row_index"],
-            "suspicious": unsure,
-            "suspicious_reason": "No amount" if unsure else "Looks normal",
-            "confidence": row["row_index"] % 100 / 100,
-        }
-        if row["description"][0] in labels:
-            result["category"] = labels[row["description"][0]]
-        results.append(result)
-    return json.dumps({"results": results})
+
+    def answer(payload: str) -> str:
+        results = []
+        for row in json.loads(payload):
+            unsure = row["amount"] is None
+            result = {
+                "row_index": row["row_index"],
+                "suspicious": unsure,
+                "suspicious_reason": "No amount" if unsure else "Looks normal",
+                "confidence": row["row_index"] % 100 / 100,
+            }
+            if row["description"][0] in labels:
+                result["category"] = labels[row["description"][0]]
+            results.append(result)
+        return json.dumps({"results": results})
+
+    return answer
 
 
 @query
 def classified_rows(spark, sf_dir):
     ledger = stage(cleaned(spark, sf_dir))
-    return enrich.classifier_predictions(ledger, priority_classifier)
+    return enrich.classifier_predictions(ledger, priority_classifier())
 
 
 @query
 def capped_predictions(spark, sf_dir):
     ledger = stage(cleaned(spark, sf_dir))
-    return enrich.enrich(ledger, priority_classifier, INTERACTIVE).select("row_index", *enrich.PREDICTION)
+    return enrich.enrich(ledger, priority_classifier(), INTERACTIVE).select("row_index", *enrich.PREDICTION)
 
 
 # --- anomaly report -----------------------------------------------------------------------

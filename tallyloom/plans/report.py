@@ -10,6 +10,7 @@ from tallyloom.functions.money import money_parts, money_total, percent_of, resu
 from tallyloom.functions.values import fixed, not_blank, strip_text, thousands
 from tallyloom.operators.clean import ROW_KEY, with_month
 from tallyloom.operators.rules import FLAG, REASONS
+from tallyloom.sources.staging import stage
 
 CATEGORY = "category_llm"
 DASH = "—"
@@ -39,22 +40,30 @@ def preview(df: DataFrame, cfg: LedgerConfig = BATCH) -> DataFrame:
 # --- totals -------------------------------------------------------------------------------
 
 
-def _by_category(df: DataFrame) -> DataFrame:
-    """Partial results per category, the NULL category included: one pass over the ledger."""
-    flagged = F.col(FLAG) | _suspicious(df)
-    return df.groupBy(CATEGORY).agg(
+def _measures(df: DataFrame) -> list[Column]:
+    """What every total is made of; each can be summed up again."""
+    suspicious = _suspicious(df)
+    return [
         F.count(F.lit(1)).alias("n"),
         F.count("amount").alias("n_amounts"),
         F.count_if(FLAG).alias("n_rule"),
-        F.count_if(_suspicious(df)).alias("n_suspicious"),
-        F.count_if(flagged).alias("n_flagged"),
+        F.count_if(suspicious).alias("n_suspicious"),
+        F.count_if(F.col(FLAG) | suspicious).alias("n_flagged"),
         *money_parts(F.col("amount")),
-    )
+    ]
 
 
-def _totals(groups: DataFrame) -> DataFrame:
-    counts = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "n_amounts", "n_rule", "n_suspicious", "n_flagged")]
-    return groups.agg(*counts, *resum_parts()).select(
+def _by_category(df: DataFrame, measures: list[Column]) -> DataFrame:
+    """One pass over the ledger to a row per category, the NULL category included.
+
+    Written, since totals and categories both come from it: a filter pushed into one of two
+    branches would make Spark pass over the ledger twice.
+    """
+    return stage(df.groupBy(CATEGORY).agg(*measures))
+
+
+def _kpi_columns(measured: DataFrame) -> DataFrame:
+    return measured.select(
         F.col("n").alias("total_transactions"),
         F.col("n_amounts").alias("transactions_with_amount"),
         money_total().alias("total_amount"),
@@ -64,13 +73,19 @@ def _totals(groups: DataFrame) -> DataFrame:
     )
 
 
+def _totals(groups: DataFrame) -> DataFrame:
+    counts = ("n", "n_amounts", "n_rule", "n_suspicious", "n_flagged")
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts]
+    return _kpi_columns(groups.agg(*sums, *resum_parts()))
+
+
 def _category_amounts(groups: DataFrame) -> DataFrame:
     return groups.where(F.col(CATEGORY).isNotNull()).select(CATEGORY, money_total().alias("amount"))
 
 
 def kpis(df: DataFrame) -> DataFrame:
     """One row: transactions, total amount, and the rule, suspicious and combined counts."""
-    return _totals(_by_category(df))
+    return _kpi_columns(df.agg(*_measures(df)))
 
 
 def category_totals(df: DataFrame) -> DataFrame:
@@ -81,16 +96,17 @@ def category_totals(df: DataFrame) -> DataFrame:
 
 def category_share(df: DataFrame, cfg: LedgerConfig = BATCH) -> DataFrame:
     """Amount and percent of the grand total per category; the total counts every row."""
-    return _share(df.groupBy(CATEGORY).agg(*money_parts(F.col("amount"))), cfg.percent_digits)
+    return _share(_by_category(df, money_parts(F.col("amount"))), cfg.percent_digits)
 
 
 def _share(groups: DataFrame, digits: int | None) -> DataFrame:
     # The total is one row, so attaching it is no cross join of data.
     total = groups.agg(*resum_parts()).select(money_total().alias("_total"))
+    percent = percent_of(F.col("amount"), F.col("_total"), digits)
     return (
         _category_amounts(groups)
         .crossJoin(F.broadcast(total))
-        .select(CATEGORY, "amount", percent_of(F.col("amount"), F.col("_total"), digits).alias("Percent"))
+        .select(CATEGORY, "amount", percent.alias("Percent"))
         .orderBy(F.desc("amount"), CATEGORY)
     )
 
@@ -168,7 +184,7 @@ def _bounded(categories: DataFrame, cfg: LedgerConfig) -> tuple[DataFrame, Colum
 
 def summary_json(df: DataFrame, cfg: LedgerConfig = BATCH) -> DataFrame:
     """One row with the JSON summary: totals, category amounts, anomaly count and first anomalies."""
-    groups = _by_category(df)
+    groups = _by_category(df, _measures(df))
     ordered = _category_amounts(groups).orderBy(F.desc("amount"), CATEGORY)
     categories, message = _bounded(ordered, cfg)
     entry = F.struct((-F.col("amount")).alias("o"), CATEGORY, "amount")
@@ -209,7 +225,7 @@ def _text_lines(one_row: DataFrame, section: str, lines: list[Column]) -> DataFr
 
 def report_lines(df: DataFrame, cfg: LedgerConfig = BATCH) -> DataFrame:
     """The printable report as (section, line_no, line): totals, categories, first anomalies."""
-    groups = _by_category(df)
+    groups = _by_category(df, _measures(df))
     totals = _text_lines(
         _totals(groups),
         "1 totals",
@@ -244,7 +260,7 @@ def report_lines(df: DataFrame, cfg: LedgerConfig = BATCH) -> DataFrame:
 
 def summary_lines(df: DataFrame, cfg: LedgerConfig = BATCH) -> DataFrame:
     """The batch summary as (section, line_no, line), with percent per category."""
-    groups = _by_category(df)
+    groups = _by_category(df, _measures(df))
     totals = _totals(groups)
     basic = _text_lines(
         totals,

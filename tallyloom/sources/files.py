@@ -17,6 +17,8 @@ from tallyloom.operators.review import review_view
 from tallyloom.sources.staging import stage
 
 BROKEN = "_broken_record"
+# A row of some 150 bytes per input split, which the driver lists anyway: 128 TB of input.
+BROADCAST_SPLITS = 1_000_000
 
 
 def read_ledger(spark: SparkSession, path: str, cfg: LedgerConfig = BATCH) -> DataFrame:
@@ -68,8 +70,10 @@ def _number(rows: DataFrame, columns: list[str]) -> DataFrame:
             (F.sum("_n").over(in_order) - F.col("_n") - F.col("_first")).alias("_shift"),
         )
     )
-    # Written first, so that its size decides between broadcast and shuffle join.
-    return rows.join(stage(splits), ["_file", "_split"]).select(
+    splits = stage(splits)
+    if splits.count() <= BROADCAST_SPLITS:
+        splits = F.broadcast(splits)
+    return rows.join(splits, ["_file", "_split"]).select(
         (F.col("_id") + F.col("_shift")).alias(ROW_KEY), *columns
     )
 

@@ -53,7 +53,7 @@ def main(sf_dir, *names):
     from __spark_entry__ import oracle_sql, queries
     from tallyloom import build_session
 
-    spark = build_session("check", "local[8]", spark_sql_shuffle_partitions="8", spark_ui_enabled="false")
+    spark = build_session("check", "local[8]", spark_sql_shuffle_partitions="8", spark_ui_enabled="false", spark_ui_showConsoleProgress="false")
     spark.sparkContext.setLogLevel("ERROR")
     con, oracles = connect(sf_dir), oracle_sql()
     bad = 0
