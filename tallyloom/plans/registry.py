@@ -16,7 +16,7 @@ from tallyloom.operators import enrich, review, rules
 from tallyloom.operators.duplicates import duplicate_columns, flag_duplicates, repeated_keys
 from tallyloom.plans import report
 from tallyloom.sources import files, generate
-from tallyloom.sources.staging import shared_folder, stage
+from tallyloom.sources.staging import read_table, shared_folder, stage
 
 COPY_OFFSET = 10_000_000
 UNKNOWN_OFFSET = 500_000_000
@@ -36,7 +36,7 @@ def query(make: Query) -> Query:
 
 def raw_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as a dirty ledger of text; every 101st row occurs twice, under another row key."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    orders = read_table(spark, f"{sf_dir}/orders.parquet")
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
     k, price, day = F.col("o_orderkey"), F.col("o_totalprice"), F.col("o_orderdate")
     copies = F.when(k % 101 == 0, F.array(F.lit(0), F.lit(COPY_OFFSET))).otherwise(F.array(F.lit(0)))
@@ -458,14 +458,14 @@ def summary_lines(spark, sf_dir):
 @query
 def generated_ledger(spark, sf_dir):
     """One generated expense per order, and the error cases."""
-    ids = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"))
+    ids = read_table(spark, f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"))
     return generate.generate_ledger(ids)
 
 
 @query
 def generated_category_share(spark, sf_dir):
     """Generated expenses, cleaned and put in categories by the table of known merchants."""
-    ids = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"))
+    ids = read_table(spark, f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"))
     ledger = cleaning.clean(generate.generate_rows(ids).unionByName(generate.error_rows(spark)))
     known = F.broadcast(generate.merchant_table(spark))  # 22 rows
     return report.category_share(enrich.enrich_by_lookup(ledger, known), INTERACTIVE)

@@ -32,3 +32,15 @@ def stage(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """Read a Parquet table; a small one is dealt out to all cores.
+
+    A file with a single row group is one task, however many cores wait. Tables that already
+    have as many splits as cores, or more than 64, are left as they are, so what is shuffled here
+    never grows with the data.
+    """
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 64) else df
