@@ -14,6 +14,11 @@ WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 NUMBER = r"(?i)^\s*[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?\s*$"
 
 
+def named(names: Iterable[str]) -> list[Column]:
+    """Columns by their exact names, which may hold dots and spaces as CSV headers do."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
 def strip_text(c: Column) -> Column:
     """Trim Unicode whitespace from both ends."""
     return F.btrim(c.cast("string"), F.lit(WHITESPACE))

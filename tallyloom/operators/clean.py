@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +12,7 @@ from pyspark.sql import types as T
 from tallyloom.config import BATCH, NULL_TOKENS, REQUIRED_COLUMNS, TEXT_COLUMNS, LedgerConfig
 from tallyloom.functions.values import (
     month_bucket,
+    named,
     null_if_token,
     parse_amount,
     parse_date,
@@ -27,19 +31,23 @@ def require_columns(df: DataFrame) -> None:
 
 def null_tokens(df: DataFrame) -> DataFrame:
     """Turn the missing-value spellings of every text column into NULL."""
+    text = [isinstance(f.dataType, T.StringType) for f in df.schema]
     return df.select(
         *[
-            null_if_token(F.col(f"`{f.name}`"), NULL_TOKENS).alias(f.name)
-            if isinstance(f.dataType, T.StringType)
-            else F.col(f"`{f.name}`")
-            for f in df.schema
+            null_if_token(c, NULL_TOKENS).alias(name) if is_text else c
+            for name, c, is_text in zip(df.columns, named(df.columns), text)
         ]
     )
 
 
 def drop_blank_rows(df: DataFrame, besides: tuple[str, ...] = (ROW_KEY,)) -> DataFrame:
-    """Drop rows in which every column is NULL, besides those that are never."""
-    return df.dropna(how="all", subset=[c for c in df.columns if c not in besides])
+    """Drop rows in which every column is NULL or NaN, besides those that are never."""
+    columns = [f for f in df.schema if f.name not in besides]
+    present = [
+        F.nanvl(c, F.lit(None)).isNotNull() if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else c.isNotNull()
+        for f, c in zip(columns, named(f.name for f in columns))
+    ]
+    return df.where(reduce(or_, present))
 
 
 def clean(df: DataFrame, cfg: LedgerConfig = BATCH) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.config import DUPLICATE_KEY
+from tallyloom.functions.values import named
 from tallyloom.operators.clean import ROW_KEY
 from tallyloom.sources.staging import stage
 
@@ -58,7 +59,7 @@ def flag_duplicates(
         zero = F.pmod(F.xxhash64(*names.values()), F.lit(1))
         same = same & (F.col("_salt") == zero)
         found = found | F.col("_hot").isNotNull()
-    return df.join(listed, same, "left").select(*columns, found.alias(out))
+    return df.join(listed, same, "left").select(*named(columns), found.alias(out))
 
 
 def _all_equal(tests) -> Column:

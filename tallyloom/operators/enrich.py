@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.config import BATCH, LedgerConfig
+from tallyloom.functions.values import named
 from tallyloom.operators.clean import ROW_KEY
 from tallyloom.operators.position import with_position
 from tallyloom.sources.staging import stage
@@ -139,8 +140,9 @@ def lookup_categories(
 ) -> DataFrame:
     """Add the category of the merchant from a (merchant, category) table, else ``Other``.
 
-    The join carries no hint: a small table is broadcast by its size, a large one is not. The
-    merchant table must name each merchant once.
+    The join carries no hint: a small table is broadcast by its size; beyond that it is a shuffle
+    join, in which adaptive execution splits the rows of a very frequent merchant. The merchant
+    table must name each merchant once.
     """
     table = merchants.select(
         F.col("merchant").alias("_merchant"), F.col("category").alias("_category")
@@ -150,7 +152,7 @@ def lookup_categories(
         category = F.when(category.isin(*cfg.labels), category).otherwise("Other")
     columns = [c for c in df.columns if c != out]
     return df.join(table, df["merchant"] == table["_merchant"], "left").select(
-        *columns, category.alias(out)
+        *named(columns), category.alias(out)
     )
 
 
@@ -159,9 +161,9 @@ def merge_predictions(df: DataFrame, predictions: DataFrame) -> DataFrame:
 
     Predictions for unknown keys are ignored. A category that was answered as null stays null.
     """
-    named = {c: f"_{c}" for c in PREDICTION}
+    hidden = {c: f"_{c}" for c in PREDICTION}
     found = predictions.select(
-        F.col(ROW_KEY).alias("_row"), *[F.col(c).alias(n) for c, n in named.items()]
+        F.col(ROW_KEY).alias("_row"), *[F.col(c).alias(n) for c, n in hidden.items()]
     )
     hit = F.col("_row").isNotNull()
     defaults = {
@@ -172,8 +174,8 @@ def merge_predictions(df: DataFrame, predictions: DataFrame) -> DataFrame:
     }
     base = df.drop(*PREDICTION)
     return base.join(found, base[ROW_KEY] == found["_row"], "left").select(
-        *base.columns,
-        *[F.when(hit, F.col(n)).otherwise(defaults[c]).alias(c) for c, n in named.items()],
+        *named(base.columns),
+        *[F.when(hit, F.col(n)).otherwise(defaults[c]).alias(c) for c, n in hidden.items()],
     )
 
 

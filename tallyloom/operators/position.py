@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions.values import named
 from tallyloom.sources.staging import stage
 
-ROW_BITS = 18
-BLOCK_BITS = 22
+ROW_BITS = 16
+BLOCK_BITS = 24
 
 
 def with_position(df: DataFrame, key: str, out: str) -> DataFrame:
     """Add the rank of a unique BIGINT key, without a window over the whole table.
 
-    The key is cut into three digits. Rows are numbered inside their block of 2**18 key values,
-    blocks are summed inside their section of 2**22 blocks, and sections, at most 2**24 of them,
+    The key is cut into three digits. Rows are numbered inside their block of 2**16 key values,
+    blocks are summed inside their section of 2**24 blocks, and sections, at most 2**24 of them,
     are summed last; in practice there is one. Only unique keys keep the blocks that small. The
     rows are shuffled once, by block; the counts combine on the map side and need the key alone.
     """
@@ -41,5 +42,5 @@ def with_position(df: DataFrame, key: str, out: str) -> DataFrame:
         df.withColumn("_block", block)
         .withColumn("_place", F.row_number().over(in_block) - 1)
         .join(starts, "_block")
-        .select(*df.columns, (F.col("_start") + F.col("_place")).alias(out))
+        .select(*named(df.columns), (F.col("_start") + F.col("_place")).alias(out))
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.config import BATCH, REVIEW_COLUMNS, LedgerConfig
-from tallyloom.functions.values import parse_date
+from tallyloom.functions.values import named, parse_date
 from tallyloom.operators.clean import ROW_KEY
 from tallyloom.operators.rules import detect_anomalies
 from tallyloom.sources.staging import stage
@@ -28,23 +28,24 @@ def apply_edits(df: DataFrame, edits: DataFrame, cfg: LedgerConfig = BATCH) -> D
     unknown = [c for c in edited if c not in df.columns]
     if unknown:
         raise ValueError(f"edits of columns the ledger does not have: {unknown}")
+    if not edited:
+        return df
     once = F.when(F.col("n") == 1, F.col("e")).otherwise(
         F.raise_error(F.concat(F.lit("row edited more than once: "), F.col(ROW_KEY)))
     )
     overlay = (
         edits.groupBy(ROW_KEY)
-        .agg(F.count(F.lit(1)).alias("n"), F.first(F.struct(*edited)).alias("e"))
+        .agg(F.count(F.lit(1)).alias("n"), F.first(F.struct(*named(edited))).alias("e"))
         .select(F.col(ROW_KEY).alias("_row"), once.alias("_edit"))
     )
     kinds = {f.name: f.dataType for f in df.schema}
     hit = F.col("_row").isNotNull()
-    columns = {
-        c: F.when(hit, F.col("_edit")[c].cast(kinds[c])).otherwise(df[c]) if c in edited else df[c]
-        for c in df.columns
-    }
+    columns = dict(zip(df.columns, named(df.columns)))
+    for c in edited:
+        columns[c] = F.when(hit, F.col("_edit").getField(c).cast(kinds[c])).otherwise(columns[c])
     if "date" in edited and "date_parsed" in df.columns:
         repaired = parse_date(columns["date"], kinds["date"], cfg.date_formats)
-        columns["date_parsed"] = F.when(hit, repaired).otherwise(df["date_parsed"])
+        columns["date_parsed"] = F.when(hit, repaired).otherwise(F.col("date_parsed"))
     return df.join(overlay, df[ROW_KEY] == overlay["_row"], "left").select(
         *[value.alias(name) for name, value in columns.items()]
     )

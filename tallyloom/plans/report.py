@@ -27,6 +27,10 @@ REPORT_COLUMNS = (
 )
 
 
+def _rule_flag(df: DataFrame) -> Column:
+    return F.col(FLAG) if FLAG in df.columns else F.lit(False)
+
+
 def _suspicious(df: DataFrame) -> Column:
     if "suspicious_llm" not in df.columns:
         return F.lit(False)
@@ -42,13 +46,13 @@ def preview(df: DataFrame, cfg: LedgerConfig = BATCH) -> DataFrame:
 
 def _measures(df: DataFrame) -> list[Column]:
     """What every total is made of; each can be summed up again."""
-    suspicious = _suspicious(df)
+    rule, suspicious = _rule_flag(df), _suspicious(df)
     return [
         F.count(F.lit(1)).alias("n"),
         F.count("amount").alias("n_amounts"),
-        F.count_if(FLAG).alias("n_rule"),
+        F.count_if(rule).alias("n_rule"),
         F.count_if(suspicious).alias("n_suspicious"),
-        F.count_if(F.col(FLAG) | suspicious).alias("n_flagged"),
+        F.count_if(rule | suspicious).alias("n_flagged"),
         *money_parts(F.col("amount")),
     ]
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.config import BATCH, LedgerConfig
+from tallyloom.functions.values import named
 from tallyloom.operators.clean import (
     ROW_KEY,
     drop_blank_rows,
@@ -43,6 +44,8 @@ def read_ledger(spark: SparkSession, path: str, cfg: LedgerConfig = BATCH) -> Da
             F.col("_metadata.file_block_start").alias("_split"),
         )
     )
+    if ROW_KEY in lines.columns:
+        raise ValueError(f"the column name {ROW_KEY} is taken by the row number")
     columns = [c for c in lines.columns if c not in (BROKEN, "_file", "_split")]
     rows = null_tokens(_refuse_broken(lines, len(columns)).drop(BROKEN))
     return _number(drop_blank_rows(rows, besides=("_file", "_split")), columns)
@@ -74,7 +77,7 @@ def _number(rows: DataFrame, columns: list[str]) -> DataFrame:
     if splits.count() <= BROADCAST_SPLITS:
         splits = F.broadcast(splits)
     return rows.join(splits, ["_file", "_split"]).select(
-        (F.col("_id") + F.col("_shift")).alias(ROW_KEY), *columns
+        (F.col("_id") + F.col("_shift")).alias(ROW_KEY), *named(columns)
     )
 
 

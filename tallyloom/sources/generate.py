@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.functions.values import named
+
 # The merchants, weights, amount ranges and error cases results must share with
 # the tool this library stands in for.
 MERCHANTS = {
@@ -124,7 +126,7 @@ def error_rows(spark: SparkSession) -> DataFrame:
 
 def shuffle_rows(df: DataFrame, seed: int = 42) -> DataFrame:
     """The rows in an order drawn from their content and the seed: one range-partitioned sort."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *df.columns), *df.columns)
+    return df.orderBy(F.xxhash64(F.lit(seed), *named(df.columns)), *named(df.columns))
 
 
 def generate_ledger(ids: DataFrame, seed: int = 42) -> DataFrame:

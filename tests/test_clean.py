@@ -31,6 +31,11 @@ def test_blank_rows_ignore_the_row_key(spark):
     assert [r.row_index for r in drop_blank_rows(df).collect()] == [1]
 
 
+def test_blank_rows_count_nan_as_missing(spark):
+    df = spark.createDataFrame([(None, float("nan")), (None, 1.0), ("x", float("nan"))], "a string, v double")
+    assert drop_blank_rows(df).count() == 2
+
+
 @pytest.mark.parametrize(
     "text, value",
     [

@@ -172,3 +172,14 @@ def test_enriched_export_keeps_all_columns(spark, tmp_path):
     write_enriched(df, str(tmp_path / "e"))
     (part,) = list((tmp_path / "e").glob("*.csv"))
     assert next(csv.reader(part.open())) == ["date", "amount", "description", "extra", "date_parsed"]
+
+
+def test_headers_with_dots_and_spaces_pass_through(spark, tmp_path):
+    path = write(tmp_path / "d.csv", "date,amount,description,Acct. No,merchant\n2025-01-01,1,x,7,Uber\n2025-01-01,1,x,8,Uber\n")
+    analysis = analyse(read_ledger(spark, path))
+    rows = analysis.ledger.orderBy("row_index").collect()
+    assert [r["Acct. No"] for r in rows] == ["7", "8"] and all(r.is_anomaly_rule for r in rows)
+    edits = spark.createDataFrame([(0, "9")], "row_index bigint, `Acct. No` string")
+    assert analysis.edited(edits).ledger.orderBy("row_index").first()["Acct. No"] == "9"
+    with pytest.raises(ValueError, match="row_index"):
+        read_ledger(spark, write(tmp_path / "r.csv", "date,amount,description,row_index\na,1,x,7\n"))
