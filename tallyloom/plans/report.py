@@ -104,12 +104,10 @@ def category_share(df: DataFrame, cfg: LedgerConfig = BATCH) -> DataFrame:
 
 
 def _share(groups: DataFrame, digits: int | None) -> DataFrame:
-    # The total is one row, so attaching it is no cross join of data.
-    total = groups.agg(*resum_parts()).select(money_total().alias("_total"))
-    percent = percent_of(F.col("amount"), F.col("_total"), digits)
+    total = groups.agg(*resum_parts()).select(money_total()).scalar()
+    percent = percent_of(F.col("amount"), total, digits)
     return (
         _category_amounts(groups)
-        .crossJoin(F.broadcast(total))
         .select(CATEGORY, "amount", percent.alias("Percent"))
         .orderBy(F.desc("amount"), CATEGORY)
     )
@@ -206,8 +204,8 @@ def summary_json(df: DataFrame, cfg: LedgerConfig = BATCH) -> DataFrame:
     )
     return (
         _totals(groups)
-        .crossJoin(F.broadcast(collected))
-        .crossJoin(F.broadcast(sample))
+        .withColumn("category_summary", collected.scalar())
+        .withColumn("sample_anomalies", sample.scalar())
         .select(F.to_json(document, {"ignoreNullFields": "false"}).alias("summary"))
     )
 
@@ -263,35 +261,33 @@ def report_lines(df: DataFrame, cfg: LedgerConfig = BATCH) -> DataFrame:
 
 
 def summary_lines(df: DataFrame, cfg: LedgerConfig = BATCH) -> DataFrame:
-    """The batch summary as (section, line_no, line), with percent per category."""
-    groups = _by_category(df, _measures(df))
-    totals = _totals(groups)
-    basic = _text_lines(
-        totals,
-        "1 basic",
-        [
-            F.concat(F.lit("Total transactions: "), F.col("total_transactions")),
-            # No total is stated when no row has an amount.
-            F.when(
-                F.col("transactions_with_amount") > 0,
-                F.concat(F.lit("Total amount: "), fixed(F.col("total_amount"), 2)),
-            ),
-        ],
-    ).where(F.col("line").isNotNull())
-    categories = _numbered_categories(groups, None, cfg).select(
-        F.lit("2 categories").alias("section"),
-        "line_no",
-        F.concat(
+    """The batch summary as (section, line_no, line), with percent per category.
+
+    Lines on categories, rules and the classifier appear if the ledger has their columns.
+    """
+    with_category = CATEGORY in df.columns
+    measures = _measures(df)
+    groups = _by_category(df, measures) if with_category else None
+    totals = _totals(groups) if with_category else _kpi_columns(df.agg(*measures))
+    # No total is stated when no row has an amount.
+    total = F.when(
+        F.col("transactions_with_amount") > 0,
+        F.concat(F.lit("Total amount: "), fixed(F.col("total_amount"), 2)),
+    )
+    rows = F.concat(F.lit("Total transactions: "), F.col("total_transactions"))
+    lines = _text_lines(totals, "1 basic", [rows, total]).where(F.col("line").isNotNull())
+    if with_category:
+        text = F.concat(
             F.lit("- "), F.col(CATEGORY), F.lit(": "), fixed(F.col("amount"), 2),
             F.lit(" ("), fixed(F.col("Percent"), 1), F.lit("%)"),
-        ).alias("line"),
-    )
-    counts = _text_lines(
-        totals,
-        "3 anomalies",
-        [
-            F.concat(F.lit("Rule-based anomalies flagged: "), F.col("rule_anomalies")),
-            F.concat(F.lit("Suspicious transactions: "), F.col("suspicious_transactions")),
-        ],
-    )
-    return basic.unionByName(categories).unionByName(counts)
+        )
+        categories = _numbered_categories(groups, None, cfg)
+        lines = lines.unionByName(
+            categories.select(F.lit("2 categories").alias("section"), "line_no", text.alias("line"))
+        )
+    counts = []
+    if FLAG in df.columns:
+        counts.append(F.concat(F.lit("Rule-based anomalies flagged: "), F.col("rule_anomalies")))
+    if "suspicious_llm" in df.columns:
+        counts.append(F.concat(F.lit("Suspicious transactions: "), F.col("suspicious_transactions")))
+    return lines.unionByName(_text_lines(totals, "3 anomalies", counts)) if counts else lines

@@ -144,6 +144,14 @@ def test_summary_lines(spark):
     ]
 
 
+def test_summary_lines_follow_the_columns(spark):
+    rows = [(0, "2025-01-01", -1.0, "x")]
+    df = clean(spark.createDataFrame(rows, "row_index bigint, date string, amount double, description string"))
+    assert [r.line for r in report.summary_lines(df).collect()] == ["Total transactions: 1", "Total amount: -1.00"]
+    flagged = report.summary_lines(detect_anomalies(df)).collect()
+    assert flagged[-1].line == "Rule-based anomalies flagged: 1" and len(flagged) == 3
+
+
 def test_first_rows_follow_the_row_key(spark):
     rows = [(i, "2025-01-01", 1.0, "m", "x", "R", True, "A", False, "", 1.0) for i in range(30)]
     df = enriched(spark, rows).orderBy(F.desc("row_index")).repartition(4)
