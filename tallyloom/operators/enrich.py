@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.config import BATCH, LedgerConfig
-from tallyloom.functions.values import named
+from tallyloom.functions.values import finite, named
 from tallyloom.operators.clean import ROW_KEY
 from tallyloom.operators.position import with_position
 from tallyloom.sources.staging import stage
@@ -115,6 +115,7 @@ def parse_responses(responses: DataFrame, cfg: LedgerConfig = BATCH) -> DataFram
     number = item["row_index"]
     row = F.coalesce(number.try_cast("bigint"), number.try_cast("double").try_cast("bigint"))
     suspicious = ~F.lower(F.trim(F.coalesce(item["suspicious"], F.lit("")))).isin(*FALSE_TEXTS)
+    confidence = item["confidence"].try_cast("double")
     category = value("category", "Other")
     if cfg.strict_labels:
         category = F.when(category.isin(*cfg.labels), category).otherwise("Other")
@@ -122,7 +123,7 @@ def parse_responses(responses: DataFrame, cfg: LedgerConfig = BATCH) -> DataFram
         category.alias("category_llm"),
         suspicious.alias("suspicious_llm"),
         value("suspicious_reason", "").alias("suspicious_reason_llm"),
-        F.coalesce(item["confidence"].try_cast("double"), F.lit(0.0)).alias("confidence_llm"),
+        F.when(confidence.isNull(), 0.0).otherwise(finite(confidence)).alias("confidence_llm"),
     )
     return (
         responses.select("batch_id", "first_row", "last_row", parsed.alias("parsed"))

@@ -88,8 +88,13 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def enriched_view(df: DataFrame, cfg: LedgerConfig = BATCH) -> DataFrame:
-    """All columns but the row key, with ``month`` where the profile exports it."""
+    """All columns but the row key, with ``month`` where the profile exports it.
+
+    Dates are written without a time if no date format has hours.
+    """
     rows = with_month(df, cfg) if cfg.export_month else df
+    if "date_parsed" in df.columns and not any("h" in f.lower() for f in cfg.date_formats):
+        rows = rows.withColumn("date_parsed", F.col("date_parsed").cast("date"))
     return (rows.orderBy(ROW_KEY) if cfg.ordered_export else rows).drop(ROW_KEY)
 
 

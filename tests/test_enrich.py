@@ -64,9 +64,10 @@ def test_answer_values_as_text(spark):
     got = parsed(
         spark,
         '{"results": [{"row_index": "1", "category": "Meals", "suspicious": "false", "suspicious_reason": "r", "confidence": "0.9"},'
-        ' {"row_index": 2.0, "suspicious": "true", "confidence": 1}, {"row_index": 3, "suspicious": 1, "confidence": "high"}]}',
+        ' {"row_index": 2.0, "suspicious": "true", "confidence": 1}, {"row_index": 3, "suspicious": 1, "confidence": "high"},'
+        ' {"row_index": 4, "confidence": "nan"}]}',
     )
-    assert got == {1: ("Meals", False, "r", 0.9), 2: ("Other", True, "", 1.0), 3: ("Other", True, "", 0.0)}
+    assert got == {1: ("Meals", False, "r", 0.9), 2: ("Other", True, "", 1.0), 3: ("Other", True, "", 0.0), 4: ("Other", False, "", None)}
 
 
 def test_last_result_of_a_row_wins_and_strangers_are_left_out(spark):

@@ -171,7 +171,9 @@ def test_enriched_export_keeps_all_columns(spark, tmp_path):
     df = clean(spark.createDataFrame([(0, "2025-01-01", "1", "d", "z")], "row_index bigint, date string, amount string, description string, extra string")).coalesce(1)
     write_enriched(df, str(tmp_path / "e"))
     (part,) = list((tmp_path / "e").glob("*.csv"))
-    assert next(csv.reader(part.open())) == ["date", "amount", "description", "extra", "date_parsed"]
+    header, row = csv.reader(part.open())
+    assert header == ["date", "amount", "description", "extra", "date_parsed"]
+    assert row == ["2025-01-01", "1.0", "d", "z", "2025-01-01"]
 
 
 def test_headers_with_dots_and_spaces_pass_through(spark, tmp_path):
