@@ -11,7 +11,13 @@ from tallyloom import build_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = build_session(
-        "tests", "local[8]", spark_sql_shuffle_partitions="8", spark_ui_enabled="false", spark_driver_memory="8g"
+        "tests",
+        "local[8]",
+        spark_sql_shuffle_partitions="4",
+        spark_default_parallelism="4",
+        spark_ui_enabled="false",
+        spark_ui_showConsoleProgress="false",
+        spark_driver_memory="8g",
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

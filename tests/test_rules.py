@@ -144,7 +144,7 @@ def test_hot_rows_are_spread(spark):
         for name, value in kept.items():
             spark.conf.set(name, value)
     assert "SortMergeJoin" in plan
-    assert sum(sizes) == 6000 and len(sizes) == 8 and max(sizes) < 1200
+    assert sum(sizes) == 6000 and len(sizes) == 4 and max(sizes) < 1800
 
 
 def test_positions_of_sparse_keys(spark):
