@@ -18,7 +18,7 @@ from tallyloom.operators.enrich import (
 from tallyloom.operators.review import reanalyse, review_view
 from tallyloom.operators.rules import detect_anomalies
 from tallyloom.plans import report
-from tallyloom.sources.files import read_ledger, write_csv, write_enriched, write_report, write_review
+from tallyloom.sources.files import read_clean_ledger, write_csv, write_enriched, write_report, write_review
 from tallyloom.sources.generate import merchant_table
 from tallyloom.sources.staging import stage
 
@@ -80,10 +80,13 @@ def analyse(df: DataFrame, classifier: Classifier | None = None, cfg: LedgerConf
     is written once, since the rules read it several times, and so is the result, since every
     report reads it.
     """
-    cleaned = stage(clean(df, cfg))
+    return _analyse_cleaned(stage(clean(df, cfg)), classifier, cfg)
+
+
+def _analyse_cleaned(cleaned: DataFrame, classifier: Classifier | None, cfg: LedgerConfig) -> Analysis:
     flagged = detect_anomalies(cleaned, cfg)
     if classifier is None:
-        known = F.broadcast(merchant_table(df.sparkSession))  # 22 rows
+        known = F.broadcast(merchant_table(cleaned.sparkSession))  # 22 rows
         enriched = enrich_by_lookup(flagged, known, cfg)
     else:
         enriched = merge_predictions(flagged, classifier_predictions(cleaned, classifier, cfg))
@@ -98,6 +101,6 @@ def run(
     cfg: LedgerConfig = BATCH,
 ) -> Analysis:
     """Analyse CSV files and write every output to ``folder``, which must not hold the input."""
-    analysis = analyse(read_ledger(spark, path, cfg), classifier, cfg)
+    analysis = _analyse_cleaned(read_clean_ledger(spark, path, cfg), classifier, cfg)
     analysis.write(folder)
     return analysis

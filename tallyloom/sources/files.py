@@ -9,6 +9,7 @@ from tallyloom.config import BATCH, LedgerConfig
 from tallyloom.functions.values import named
 from tallyloom.operators.clean import (
     ROW_KEY,
+    clean,
     drop_blank_rows,
     null_tokens,
     require_columns,
@@ -18,6 +19,7 @@ from tallyloom.operators.review import review_view
 from tallyloom.sources.staging import stage
 
 BROKEN = "_broken_record"
+SPLIT = ("_file", "_split")
 # A row of some 150 bytes per input split, which the driver lists anyway: 128 TB of input.
 BROADCAST_SPLITS = 1_000_000
 
@@ -30,6 +32,16 @@ def read_ledger(spark: SparkSession, path: str, cfg: LedgerConfig = BATCH) -> Da
     It needs no sort: a row's place inside its input split is known when the split is parsed,
     and the counts per split, one row each, give the start of every split.
     """
+    return _number(_parse(spark, path, cfg))
+
+
+def read_clean_ledger(spark: SparkSession, path: str, cfg: LedgerConfig = BATCH) -> DataFrame:
+    """``read_ledger`` and ``clean`` in one pass, with one written table."""
+    return _number(clean(_parse(spark, path, cfg), cfg))
+
+
+def _parse(spark: SparkSession, path: str, cfg: LedgerConfig) -> DataFrame:
+    """The checked rows that are not blank, with the file and the split they come from."""
     reader = spark.read.option("header", True).option("escape", '"').option("multiLine", cfg.multi_line)
     header = reader.csv(path).schema
     require_columns(spark.createDataFrame([], header))
@@ -46,22 +58,37 @@ def read_ledger(spark: SparkSession, path: str, cfg: LedgerConfig = BATCH) -> Da
     )
     if ROW_KEY in lines.columns:
         raise ValueError(f"the column name {ROW_KEY} is taken by the row number")
-    columns = [c for c in lines.columns if c not in (BROKEN, "_file", "_split")]
-    rows = null_tokens(_refuse_broken(lines, len(columns)).drop(BROKEN))
-    return _number(drop_blank_rows(rows, besides=("_file", "_split")), columns)
+    columns = [c for c in lines.columns if c not in (BROKEN, *SPLIT)]
+    if not cfg.multi_line:
+        _refuse_open_quotes(spark, path)
+    rows = null_tokens(_refuse_long(lines, len(columns)).drop(BROKEN))
+    return drop_blank_rows(rows, besides=SPLIT)
+
+
+def _refuse_open_quotes(spark: SparkSession, path: str) -> None:
+    """Raise if a line has an odd number of quotes, so that a field may go on in the next one.
+
+    Read line by line, such a field could pass as two ordinary records. One scan of the text,
+    far cheaper than parsing it.
+    """
+    line = F.col("value")
+    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+    found = spark.read.text(path).where(quotes % 2 == 1).agg(F.first("value").alias("value")).first()
+    if found.value is not None:
+        raise ValueError(f"open quote in CSV line, set multi_line if fields hold line breaks: {found.value}")
 
 
-def _refuse_broken(lines: DataFrame, width: int) -> DataFrame:
-    """Raise on a record with too many fields or an unclosed quote; short records are padded."""
+def _refuse_long(lines: DataFrame, width: int) -> DataFrame:
+    """Raise on a record with too many fields; a short one is padded."""
     record = F.col(BROKEN)
-    open_quote = F.regexp_count(record, F.lit('"')) % 2 == 1
     fields = F.size(F.split(F.regexp_replace(record, '"[^"]*"', ""), ",", -1))
-    broken = record.isNotNull() & (open_quote | (fields > width))
-    message = F.concat(F.lit("cannot read CSV record (set multi_line for line breaks in fields): "), record)
-    return lines.where(F.when(broken, F.raise_error(message).cast("boolean")).otherwise(True))
+    message = F.concat(F.lit(f"CSV record with more than {width} fields: "), record)
+    too_long = record.isNotNull() & (fields > width)
+    return lines.where(F.when(too_long, F.raise_error(message).cast("boolean")).otherwise(True))
 
 
-def _number(rows: DataFrame, columns: list[str]) -> DataFrame:
+def _number(rows: DataFrame) -> DataFrame:
+    columns = [c for c in rows.columns if c not in SPLIT]
     rows = stage(rows.withColumn("_id", F.monotonically_increasing_id()))
     in_order = Window.orderBy("_file", "_split")
     splits = (

@@ -7,7 +7,7 @@ import pytest
 from tallyloom.config import INTERACTIVE, LedgerConfig
 from tallyloom.operators.clean import clean
 from tallyloom.plans.analysis import analyse, run
-from tallyloom.sources.files import read_ledger, write_csv, write_enriched
+from tallyloom.sources.files import read_clean_ledger, read_ledger, write_csv, write_enriched
 from tallyloom.sources.generate import COLUMNS, generate_ledger, generate_rows, merchant_table
 from tallyloom.sources.staging import shared_folder, stage
 
@@ -30,15 +30,28 @@ def test_read_numbers_rows_in_order_and_drops_blanks(spark, tmp_path):
     ]
 
 
+def test_reading_and_cleaning_in_one_pass_is_the_same(spark, tmp_path):
+    path = write(tmp_path / "l.csv", "date,amount,description\n2025-01-01, 7 , x \n,,\nbad,N/A,\n")
+    one_pass = read_clean_ledger(spark, path)
+    two_passes = clean(read_ledger(spark, path))
+    assert one_pass.columns == two_passes.columns
+    assert sorted(map(str, one_pass.collect())) == sorted(map(str, two_passes.collect()))
+    assert one_pass.count() == 2
+
+
 def test_missing_columns_and_bad_records(spark, tmp_path):
     with pytest.raises(ValueError, match="description"):
         read_ledger(spark, write(tmp_path / "a.csv", "date,amount\n2025-01-01,1\n"))
-    with pytest.raises(Exception, match="cannot read CSV record"):
+    with pytest.raises(Exception, match="more than 3 fields"):
         read_ledger(spark, write(tmp_path / "b.csv", "date,amount,description\n2025-01-01,1,x,too many\n"))
 
 
 def test_line_breaks_in_fields_are_read_or_refused(spark, tmp_path):
     path = write(tmp_path / "m.csv", 'date,amount,description\n2025-01-01,1,"two\nlines"\n2025-01-02,2,b\n')
+    sly = write(tmp_path / "s.csv", 'date,amount,description\n2025-01-01,1,"two\nx,y,lines"\n')
+    with pytest.raises(ValueError, match="multi_line"):
+        read_ledger(spark, sly)
+    assert read_ledger(spark, sly, LedgerConfig(multi_line=True)).first().description == "two\nx,y,lines"
     with pytest.raises(Exception, match="multi_line"):
         read_ledger(spark, path)
     rows = read_ledger(spark, path, LedgerConfig(multi_line=True)).orderBy("row_index").collect()
