@@ -19,7 +19,7 @@ from tallyloom.sources.staging import stage
 SHARD = 4096
 SHINGLES_AT_ONCE = 1 << 12
 BANDS, ROWS = 8, 3
-WIDE = 512
+WIDE = 256
 ASCII_LOWER = bytes(LOWER.tolist())
 
 
@@ -34,12 +34,21 @@ def _hash_blocks(text: bytes, size: int) -> Iterator[np.ndarray]:
     ends = list(accumulate(len(w) + 1 for w in parts))
     starts = [0, *ends]
     joined = b" ".join(parts) + b" "
-    digest = xxhash.xxh64_intdigest
-    spans = zip(starts, ends[size - 1 :]) if len(parts) > size else [(0, ends[-1])]
-    spans = list(spans)
-    for at in range(0, len(spans), SHINGLES_AT_ONCE):
-        some = spans[at : at + SHINGLES_AT_ONCE]
-        yield np.array([digest(joined[a : b - 1], 42) for a, b in some], dtype=np.uint64)
+    digest = xxhash.xxh64_digest
+    stops = ends[size - 1 :] or ends[-1:]
+    for at in range(0, len(stops), SHINGLES_AT_ONCE):
+        spans = zip(starts[at : at + SHINGLES_AT_ONCE], stops[at : at + SHINGLES_AT_ONCE])
+        yield np.frombuffer(b"".join([digest(joined[a : b - 1], 42) for a, b in spans]), dtype=">u8")
+
+
+def _bit_counts(values: np.ndarray) -> np.ndarray:
+    """How many rows of big-endian words have each bit set.
+
+    Runs of 255 rows are added in single bytes, which is the fast part; a few sums are left.
+    """
+    spread = np.unpackbits(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1), axis=1)
+    edges = np.arange(0, len(spread), 255)
+    return np.add.reduceat(spread, edges, axis=0, dtype=np.uint8).sum(axis=0, dtype=np.int64)
 
 
 def fingerprint(text: bytes, size: int, bits: int, bands: int = 0) -> tuple[bytes, list[int]]:
@@ -53,10 +62,12 @@ def fingerprint(text: bytes, size: int, bits: int, bands: int = 0) -> tuple[byte
     least = np.full(bands * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
     for hashes in _hash_blocks(text, size):
         n += len(hashes)
-        wide = hashes[:, None] if bits == 64 else mix(hashes[:, None] + lanes)
-        ones += np.unpackbits(wide.astype(">u8").view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+        plain = hashes.astype(np.uint64)
+        wide = hashes if bits == 64 else mix(plain[:, None] + lanes).astype(">u8")
+        ones += _bit_counts(wide)
         for i in range(len(least)):
-            least[i] = min(least[i], mix(hashes ^ np.uint64(0x5851F42D4C957F2D * (i + 1) % 2**64)).min())
+            salt = np.uint64(0x5851F42D4C957F2D * (i + 1) % 2**64)
+            least[i] = min(least[i], ((plain ^ salt) * np.uint64(0x9E3779B97F4A7C15)).min())
     value = np.packbits(2 * ones > n).tobytes()
     keys = [xxhash.xxh64_intdigest(bytes([b]) + least[b * ROWS : (b + 1) * ROWS].tobytes()) for b in range(bands)]
     return value, keys
