@@ -81,10 +81,18 @@ class LineRuns:
             self._put(level + 1, merged)
 
     def _merge(self, names: list[str]) -> DataFrame:
-        runs = reduce(DataFrame.unionByName, [self.spark.table(n) for n in names])
-        return runs.groupBy("key").agg(
-            F.sum("n").alias("n"), F.max("keeper").alias("keeper"), F.max("brings").alias("brings")
-        )
+        """The runs as one, by outer merge joins of their buckets: no run is shuffled."""
+
+        def both(left: DataFrame, right: DataFrame) -> DataFrame:
+            right = right.select("key", *[F.col(c).alias(f"_{c}") for c in ("n", "keeper", "brings")])
+            return left.join(right, "key", "full_outer").select(
+                "key",
+                (F.coalesce("n", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("n"),
+                F.coalesce("keeper", "_keeper").alias("keeper"),
+                (F.coalesce("brings", F.lit(False)) | F.coalesce("_brings", F.lit(False))).alias("brings"),
+            )
+
+        return reduce(both, [self.spark.table(n).select("key", "n", "keeper", "brings") for n in names])
 
     def keys(self) -> DataFrame:
         """All runs merged: ``key, n, keeper``."""

@@ -17,6 +17,7 @@ from tallyloom.sources.staging import stage
 LENGTH = 2048
 GRID = 8
 CACHE = 200_000
+GAP = 1e-3
 ODD = re.compile("[\x1c-\x1f]|<\\|(?:startoftext|endoftext)\\|>")
 BREAK = re.compile(r"\s")
 PART = 1 << 20
@@ -161,7 +162,7 @@ def cutting_stock(sizes: np.ndarray, counts: np.ndarray, room: int, rounds: int
     for turn in range(rounds):
         prices = inverse.sum(axis=0)
         worth, pattern = _best_pattern(prices, sizes, room)
-        if worth <= 1 + 1e-6:
+        if worth <= 1 + GAP:
             break
         step = inverse @ pattern
         ratios = np.where(step > 1e-9, x / np.where(step > 1e-9, step, 1), np.inf)
