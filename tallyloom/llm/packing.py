@@ -143,6 +143,25 @@ def _best_pattern(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[flo
     return float(best[room]), pattern
 
 
+def _times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """Matrix times vector in one thread: threaded libraries stall on calls this small."""
+    return np.einsum("ij,j->i", matrix, vector.astype(float))
+
+
+def _inverse(matrix: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan elimination with row pivots, in one thread."""
+    m = len(matrix)
+    both = np.hstack([matrix, np.eye(m)])
+    for c in range(m):
+        p = c + int(np.argmax(np.abs(both[c:, c])))
+        both[[c, p]] = both[[p, c]]
+        both[c] /= both[c, c]
+        factor = both[:, c].copy()
+        factor[c] = 0
+        both -= factor[:, None] * both[c]
+    return both[:, m:]
+
+
 def cutting_stock(sizes: np.ndarray, counts: np.ndarray, room: int, rounds: int = 4000) -> list[tuple[np.ndarray, int]]:
     """Patterns and how often each is used, covering every count exactly.
 
@@ -158,23 +177,23 @@ def cutting_stock(sizes: np.ndarray, counts: np.ndarray, room: int, rounds: int
         return used
     basis = np.diag((room // sizes).astype(float))
     inverse = np.diag(1 / np.diag(basis))
-    x = inverse @ counts
+    x = _times(inverse, counts)
     for turn in range(rounds):
         prices = inverse.sum(axis=0)
         worth, pattern = _best_pattern(prices, sizes, room)
         if worth <= 1 + GAP:
             break
-        step = inverse @ pattern
+        step = _times(inverse, pattern)
         ratios = np.where(step > 1e-9, x / np.where(step > 1e-9, step, 1), np.inf)
         out = int(np.argmin(ratios))
         basis[:, out] = pattern
         if turn % 64 == 63:
-            inverse = np.linalg.inv(basis)
+            inverse = _inverse(basis)
         else:
             row = inverse[out] / step[out]
             inverse -= np.outer(step, row)
             inverse[out] = row
-        x = np.maximum(inverse @ counts, 0)
+        x = np.maximum(_times(inverse, counts), 0)
     for i, times in enumerate(np.floor(x + 1e-7).astype(np.int64)):
         pattern = np.round(basis[:, i]).astype(np.int64)
         times = min(int(times), int((left[pattern > 0] // pattern[pattern > 0]).min()))

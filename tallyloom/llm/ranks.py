@@ -19,13 +19,13 @@ def numbered(df: DataFrame, group: str, row: str, out: str, salts: int = SALTS)
     along = Window.partitionBy(group).orderBy("_unit")
     starts = (
         dealt.groupBy(group, "_unit")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(F.col(group).alias("_g"), F.col("_unit").alias("_u"), (F.sum("_n").over(along) - F.col("_n")).alias("_start"))
+        .agg(F.count(F.lit(1)).alias("_unit_n"))
+        .select(F.col(group).alias("_unit_group"), F.col("_unit").alias("_unit_id"), (F.sum("_unit_n").over(along) - F.col("_unit_n")).alias("_unit_start"))
     )
     place = F.row_number().over(Window.partitionBy(group, "_unit").orderBy(row)) - 1
     return (
-        dealt.withColumn("_place", place)
-        .join(starts, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_unit") == F.col("_u")))
-        .withColumn(out, (F.col("_start") + F.col("_place")).cast("bigint"))
-        .drop("_unit", "_u", "_g", "_start", "_place")
+        dealt.withColumn("_unit_place", place)
+        .join(starts, F.col(group).eqNullSafe(F.col("_unit_group")) & (F.col("_unit") == F.col("_unit_id")))
+        .withColumn(out, (F.col("_unit_start") + F.col("_unit_place")).cast("bigint"))
+        .drop("_unit", "_unit_id", "_unit_group", "_unit_start", "_unit_place")
     )
