@@ -1,3 +1,23 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
-ORACLES = {}
+# Snapshots are compared as whole texts: a conversation is left out if a longer one begins with it.
+OP10 = """
+WITH c AS (
+  SELECT conv_id, count(*) AS n_turns,
+         string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY turn) AS text
+  FROM conversations GROUP BY conv_id
+), p AS (
+  SELECT conv_id, turn,
+         string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '')
+           OVER (PARTITION BY conv_id ORDER BY turn) AS prefix,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place,
+         count(*) OVER (PARTITION BY conv_id) AS n
+  FROM conversations
+)
+SELECT min(conv_id) AS conv_id, CAST(0 AS BIGINT) AS part, n_turns, count(*) AS copies, text
+FROM c
+WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.place < p.n AND p.place = c.n_turns AND p.prefix = c.text)
+GROUP BY n_turns, text
+"""
+
+ORACLES = {"op10_chat": OP10}

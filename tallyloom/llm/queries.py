@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.llm.chat import format_conversations
+from tallyloom.llm.licenses import scan_licenses
 from tallyloom.llm.line_dedup import drop_shared_lines
 from tallyloom.llm.near_dedup import near_duplicates
 from tallyloom.llm.packing import packed_documents
+from tallyloom.llm.quality import judge_quality
 from tallyloom.llm.sharding import assign_shards
 
 TOKENIZERS = "/opt/tokenizers"
@@ -41,9 +44,26 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(_documents(spark, sf_dir), f"{TOKENIZERS}/word_bpe_49k.json", digest=True)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(_documents(spark, sf_dir)).select(
+        F.col("_key").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality"
+    )
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_documents(spark, sf_dir))
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_line_dedup": op2_line_dedup,
     "op3_sharding": op3_sharding,
     "op4_packing": op4_packing,
+    "op6_quality": op6_quality,
+    "op8_licenses": op8_licenses,
+    "op10_chat": op10_chat,
 }
