@@ -6,12 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm.chat import format_conversations
+from tallyloom.llm.edit_prints import compare_with_next, edit_classes
 from tallyloom.llm.licenses import scan_licenses
 from tallyloom.llm.line_dedup import drop_shared_lines
 from tallyloom.llm.near_dedup import near_duplicates
 from tallyloom.llm.packing import packed_documents
 from tallyloom.llm.quality import judge_quality
+from tallyloom.llm.scoring import score_documents
+from tallyloom.llm.segmentation import decode_pieces, encode_sampled
 from tallyloom.llm.sharding import assign_shards
+from tallyloom.sources.staging import stage
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -44,16 +48,34 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(_documents(spark, sf_dir), f"{TOKENIZERS}/word_bpe_49k.json", digest=True)
 
 
+def op5_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = f"{TOKENIZERS}/piece_bpe_32k.model"
+    decoded = decode_pieces(encode_sampled(_documents(spark, sf_dir), model), model)
+    return decoded.select("doc_id", F.size("ids").alias("n_ids"), "ids", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(_documents(spark, sf_dir)).select(
         F.col("_key").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality"
     )
 
 
+def op7_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_documents(spark, sf_dir))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_documents(spark, sf_dir))
 
 
+def op9_edit_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    compared = edit_classes(stage(compare_with_next(_documents(spark, sf_dir))))
+    hexed = {"fingerprint": "fp", "edited_fingerprint": "edited_fp"}
+    return compared.select(
+        "doc_id", "n_chars", "edited_sha256", *[F.lower(F.hex(c)).alias(n) for n, c in hexed.items()], "near_edited", "near_next", "class_id"
+    )
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -63,7 +85,10 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_sharding": op3_sharding,
     "op4_packing": op4_packing,
+    "op5_segmentation": op5_segmentation,
     "op6_quality": op6_quality,
+    "op7_scoring": op7_scoring,
     "op8_licenses": op8_licenses,
+    "op9_edit_prints": op9_edit_prints,
     "op10_chat": op10_chat,
 }
