@@ -48,22 +48,40 @@ class ChunkEncoder:
         # The fast call leaves out offsets, which nobody reads here.
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def _learn(self, chunks: list[str]) -> None:
-        unknown = set(chunks).difference(self.young)
-        if len(self.young) > CACHE:
-            self.old, self.young = self.young, {}
-            unknown = set(chunks)
-        known = unknown.intersection(self.old)
-        self.young.update((c, self.old[c]) for c in known)
-        unknown = list(unknown - known)
-        for at in range(0, len(unknown), 2000):
-            some = unknown[at : at + 2000]
+    def _encode_new(self, chunks: list[str]) -> None:
+        for at in range(0, len(chunks), 2000):
+            some = chunks[at : at + 2000]
             ids = self._ids(self.separator.join(some))
             cuts = np.flatnonzero(ids == self.separator_id).tolist()
             raw = ids.tobytes()
             for chunk, a, b in zip(some, [0, *[c + 1 for c in cuts]], [*cuts, len(ids)]):
                 self.young[chunk] = raw[4 * a : 4 * b]
 
+    @staticmethod
+    def _parts(chunk: str) -> tuple[str, str]:
+        """The lower-cased word and the mark after it where a chunk is just that, else itself.
+
+        The tokenizer lower-cases and never joins letters with marks, so their ids can be put
+        together. Sigma is left out: its lower case depends on what follows.
+        """
+        tail = chunk[-1] if chunk[-1] in ".,|" else ""
+        body = chunk[:-1] if tail else chunk
+        return (body.lower(), tail) if body.isalpha() and "\u03a3" not in body else (chunk, "")
+
+    def _learn(self, chunks: list[str]) -> None:
+        if len(self.young) > CACHE:
+            self.old, self.young = self.young, {}
+        unknown = set(chunks).difference(self.young)
+        known = unknown.intersection(self.old)
+        self.young.update((c, self.old[c]) for c in known)
+        parts = {c: self._parts(c) for c in unknown - known}
+        needed = {p for pair in parts.values() for p in pair if p and p not in self.young}
+        self._encode_new(list(needed))
+        get = self.young.__getitem__
+        for chunk, (body, tail) in parts.items():
+            if body is not chunk:
+                self.young[chunk] = get(body) + (get(tail) if tail else b"")
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [None if ODD.search(t) else t.split() for t in texts]
