@@ -57,12 +57,13 @@ class LedgerConfig:
     """Everything the two profiles, or a user, may set.
 
     ``on_classifier_error``: ``"raise"`` fails the job on a failed batch, ``"skip"`` leaves the
-    rows of that batch without a prediction.
+    rows of that batch without a prediction and keeps the error beside the batch.
+    ``classifier_tries`` and ``classifier_wait``: calls per batch, and the seconds between them,
+    before a batch counts as failed.
     ``percent_digits``: ``None`` keeps full precision, 1 rounds half to even.
     ``multi_line``: read CSV fields that contain line breaks. Such files cannot be split, so it
     is off by default; a broken quote then raises an error rather than being misread.
     ``ordered_export``: sort exported rows by row key. Off by default, as it shuffles every row.
-    ``hot_rows``: a duplicate key with at least this many rows is matched by broadcast.
     """
 
     date_formats: tuple[str, ...] = ("yyyy-MM-dd",)
@@ -71,24 +72,22 @@ class LedgerConfig:
     labels: tuple[str, ...] = LABELS
     strict_labels: bool = False
     batch_size: int = 20
-    max_rows: int | None = None
     on_classifier_error: str = "raise"
     classifier_tasks: int | None = None
+    classifier_tries: int = 3
+    classifier_wait: float = 0.0
     percent_digits: int | None = None
     export_month: bool = False
     ordered_export: bool = False
     preview_rows: int = 5
     sample_rows: int = 10
-    max_report_categories: int = 10_000
     multi_line: bool = False
-    hot_rows: int = 100_000
 
 
 BATCH = LedgerConfig()
 INTERACTIVE = replace(
     BATCH,
     batch_size=10,
-    max_rows=100,
     on_classifier_error="skip",
     percent_digits=1,
     export_month=True,

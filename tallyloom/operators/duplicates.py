@@ -10,12 +10,8 @@ from pyspark.sql import functions as F
 
 from tallyloom.config import DUPLICATE_KEY
 from tallyloom.functions.values import named
-from tallyloom.operators.clean import ROW_KEY
 from tallyloom.sources.staging import stage
 
-HOT_KEYS = 1000
-SALTS = 1024
-
 
 def duplicate_columns(df: DataFrame) -> list[str]:
     """The key columns that the table has."""
@@ -27,39 +23,19 @@ def repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
 
 
-def flag_duplicates(
-    df: DataFrame, keys: Sequence[str], out: str, hot_rows: int = 100_000
-) -> DataFrame:
+def flag_duplicates(df: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
     """Add a boolean that marks every member of a repeated key.
 
     A window over the key would send all rows of a key to one task. Here keys are counted with
-    map-side combining and only repeated ones are written; the table then joins them back. The
-    optimizer broadcasts that list if its bytes on disk allow, and the ledger is not shuffled.
-    Beyond that size it is a shuffle join, from which the at most 1,000 most frequent keys are
-    taken out: they are matched by broadcast and their rows spread by a salt that matches none.
+    map-side combining and only repeated ones are written, one row per key; the table joins them
+    back. The optimizer broadcasts that list if its bytes on disk allow; beyond that it is a
+    shuffle join, in which adaptive execution splits the rows of a very frequent key.
     """
     names = {k: f"_key_{i}" for i, k in enumerate(keys)}
     repeated = stage(repeated_keys(df, keys).withColumnsRenamed(names))
-    columns = df.columns
-    found = F.col("_repeated").isNotNull()
     same = _all_equal(F.col(k).eqNullSafe(F.col(n)) for k, n in names.items())
     listed = repeated.select(*names.values(), F.lit(True).alias("_repeated"))
-
-    hot = repeated.where(F.col("n") >= hot_rows).orderBy(F.desc("n")).limit(HOT_KEYS)
-    if not hot.isEmpty():
-        hot_names = {n: f"{n}_hot" for n in names.values()}
-        hot = hot.drop("n").withColumnsRenamed(hot_names).withColumn("_hot", F.lit(True))
-        same_hot = _all_equal(F.col(k).eqNullSafe(F.col(hot_names[n])) for k, n in names.items())
-        row = F.col(ROW_KEY) if ROW_KEY in columns else F.monotonically_increasing_id()
-        spread = F.pmod(F.xxhash64(row), F.lit(SALTS)) + 1
-        df = df.join(F.broadcast(hot), same_hot, "left").withColumn(
-            "_salt", F.when(F.col("_hot"), spread).otherwise(0)
-        )
-        # Always 0, but no literal: the optimizer would take a literal out of the join keys.
-        zero = F.pmod(F.xxhash64(*names.values()), F.lit(1))
-        same = same & (F.col("_salt") == zero)
-        found = found | F.col("_hot").isNotNull()
-    return df.join(listed, same, "left").select(*named(columns), found.alias(out))
+    return df.join(listed, same, "left").select(*named(df.columns), F.col("_repeated").isNotNull().alias(out))
 
 
 def _all_equal(tests) -> Column:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.config import BATCH, LedgerConfig
@@ -19,26 +20,23 @@ Classifier = Callable[[str], str]
 
 PREDICTION = ("category_llm", "suspicious_llm", "suspicious_reason_llm", "confidence_llm")
 PAYLOAD_TEXT = ("date", "merchant", "description", "currency")
-SMALL_CAP = 10_000
 # Answers are read as text; these spellings of "suspicious" mean no, as does a missing value.
 FALSE_TEXTS = ("", "false", "0", "0.0", "no", "none", "null", "[]", "{}")
 
 
-def assign_batches(df: DataFrame, cfg: LedgerConfig = BATCH) -> DataFrame:
-    """Add ``batch_id``: consecutive rows in key order, ``batch_size`` each, up to ``max_rows``."""
-    if cfg.max_rows is not None and cfg.max_rows <= SMALL_CAP:
-        first = df.orderBy(ROW_KEY).limit(cfg.max_rows)
-        # One task, but of at most SMALL_CAP rows.
-        numbered = first.withColumn("_position", F.row_number().over(Window.orderBy(ROW_KEY)) - 1)
-    else:
-        numbered = with_position(df, ROW_KEY, "_position")
-        if cfg.max_rows is not None:
-            numbered = numbered.where(F.col("_position") < cfg.max_rows)
-    batch = F.expr(f"_position div {int(cfg.batch_size)}")
-    return numbered.withColumn("batch_id", batch).drop("_position")
+def assign_batches(df: DataFrame, cfg: LedgerConfig = BATCH, dense: bool = False) -> DataFrame:
+    """Add ``batch_id``: consecutive rows in key order, ``batch_size`` each.
+
+    ``dense`` states that the row keys are 0 to n - 1, as ``read_ledger`` makes them: the batch is
+    then a division and no row moves.
+    """
+    if dense:
+        return df.withColumn("batch_id", F.expr(f"{ROW_KEY} div {int(cfg.batch_size)}"))
+    numbered = with_position(df, ROW_KEY, "_position")
+    return numbered.withColumn("batch_id", F.expr(f"_position div {int(cfg.batch_size)}")).drop("_position")
 
 
-def batch_payloads(df: DataFrame, cfg: LedgerConfig = BATCH) -> DataFrame:
+def batch_payloads(df: DataFrame, cfg: LedgerConfig = BATCH, dense: bool = False) -> DataFrame:
     """One row per batch: its key range and the JSON list of its records.
 
     A group has ``batch_size`` rows. Absent columns are sent as empty text, missing values as
@@ -60,7 +58,7 @@ def batch_payloads(df: DataFrame, cfg: LedgerConfig = BATCH) -> DataFrame:
         text("currency"),
     )
     return (
-        assign_batches(df.select(*wanted), cfg)
+        assign_batches(df.select(*wanted), cfg, dense)
         .groupBy("batch_id")
         .agg(F.sort_array(F.collect_list(record)).alias("records"))
         .select(
@@ -73,28 +71,35 @@ def batch_payloads(df: DataFrame, cfg: LedgerConfig = BATCH) -> DataFrame:
 
 
 def classify(payloads: DataFrame, classifier: Classifier, cfg: LedgerConfig = BATCH) -> DataFrame:
-    """Call the classifier once per batch and keep its answer text as ``response``.
+    """Call the classifier for each batch and keep its answer text as ``response``.
 
-    ``classifier_tasks`` bounds how many calls run at a time. A task that is retried calls
-    again, so write the result (see ``stage``) before reading it more than once.
+    A failed call is tried again, up to ``classifier_tries`` calls in all. What a batch failed
+    with stays in ``error``, or ends the job, by profile. ``classifier_tasks`` bounds how many
+    calls run at a time. A task that is retried calls again, so write the result (see ``stage``)
+    before reading it more than once.
     """
-    skip = cfg.on_classifier_error == "skip"
-
-    def ask(payload: str) -> str | None:
-        try:
-            return classifier(payload)
-        except Exception:
-            if skip:
-                return None
-            raise
+    skip, tries, wait = cfg.on_classifier_error == "skip", cfg.classifier_tries, cfg.classifier_wait
+
+    def ask(payload: str) -> tuple[str | None, str | None]:
+        for left in range(tries - 1, -1, -1):
+            try:
+                return classifier(payload), None
+            except Exception as error:
+                if left:
+                    time.sleep(wait)
+                elif skip:
+                    return None, f"{type(error).__name__}: {error}"
+                else:
+                    raise
 
     def answer(frames):
         for frame in frames:
-            yield frame.assign(response=[ask(p) for p in frame.pop("payload")])
+            answers = [ask(p) for p in frame.pop("payload")]
+            yield frame.assign(response=[a for a, _ in answers], error=[e for _, e in answers])
 
     if cfg.classifier_tasks:
         payloads = payloads.repartition(cfg.classifier_tasks, "batch_id")
-    schema = "batch_id bigint, first_row bigint, last_row bigint, response string"
+    schema = "batch_id bigint, first_row bigint, last_row bigint, response string, error string"
     return payloads.select("batch_id", "first_row", "last_row", "payload").mapInPandas(answer, schema)
 
 
@@ -180,24 +185,35 @@ def merge_predictions(df: DataFrame, predictions: DataFrame) -> DataFrame:
     )
 
 
+def failed_batches(responses: DataFrame) -> DataFrame:
+    """The batches that no call answered, with their key range and error."""
+    return responses.where(F.col("error").isNotNull()).select("batch_id", "first_row", "last_row", "error")
+
+
+def classifier_responses(
+    df: DataFrame, classifier: Classifier, cfg: LedgerConfig = BATCH, dense: bool = False
+) -> DataFrame:
+    """The answers of all batches, written once."""
+    return stage(classify(batch_payloads(df, cfg, dense), classifier, cfg))
+
+
 def classifier_predictions(df: DataFrame, classifier: Classifier, cfg: LedgerConfig = BATCH) -> DataFrame:
     """Batch, classify and parse. The answers are written once, then read."""
-    return parse_responses(stage(classify(batch_payloads(df, cfg), classifier, cfg)), cfg)
+    return parse_responses(classifier_responses(df, classifier, cfg), cfg)
 
 
 def enrich_by_lookup(df: DataFrame, merchants: DataFrame, cfg: LedgerConfig = BATCH) -> DataFrame:
     """The ledger with predictions from a merchant table instead of a classifier.
 
-    A known merchant has confidence 1, any other is ``Other`` with 0; nothing is suspicious.
-    Without a row cap the columns are attached in place, and no row is shuffled by key.
+    A known merchant has confidence 1, any other is ``Other`` with 0; nothing is suspicious. The
+    columns are attached in place, and no row is shuffled by key.
     """
-    known = (
-        lookup_categories(df if cfg.max_rows is None else assign_batches(df, cfg), merchants, cfg=cfg)
+    return (
+        lookup_categories(df, merchants, cfg=cfg)
         .withColumn("suspicious_llm", F.lit(False))
         .withColumn("suspicious_reason_llm", F.lit(""))
         .withColumn("confidence_llm", F.when(F.col("category_llm") == "Other", 0.0).otherwise(1.0))
     )
-    return known if cfg.max_rows is None else merge_predictions(df, known)
 
 
 def enrich(df: DataFrame, classifier: Classifier, cfg: LedgerConfig = BATCH) -> DataFrame:

@@ -1,46 +1,36 @@
-"""Exact 0-based positions of rows by a unique key."""
+"""Exact 0-based positions of rows in an order, for tables of any size."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.values import named
 from tallyloom.sources.staging import stage
 
-ROW_BITS = 16
-BLOCK_BITS = 24
+PLACE_BITS = 33  # of monotonically_increasing_id: the place in the partition
 
 
-def with_position(df: DataFrame, key: str, out: str) -> DataFrame:
-    """Add the rank of a unique BIGINT key, without a window over the whole table.
+def with_position(df: DataFrame, order: str | list[str | Column], out: str) -> DataFrame:
+    """Add the 0-based position of each row in an order, such as by a key.
 
-    The key is cut into three digits. Rows are numbered inside their block of 2**16 key values,
-    blocks are summed inside their section of 2**24 blocks, and sections, at most 2**24 of them,
-    are summed last; in practice there is one. Only unique keys keep the blocks that small. The
-    rows are shuffled once, by block; the counts combine on the map side and need the key alone.
+    Rows are dealt by ranges of the order, sorted and written with their place in the partition;
+    a count per partition gives the start of each. One shuffle, whatever the spread of the keys,
+    and a window over as many rows as there are partitions. NULL keys come first; rows with
+    equal keys have consecutive positions.
     """
-    block = F.shiftright(F.col(key), ROW_BITS)
-    # Written, since it is read twice: a few bytes per block.
-    counts = stage(
-        df.groupBy(block.alias("_block"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_section", F.shiftright(F.col("_block"), BLOCK_BITS))
-    )
-    in_section = Window.partitionBy("_section").orderBy("_block")
-    blocks = counts.withColumn("_before_block", F.sum("_n").over(in_section) - F.col("_n"))
-    sections = counts.groupBy("_section").agg(F.sum("_n").alias("_m"))
-    sections = sections.select(
-        "_section",
-        (F.sum("_m").over(Window.orderBy("_section")) - F.col("_m")).alias("_before_section"),
+    order = [order] if isinstance(order, str) else order
+    rows = stage(
+        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
     )
-    starts = blocks.join(sections, "_section").select(
-        "_block", (F.col("_before_block") + F.col("_before_section")).alias("_start")
+    part = F.shiftright("_id", PLACE_BITS)
+    along = Window.orderBy("_part")
+    starts = (
+        rows.groupBy(part.alias("_part"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .select("_part", (F.sum("_n").over(along) - F.col("_n")).alias("_start"))
     )
-    in_block = Window.partitionBy("_block").orderBy(key)
-    return (
-        df.withColumn("_block", block)
-        .withColumn("_place", F.row_number().over(in_block) - 1)
-        .join(starts, "_block")
-        .select(*named(df.columns), (F.col("_start") + F.col("_place")).alias(out))
+    place = F.col("_id").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    return rows.join(starts, part == F.col("_part")).select(
+        *named(df.columns), (F.col("_start") + place).alias(out)
     )

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions.values import finite
+
 LOG_STEPS = 1024
 LINEAR_STEPS = 65536
 
@@ -21,7 +23,7 @@ def exact_quantile(df: DataFrame, column: str, q: float) -> float | None:
     wide on a log scale), the others 65,537. The range test of the later passes is a literal,
     so it reaches the Parquet scan. Amounts in cents need two or three passes.
     """
-    values = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
+    values = df.select(finite(F.col(column).cast("double")).alias("v")).where(F.col("v").isNotNull())
     v = F.col("v")
     log_bucket = F.floor(F.signum(v) * F.log1p(F.abs(v)) * LOG_STEPS)
     found = _rank_bucket(values, log_bucket, q, None, 0)

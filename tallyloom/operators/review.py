@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.config import BATCH, REVIEW_COLUMNS, LedgerConfig
-from tallyloom.functions.values import named, parse_date
+from tallyloom.functions.values import named, parse_amount, parse_date
 from tallyloom.operators.clean import ROW_KEY
 from tallyloom.operators.rules import detect_anomalies
 from tallyloom.sources.staging import stage
@@ -42,7 +42,10 @@ def apply_edits(df: DataFrame, edits: DataFrame, cfg: LedgerConfig = BATCH) -> D
     hit = F.col("_row").isNotNull()
     columns = dict(zip(df.columns, named(df.columns)))
     for c in edited:
-        columns[c] = F.when(hit, F.col("_edit").getField(c).cast(kinds[c])).otherwise(columns[c])
+        value = F.col("_edit").getField(c)
+        # An edited amount is read like any other: text that is no number becomes NULL.
+        new = parse_amount(value, edits.schema[c].dataType) if c == "amount" else value
+        columns[c] = F.when(hit, new.cast(kinds[c])).otherwise(columns[c])
     if "date" in edited and "date_parsed" in df.columns:
         repaired = parse_date(columns["date"], kinds["date"], cfg.date_formats)
         columns["date_parsed"] = F.when(hit, repaired).otherwise(F.col("date_parsed"))

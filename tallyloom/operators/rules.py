@@ -9,11 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.config import BATCH, LedgerConfig
+from tallyloom.functions.values import finite
 from tallyloom.operators.duplicates import duplicate_columns, flag_duplicates
 from tallyloom.operators.quantile import exact_quantile
 
 REASONS = "anomaly_reasons_rule"
 FLAG = "is_anomaly_rule"
+# The reason texts that results must share.
 NEGATIVE = "Negative amount (possible refund or data issue)"
 DUPLICATE = "Possible duplicate transaction"
 
@@ -28,11 +30,11 @@ def threshold_text(threshold: float | None) -> str | None:
 
 
 def is_high(threshold: float | None) -> Column:
-    return F.col("amount") > F.lit(threshold).cast("double")
+    return finite(F.col("amount")) > F.lit(threshold).cast("double")
 
 
 def is_negative() -> Column:
-    return F.col("amount") < 0
+    return finite(F.col("amount")) < 0
 
 
 def detect_anomalies(df: DataFrame, cfg: LedgerConfig = BATCH) -> DataFrame:
@@ -40,12 +42,13 @@ def detect_anomalies(df: DataFrame, cfg: LedgerConfig = BATCH) -> DataFrame:
 
     The threshold is one number, so it enters the plan as a literal. The table is read for the
     threshold, for the key counts and for the result: pass a written table (see ``stage``), not
-    a long chain of transformations. Reason and flag columns of an earlier run are replaced.
+    a long chain of transformations. Threshold and key counts are computed when the plan is built.
+    Reason and flag columns of an earlier run are replaced.
     """
     df = df.drop(REASONS, FLAG)
     threshold = high_threshold(df, cfg)
     keys = duplicate_columns(df)
-    flagged = flag_duplicates(df, keys, "_duplicate", cfg.hot_rows)
+    flagged = flag_duplicates(df, keys, "_duplicate")
     tests = {
         f"Unusually high amount (> {threshold_text(threshold)})": is_high(threshold),
         NEGATIVE: is_negative(),

@@ -11,9 +11,11 @@ from tallyloom.config import BATCH, LedgerConfig
 from tallyloom.operators.clean import clean
 from tallyloom.operators.enrich import (
     Classifier,
-    classifier_predictions,
+    classifier_responses,
     enrich_by_lookup,
+    failed_batches,
     merge_predictions,
+    parse_responses,
 )
 from tallyloom.operators.review import reanalyse, review_view
 from tallyloom.operators.rules import detect_anomalies
@@ -25,10 +27,14 @@ from tallyloom.sources.staging import stage
 
 @dataclass(frozen=True)
 class Analysis:
-    """A written, enriched ledger and the reports over it."""
+    """A written, enriched ledger and the reports over it.
+
+    ``failed_batches`` lists the batches that a classifier did not answer; None without one.
+    """
 
     ledger: DataFrame
     cfg: LedgerConfig
+    failed_batches: DataFrame | None = None
 
     def preview(self) -> DataFrame:
         return report.preview(self.ledger, self.cfg)
@@ -59,7 +65,7 @@ class Analysis:
 
     def edited(self, edits: DataFrame) -> Analysis:
         """The analysis after reviewer edits: rules again, predictions kept."""
-        return Analysis(stage(reanalyse(self.ledger, edits, self.cfg)), self.cfg)
+        return Analysis(stage(reanalyse(self.ledger, edits, self.cfg)), self.cfg, self.failed_batches)
 
     def write(self, folder: str) -> None:
         """Enriched and review CSV, the chart tables, the JSON summary and the text reports."""
@@ -68,7 +74,7 @@ class Analysis:
         write_csv(self.category_share(), f"{folder}/category_share")
         write_csv(self.monthly_trend(), f"{folder}/monthly_trend")
         write_csv(self.anomaly_report(), f"{folder}/anomalies")
-        self.summary_json().write.mode("overwrite").text(f"{folder}/summary_json")
+        write_report(self.summary_json().withColumnRenamed("summary", "line"), f"{folder}/summary_json")
         write_report(self.summary_lines(), f"{folder}/summary")
         write_report(self.report_lines(), f"{folder}/report")
 
@@ -80,16 +86,20 @@ def analyse(df: DataFrame, classifier: Classifier | None = None, cfg: LedgerConf
     is written once, since the rules read it several times, and so is the result, since every
     report reads it.
     """
-    return _analyse_cleaned(stage(clean(df, cfg)), classifier, cfg)
+    return _analyse_cleaned(stage(clean(df, cfg)), classifier, cfg, dense=False)
 
 
-def _analyse_cleaned(cleaned: DataFrame, classifier: Classifier | None, cfg: LedgerConfig) -> Analysis:
+def _analyse_cleaned(
+    cleaned: DataFrame, classifier: Classifier | None, cfg: LedgerConfig, dense: bool
+) -> Analysis:
     flagged = detect_anomalies(cleaned, cfg)
     if classifier is None:
         known = F.broadcast(merchant_table(cleaned.sparkSession))  # 22 rows
         enriched = enrich_by_lookup(flagged, known, cfg)
     else:
-        enriched = merge_predictions(flagged, classifier_predictions(cleaned, classifier, cfg))
+        answers = classifier_responses(cleaned, classifier, cfg, dense)
+        enriched = merge_predictions(flagged, parse_responses(answers, cfg))
+        return Analysis(stage(enriched), cfg, failed_batches(answers))
     return Analysis(stage(enriched), cfg)
 
 
@@ -101,6 +111,6 @@ def run(
     cfg: LedgerConfig = BATCH,
 ) -> Analysis:
     """Analyse CSV files and write every output to ``folder``, which must not hold the input."""
-    analysis = _analyse_cleaned(read_clean_ledger(spark, path, cfg), classifier, cfg)
+    analysis = _analyse_cleaned(read_clean_ledger(spark, path, cfg), classifier, cfg, dense=True)
     analysis.write(folder)
     return analysis

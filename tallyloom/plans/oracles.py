@@ -54,6 +54,7 @@ marked AS (
     count(*) OVER (PARTITION BY date, amount, merchant, description) > 1 AS is_duplicate
   FROM {source} CROSS JOIN threshold
 ),
+-- Fixed values: the reason texts.
 reasoned AS (
   SELECT *, concat_ws(', ',
     CASE WHEN is_high THEN printf('Unusually high amount (> %.2f)', high_thresh) END,
@@ -185,6 +186,7 @@ chosen AS (
     ELSE 'Miscellaneous' END AS c
   FROM drawn
 ),
+-- Fixed values: merchants, error rows and labels.
 named AS (
   SELECT *, CASE c
     WHEN 'Travel' THEN ['Uber', 'United Airlines', 'Marriott Hotel', 'Shell Gas Station']
@@ -298,7 +300,12 @@ ORACLES: dict[str, str] = {
         " FROM cleaned LEFT JOIN customer ON merchant = c_name",
     ),
     "batch_assignment": _with(NUMBERED, "SELECT row_index, batch_id FROM batched"),
-    "capped_batches": _with(NUMBERED, "SELECT row_index, pos // 10 AS batch_id FROM numbered WHERE pos < 100"),
+    "interactive_batches": _with(NUMBERED, "SELECT row_index, pos // 10 AS batch_id FROM numbered"),
+    "sparse_key_batches": _with(
+        CLEANED + """,
+        far AS (SELECT (row_index * 7919 + 13) * CASE WHEN row_index % 2 = 0 THEN 1 ELSE -1 END AS row_index FROM cleaned)""",
+        "SELECT row_index, (row_number() OVER (ORDER BY row_index) - 1) // 20 AS batch_id FROM far",
+    ),
     "batch_payloads": _with(
         NUMBERED,
         "SELECT batch_id, first_row, last_row, row_index, date, amount, merchant, description, '' AS currency"
@@ -316,9 +323,9 @@ ORACLES: dict[str, str] = {
     ),
     "merged_predictions": _with(MERGED, f"SELECT row_index, {PREDICTION} FROM merged"),
     "classified_rows": _with(CLASSIFIED, f"SELECT row AS row_index, {PREDICTION} FROM classified"),
-    "capped_predictions": _with(
-        CLASSIFIED + ", capped AS (SELECT * FROM classified WHERE pos < 100)" + merge("cleaned", "merged", "capped"),
-        f"SELECT row_index, {PREDICTION} FROM merged",
+    "failed_batches": _with(
+        NUMBERED,
+        "SELECT DISTINCT batch_id, first_row, last_row, 'TimeoutError: no answer' AS error FROM batched WHERE first_row % 13 = 0",
     ),
     "flagged_rows": _with(FLAGGED, "SELECT row_index, amount, category_llm FROM flagged"),
     "anomaly_sources": _with(FLAGGED, "SELECT analysis_source, count(*) AS n FROM flagged GROUP BY analysis_source"),
@@ -350,12 +357,13 @@ ORACLES: dict[str, str] = {
     ),
     "summary_json": _with(
         FLAGGED + TOTALS + categories("enriched") + FIRST_TEN,
-        "SELECT total_transactions, total_amount, num_anomalies,"
-        " (SELECT string_agg(category_llm, '; ' ORDER BY line_no) FROM shares) AS categories,"
-        " (SELECT max(amount) FROM shares) AS largest_amount,"
-        " (SELECT string_agg(merchant, '; ' ORDER BY line_no) FROM first_ten) AS merchants,"
-        " (SELECT string_agg(anomaly_reasons_rule, '; ' ORDER BY line_no) FROM first_ten) AS reasons"
-        " FROM totals",
+        "SELECT '1 totals' AS section, CAST(1 AS BIGINT) AS line_no, total_transactions, total_amount, num_anomalies,"
+        " CAST(NULL AS VARCHAR) AS category_llm, CAST(NULL AS DOUBLE) AS amount, CAST(NULL AS VARCHAR) AS date,"
+        " CAST(NULL AS VARCHAR) AS merchant, CAST(NULL AS VARCHAR) AS description,"
+        " CAST(NULL AS VARCHAR) AS anomaly_reasons_rule, CAST(NULL AS VARCHAR) AS suspicious_reason_llm FROM totals"
+        " UNION ALL SELECT '2 categories', line_no, NULL, NULL, NULL, category_llm, amount, NULL, NULL, NULL, NULL, NULL FROM shares"
+        " UNION ALL SELECT '3 anomalies', line_no, NULL, NULL, NULL, NULL, amount, date, merchant, description,"
+        " anomaly_reasons_rule, suspicious_reason_llm FROM first_ten",
     ),
     "report_lines": _with(REPORT, "SELECT section, CAST(line_no AS BIGINT) AS line_no, line FROM report"),
     "summary_lines": _with(
@@ -366,7 +374,7 @@ ORACLES: dict[str, str] = {
         " UNION ALL SELECT '2 categories', line_no,"
         " printf('- %s: %.2f (%.1f%%)', category_llm, amount, percent) FROM shares"
         " UNION ALL SELECT '3 anomalies', 1, 'Rule-based anomalies flagged: ' || rule_anomalies FROM totals"
-        " UNION ALL SELECT '3 anomalies', 2, 'Suspicious transactions: ' || suspicious_transactions FROM totals",
+        " UNION ALL SELECT '3 anomalies', 2, 'LLM-suspicious transactions: ' || suspicious_transactions FROM totals",
     ),
     "generated_ledger": _with(GENERATED, "SELECT * REPLACE (CAST(amount AS DOUBLE) AS amount) FROM generated"),
     "generated_category_share": _with(LABELLED + categories("labelled"), SHARE),

@@ -16,7 +16,7 @@ from tallyloom.operators import enrich, review, rules
 from tallyloom.operators.duplicates import duplicate_columns, flag_duplicates, repeated_keys
 from tallyloom.plans import report
 from tallyloom.sources import files, generate
-from tallyloom.sources.staging import read_table, shared_folder, stage
+from tallyloom.sources.staging import shared_folder, stage
 
 COPY_OFFSET = 10_000_000
 UNKNOWN_OFFSET = 500_000_000
@@ -36,7 +36,7 @@ def query(make: Query) -> Query:
 
 def raw_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as a dirty ledger of text; every 101st row occurs twice, under another row key."""
-    orders = read_table(spark, f"{sf_dir}/orders.parquet")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
     k, price, day = F.col("o_orderkey"), F.col("o_totalprice"), F.col("o_orderdate")
     copies = F.when(k % 101 == 0, F.array(F.lit(0), F.lit(COPY_OFFSET))).otherwise(F.array(F.lit(0)))
@@ -179,7 +179,7 @@ def duplicate_rows(spark, sf_dir):
 def hot_duplicate_rows(spark, sf_dir):
     """A short key that a third of the rows may share, matched by broadcast and salt."""
     ledger = stage(cleaned(spark, sf_dir).select("row_index", "date_parsed", "description"))
-    marked = flag_duplicates(ledger, ["date_parsed", "description"], "is_duplicate", hot_rows=3)
+    marked = flag_duplicates(ledger, ["date_parsed", "description"], "is_duplicate")
     return marked.select("row_index", "is_duplicate")
 
 
@@ -246,8 +246,16 @@ def batch_assignment(spark, sf_dir):
 
 
 @query
-def capped_batches(spark, sf_dir):
-    return enrich.assign_batches(cleaned(spark, sf_dir).select("row_index"), INTERACTIVE)
+def interactive_batches(spark, sf_dir):
+    """Batches of the interactive profile: smaller, of all rows."""
+    return enrich.assign_batches(stage(cleaned(spark, sf_dir).select("row_index")), INTERACTIVE)
+
+
+@query
+def sparse_key_batches(spark, sf_dir):
+    """Batches by keys spread over all of BIGINT."""
+    far = (F.col("row_index") * 7_919 + 13) * F.when(F.col("row_index") % 2 == 0, 1).otherwise(-1)
+    return enrich.assign_batches(cleaned(spark, sf_dir).select(far.alias("row_index")))
 
 
 @query
@@ -334,9 +342,17 @@ def classified_rows(spark, sf_dir):
 
 
 @query
-def capped_predictions(spark, sf_dir):
+def failed_batches(spark, sf_dir):
+    """Every batch whose first row is a multiple of 13 fails each time it is tried."""
+
+    def classifier(payload: str) -> str:
+        if json.loads(payload)[0]["row_index"] % 13 == 0:
+            raise TimeoutError("no answer")
+        return '{"results": []}'
+
     ledger = stage(cleaned(spark, sf_dir))
-    return enrich.enrich(ledger, priority_classifier(), INTERACTIVE).select("row_index", *enrich.PREDICTION)
+    answers = enrich.classifier_responses(ledger, classifier, replace(BATCH, on_classifier_error="skip"))
+    return enrich.failed_batches(answers)
 
 
 # --- anomaly report -----------------------------------------------------------------------
@@ -426,23 +442,13 @@ def review_view(spark, sf_dir):
 
 @query
 def summary_json(spark, sf_dir):
-    """The JSON document, read back into columns."""
+    """The JSON lines, read back into columns."""
     shape = (
-        "total_transactions bigint, total_amount double, num_anomalies bigint, "
-        "category_summary array<struct<category_llm string, amount double>>, "
-        "sample_anomalies array<struct<date string, amount double, merchant string, "
-        "description string, anomaly_reasons_rule string, suspicious_reason_llm string>>"
-    )
-    parsed = report.summary_json(stage(enriched(spark, sf_dir))).select(F.from_json("summary", shape).alias("s"))
-    return parsed.select(
-        "s.total_transactions",
-        "s.total_amount",
-        "s.num_anomalies",
-        F.array_join(F.col("s.category_summary.category_llm"), "; ").alias("categories"),
-        F.col("s.category_summary")[0]["amount"].alias("largest_amount"),
-        F.array_join(F.col("s.sample_anomalies.merchant"), "; ").alias("merchants"),
-        F.array_join(F.col("s.sample_anomalies.anomaly_reasons_rule"), "; ").alias("reasons"),
+        "total_transactions bigint, total_amount double, num_anomalies bigint, category_llm string, amount double, "
+        "date string, merchant string, description string, anomaly_reasons_rule string, suspicious_reason_llm string"
     )
+    lines = report.summary_json(stage(enriched(spark, sf_dir)))
+    return lines.select("section", "line_no", F.from_json("summary", shape).alias("s")).select("section", "line_no", "s.*")
 
 
 @query
@@ -458,14 +464,14 @@ def summary_lines(spark, sf_dir):
 @query
 def generated_ledger(spark, sf_dir):
     """One generated expense per order, and the error cases."""
-    ids = read_table(spark, f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"))
+    ids = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"))
     return generate.generate_ledger(ids)
 
 
 @query
 def generated_category_share(spark, sf_dir):
     """Generated expenses, cleaned and put in categories by the table of known merchants."""
-    ids = read_table(spark, f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"))
+    ids = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"))
     ledger = cleaning.clean(generate.generate_rows(ids).unionByName(generate.error_rows(spark)))
     known = F.broadcast(generate.merchant_table(spark))  # 22 rows
     return report.category_share(enrich.enrich_by_lookup(ledger, known), INTERACTIVE)

@@ -9,9 +9,11 @@ from tallyloom.config import BATCH, LedgerConfig
 from tallyloom.functions.money import money_parts, money_total, percent_of, resum_parts
 from tallyloom.functions.values import fixed, not_blank, strip_text, thousands
 from tallyloom.operators.clean import ROW_KEY, with_month
+from tallyloom.operators.position import with_position
 from tallyloom.operators.rules import FLAG, REASONS
 from tallyloom.sources.staging import stage
 
+# Column names and the texts of reports.
 CATEGORY = "category_llm"
 DASH = "—"
 SAMPLE_COLUMNS = ("date", "amount", "merchant", "description", REASONS, "suspicious_reason_llm")
@@ -173,50 +175,36 @@ def first_anomalies(df: DataFrame, cfg: LedgerConfig = BATCH) -> DataFrame:
 # --- documents ----------------------------------------------------------------------------
 
 
-def _bounded(categories: DataFrame, cfg: LedgerConfig) -> tuple[DataFrame, Column]:
-    """Categories for one document, and the test that none was left out.
+def summary_json(df: DataFrame, cfg: LedgerConfig = BATCH) -> DataFrame:
+    """The JSON summary as lines (section, line_no, summary): totals, categories, first anomalies.
 
-    A document is one row, so it must not grow with the data. Beyond the limit it is an error,
-    never a shortened list; the tables above have no limit.
+    A line per category, so that neither a row nor a task grows with their number.
     """
-    limit = cfg.max_report_categories
-    message = f"more than {limit} categories: use category_totals, or raise max_report_categories"
-    return categories.limit(limit + 1), F.lit(message)
+    groups = _by_category(df, _measures(df))
 
+    def as_json(*columns: str) -> Column:
+        return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("summary")
 
-def summary_json(df: DataFrame, cfg: LedgerConfig = BATCH) -> DataFrame:
-    """One row with the JSON summary: totals, category amounts, anomaly count and first anomalies."""
-    groups = _by_category(df, _measures(df))
-    ordered = _category_amounts(groups).orderBy(F.desc("amount"), CATEGORY)
-    categories, message = _bounded(ordered, cfg)
-    entry = F.struct((-F.col("amount")).alias("o"), CATEGORY, "amount")
-    collected = categories.agg(F.sort_array(F.collect_list(entry)).alias("c")).select(
-        F.when(F.size("c") > cfg.max_report_categories, F.raise_error(message))
-        .otherwise(F.transform("c", lambda e: F.struct(e[CATEGORY].alias(CATEGORY), e["amount"].alias("amount"))))
-        .alias("category_summary")
+    totals = _totals(groups).select(
+        F.lit("1 totals").alias("section"),
+        F.lit(1).cast("bigint").alias("line_no"),
+        as_json("total_transactions", "total_amount", "num_anomalies"),
     )
-    columns = [c for c in SAMPLE_COLUMNS if c in df.columns]
-    sample = first_anomalies(df, cfg).agg(
-        F.sort_array(F.collect_list(F.struct(ROW_KEY, F.struct(*columns).alias("s")))).alias("a")
-    ).select(F.col("a.s").alias("sample_anomalies"))
-    document = F.struct(
-        "total_transactions", "total_amount", "category_summary", "num_anomalies", "sample_anomalies"
+    categories = _numbered_categories(groups, None).select(
+        F.lit("2 categories").alias("section"), "line_no", as_json(CATEGORY, "amount")
     )
-    return (
-        _totals(groups)
-        .withColumn("category_summary", collected.scalar())
-        .withColumn("sample_anomalies", sample.scalar())
-        .select(F.to_json(document, {"ignoreNullFields": "false"}).alias("summary"))
+    columns = [c for c in SAMPLE_COLUMNS if c in df.columns]
+    anomalies = (
+        first_anomalies(df, cfg)
+        .withColumn("line_no", F.row_number().over(Window.orderBy(ROW_KEY)).cast("bigint"))
+        .select(F.lit("3 anomalies").alias("section"), "line_no", as_json(*columns))
     )
+    return totals.unionByName(categories).unionByName(anomalies)
 
 
-def _numbered_categories(groups: DataFrame, digits: int | None, cfg: LedgerConfig) -> DataFrame:
-    categories, message = _bounded(_share(groups, digits), cfg)
-    place = F.row_number().over(Window.orderBy(F.desc("amount"), CATEGORY)).cast("bigint")
-    return categories.withColumn("line_no", place).withColumn(
-        "line_no",
-        F.when(F.col("line_no") > cfg.max_report_categories, F.raise_error(message)).otherwise(F.col("line_no")),
-    )
+def _numbered_categories(groups: DataFrame, digits: int | None) -> DataFrame:
+    placed = with_position(_share(groups, digits), [F.desc("amount"), F.asc(CATEGORY)], "_position")
+    return placed.withColumn("line_no", F.col("_position") + 1).drop("_position")
 
 
 def _text_lines(one_row: DataFrame, section: str, lines: list[Column]) -> DataFrame:
@@ -237,7 +225,7 @@ def report_lines(df: DataFrame, cfg: LedgerConfig = BATCH) -> DataFrame:
             F.concat(F.lit("Total anomalies: "), F.col("num_anomalies")),
         ],
     )
-    categories = _numbered_categories(groups, None, cfg).select(
+    categories = _numbered_categories(groups, None).select(
         F.lit("2 categories").alias("section"),
         "line_no",
         F.concat(F.lit("- "), F.col(CATEGORY), F.lit(": "), thousands(F.col("amount"))).alias("line"),
@@ -281,7 +269,7 @@ def summary_lines(df: DataFrame, cfg: LedgerConfig = BATCH) -> DataFrame:
             F.lit("- "), F.col(CATEGORY), F.lit(": "), fixed(F.col("amount"), 2),
             F.lit(" ("), fixed(F.col("Percent"), 1), F.lit("%)"),
         )
-        categories = _numbered_categories(groups, None, cfg)
+        categories = _numbered_categories(groups, None)
         lines = lines.unionByName(
             categories.select(F.lit("2 categories").alias("section"), "line_no", text.alias("line"))
         )
@@ -289,5 +277,5 @@ def summary_lines(df: DataFrame, cfg: LedgerConfig = BATCH) -> DataFrame:
     if FLAG in df.columns:
         counts.append(F.concat(F.lit("Rule-based anomalies flagged: "), F.col("rule_anomalies")))
     if "suspicious_llm" in df.columns:
-        counts.append(F.concat(F.lit("Suspicious transactions: "), F.col("suspicious_transactions")))
+        counts.append(F.concat(F.lit("LLM-suspicious transactions: "), F.col("suspicious_transactions")))
     return lines.unionByName(_text_lines(totals, "3 anomalies", counts)) if counts else lines

@@ -20,8 +20,6 @@ from tallyloom.sources.staging import stage
 
 BROKEN = "_broken_record"
 SPLIT = ("_file", "_split")
-# A row of some 150 bytes per input split, which the driver lists anyway: 128 TB of input.
-BROADCAST_SPLITS = 1_000_000
 
 
 def read_ledger(spark: SparkSession, path: str, cfg: LedgerConfig = BATCH) -> DataFrame:
@@ -66,16 +64,18 @@ def _parse(spark: SparkSession, path: str, cfg: LedgerConfig) -> DataFrame:
 
 
 def _refuse_open_quotes(spark: SparkSession, path: str) -> None:
-    """Raise if a line has an odd number of quotes, so that a field may go on in the next one.
+    """Raise if a quoted field is still open at the end of a line, so that it goes on in the next.
 
-    Read line by line, such a field could pass as two ordinary records. One scan of the text,
-    far cheaper than parsing it.
+    Read line by line, such a field could pass as two ordinary records. A quote inside a field
+    that does not start with one is text. One scan of the text, far cheaper than parsing it.
     """
-    line = F.col("value")
-    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
-    found = spark.read.text(path).where(quotes % 2 == 1).agg(F.first("value").alias("value")).first()
+    rest = F.regexp_replace("value", r'(^|,)"(?:[^"]|"")*+"(?=,|$)', "$1")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    found = lines.where(rest.rlike('(^|,)"')).agg(F.first("value").alias("value"), F.first("file").alias("file")).first()
     if found.value is not None:
-        raise ValueError(f"open quote in CSV line, set multi_line if fields hold line breaks: {found.value}")
+        raise ValueError(
+            f"open quote in CSV line of {found.file}, set multi_line if fields hold line breaks: {found.value}"
+        )
 
 
 def _refuse_long(lines: DataFrame, width: int) -> DataFrame:
@@ -100,10 +100,8 @@ def _number(rows: DataFrame) -> DataFrame:
             (F.sum("_n").over(in_order) - F.col("_n") - F.col("_first")).alias("_shift"),
         )
     )
-    splits = stage(splits)
-    if splits.count() <= BROADCAST_SPLITS:
-        splits = F.broadcast(splits)
-    return rows.join(splits, ["_file", "_split"]).select(
+    # Written, so that the optimizer knows its bytes and broadcasts it only if they are few.
+    return rows.join(stage(splits), ["_file", "_split"]).select(
         (F.col("_id") + F.col("_shift")).alias(ROW_KEY), *named(columns)
     )
 
@@ -135,6 +133,5 @@ def write_review(df: DataFrame, path: str) -> None:
 
 
 def write_report(lines: DataFrame, path: str) -> None:
-    """Report lines as one text file: a document of bounded size."""
-    ordered = lines.orderBy("section", "line_no").select("line")
-    ordered.coalesce(1).write.mode("overwrite").text(path)
+    """Report lines as text files in order, one unless there are very many categories."""
+    lines.orderBy("section", "line_no").select("line").write.mode("overwrite").text(path)

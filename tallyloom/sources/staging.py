@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only in local mode."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tallyloom-"))
-    return context.getCheckpointDir()
+    """``spark.checkpoint.dir`` of the session: a folder that every executor can reach."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    return folder
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -32,15 +26,3 @@ def stage(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Read a Parquet table; a small one is dealt out to all cores.
-
-    A file with a single row group is one task, however many cores wait. Tables that already
-    have as many splits as cores, or more than 64, are left as they are, so what is shuffled here
-    never grows with the data.
-    """
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 64) else df

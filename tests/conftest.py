@@ -9,7 +9,7 @@ from tallyloom import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
         "tests",
         "local[8]",
@@ -18,6 +18,8 @@ def spark():
         spark_ui_enabled="false",
         spark_ui_showConsoleProgress="false",
         spark_driver_memory="8g",
+        spark_checkpoint_dir=str(tmp_path_factory.mktemp("shared")),
+        spark_sql_warehouse_dir=str(tmp_path_factory.mktemp("warehouse")),
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

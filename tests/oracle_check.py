@@ -5,6 +5,7 @@ Run as ``python tests/oracle_check.py <sf_dir> [query ...]``.
 
 import math
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -53,7 +54,7 @@ def main(sf_dir, *names):
     from __spark_entry__ import oracle_sql, queries
     from tallyloom import build_session
 
-    spark = build_session("check", "local[8]", spark_sql_shuffle_partitions="8", spark_ui_enabled="false", spark_ui_showConsoleProgress="false")
+    spark = build_session("check", "local[8]", spark_sql_shuffle_partitions="8", spark_ui_enabled="false", spark_ui_showConsoleProgress="false", spark_checkpoint_dir=tempfile.mkdtemp(prefix="oracle-"))
     spark.sparkContext.setLogLevel("ERROR")
     con, oracles = connect(sf_dir), oracle_sql()
     bad = 0
@@ -62,7 +63,7 @@ def main(sf_dir, *names):
             continue
         start = time.time()
         try:
-            problem = difference(make(spark, sf_dir), con, oracles[name])
+            problem = difference(make(spark, sf_dir), con, oracles[name]) if name in oracles else "no SQL"
         except Exception as error:
             problem = f"{type(error).__name__}: {str(error)[:1500]}"
         bad += problem is not None

@@ -10,7 +10,7 @@ from tallyloom.operators.enrich import (
     batch_payloads,
     classify,
     enrich,
-    enrich_by_lookup,
+    failed_batches,
     lookup_categories,
     merge_predictions,
     parse_responses,
@@ -36,12 +36,15 @@ def test_batches_are_consecutive(spark):
     assert {r.row_index: r.batch_id for r in got} == {i * 1000: i // 20 for i in range(45)}
 
 
-@pytest.mark.parametrize("cap", [100, 20_000])
-def test_cap_takes_the_first_rows(spark, cap):
-    cfg = LedgerConfig(batch_size=10, max_rows=cap)
-    got = assign_batches(spark.range(20_010).withColumnRenamed("id", "row_index"), cfg)
-    assert (got.count(), got.agg({"row_index": "max"}).first()[0]) == (cap, cap - 1)
-    assert got.select("batch_id").distinct().count() == cap // 10
+def test_dense_keys_need_no_exchange(spark):
+    got = assign_batches(ledger(spark, 45), dense=True)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r.row_index: r.batch_id for r in got.collect()} == {i: i // 20 for i in range(45)}
+
+
+def test_null_keys_keep_their_rows(spark):
+    df = spark.createDataFrame([(None,), (3,), (5,)], "row_index bigint")
+    assert assign_batches(df).count() == 3
 
 
 def test_payload_records(spark):
@@ -110,12 +113,30 @@ def test_classifier_failure_by_profile(spark):
         classify(batch_payloads(df, LedgerConfig(batch_size=10)), fails_on_second).collect()
 
 
-def test_interactive_profile_classifies_the_first_hundred(spark):
+def test_interactive_profile_classifies_every_row(spark):
     def meals(payload):
         return json.dumps({"results": [{"row_index": r["row_index"], "category": "Meals"} for r in json.loads(payload)]})
 
-    got = {r.row_index: r.category_llm for r in enrich(ledger(spark, 103), meals, INTERACTIVE).collect()}
-    assert [got[i] for i in (0, 99, 100, 102)] == ["Meals", "Meals", "", ""]
+    got = [r.category_llm for r in enrich(ledger(spark, 103), meals, INTERACTIVE).collect()]
+    assert got == ["Meals"] * 103
+
+
+def test_failed_calls_are_tried_again_and_kept(spark):
+    def flaky():
+        seen = {}
+
+        def ask(payload):
+            first = json.loads(payload)[0]["row_index"]
+            seen[first] = seen.get(first, 0) + 1
+            if first == 10 or (first == 20 and seen[first] < 3):
+                raise TimeoutError("busy")
+            return '{"results": []}'
+
+        return ask
+
+    cfg = LedgerConfig(batch_size=10, on_classifier_error="skip")
+    answers = classify(batch_payloads(ledger(spark, 30), cfg), flaky(), cfg)
+    assert [tuple(r) for r in failed_batches(answers).collect()] == [(1, 10, 19, "TimeoutError: busy")]
 
 
 def test_merge_keeps_rows_and_null_categories(spark):
@@ -130,5 +151,3 @@ def test_lookup(spark):
     df = clean(spark.createDataFrame(rows, "row_index bigint, date string, amount double, merchant string, description string"))
     got = lookup_categories(df, merchant_table(spark)).orderBy("row_index").collect()
     assert [r.category_llm for r in got] == ["Office Supplies", "Meals", "Other"]
-    capped = enrich_by_lookup(df, merchant_table(spark), LedgerConfig(max_rows=1)).orderBy("row_index").collect()
-    assert [(r.category_llm, r.confidence_llm) for r in capped] == [("Office Supplies", 1.0), ("", None), ("", None)]

@@ -58,6 +58,12 @@ def test_line_breaks_in_fields_are_read_or_refused(spark, tmp_path):
     assert [(r.row_index, r.description) for r in rows] == [(0, "two\nlines"), (1, "b")]
 
 
+def test_quotes_inside_fields_are_text(spark, tmp_path):
+    text = 'date,amount,description\n2025-01-01,5,5" pipe\n2025-01-02,6,"a ""b"", c"\n'
+    rows = read_ledger(spark, write(tmp_path / "q.csv", text)).orderBy("row_index").collect()
+    assert [r.description for r in rows] == ['5" pipe', 'a "b", c']
+
+
 def test_numbers_across_many_files_and_splits(spark, tmp_path):
     expected = []
     for part in range(3):
@@ -150,33 +156,23 @@ def test_run_writes_every_output(spark, ledger_csv, tmp_path):
     lines = [row for part in sorted((out / "enriched").glob("*.csv")) for row in list(csv.DictReader(part.open(encoding="utf-8")))]
     assert len(lines) == 101 and set(COLUMNS) <= set(lines[0]) and "month" in lines[0] and "row_index" not in lines[0]
     assert [r["transaction_id"] for r in lines] == [r.transaction_id for r in analysis.ledger.orderBy("row_index").collect()]
-    (document,) = [json.loads(p.read_text()) for p in (out / "summary_json").glob("*.txt")]
-    assert document["total_transactions"] == 101
-    assert abs(sum(c["amount"] for c in document["category_summary"]) - document["total_amount"]) < 1e-6
-    (report,) = list((out / "report").glob("*.txt"))
-    assert report.read_text().startswith("Total transactions: 101\n")
+    texts = sorted((out / "summary_json").glob("*.txt"))
+    first, *rest = [json.loads(line) for p in texts for line in p.read_text().splitlines()]
+    assert first["total_transactions"] == 101
+    assert abs(sum(c["amount"] for c in rest if "category_llm" in c) - first["total_amount"]) < 1e-6
+    report = "".join(p.read_text() for p in sorted((out / "report").glob("*.txt")))
+    assert report.startswith("Total transactions: 101\n")
 
 
-def test_interactive_profile_leaves_later_rows_blank(spark, ledger_csv):
+def test_interactive_profile_reaches_every_row(spark, ledger_csv):
     analysis = analyse(read_ledger(spark, ledger_csv), cfg=INTERACTIVE)
-    blank = [r.row_index for r in analysis.ledger.where("category_llm = ''").collect()]
-    assert blank == [100]
-    shares = {r.category_llm: r.Percent for r in analysis.category_share().collect()}
-    assert "" in shares and all(round(p, 1) == p for p in shares.values())
-
-
-def test_edits_then_reports(spark, ledger_csv, tmp_path):
-    analysis = analyse(read_ledger(spark, ledger_csv))
-    edits = analysis.review().where("description = 'Refund'").selectExpr("row_index", "150D AS amount", "'Meals' AS category_llm")
-    edited = analysis.edited(edits)
-    assert edited.kpis().first().rule_anomalies == analysis.kpis().first().rule_anomalies - 1
-    assert edited.ledger.count() == 101
+    assert analysis.ledger.where("category_llm = ''").count() == 0
 
 
 def test_results_ignore_partitioning(spark, ledger_csv):
     ledger = read_ledger(spark, ledger_csv)
     one, many = analyse(ledger.coalesce(1)), analyse(ledger.repartition(9))
-    assert one.summary_json().first() == many.summary_json().first()
+    assert sorted(one.summary_json().collect()) == sorted(many.summary_json().collect())
     assert sorted(map(str, one.ledger.collect())) == sorted(map(str, many.ledger.collect()))
 
 
