@@ -16,7 +16,7 @@ from tallyloom.sources.staging import stage
 
 LENGTH = 2048
 GRID = 8
-CACHE = 300_000
+CACHE = 600_000
 GAP = 1e-3
 ODD = re.compile("[\x1c-\x1f]|<\\|(?:startoftext|endoftext)\\|>")
 BREAK = re.compile(r"\s")
