@@ -6,9 +6,11 @@ import math
 import re
 from array import array
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,9 @@ from tallyloom.llm.words import mix, slices
 
 ALPHA = 1.0
 CACHE = 150_000
+NODES = 1 << 21
+CHUNKS_AT_ONCE = 1 << 18
+IDS_AT_ONCE = 1 << 19
 CHUNK = re.compile(" *[^ ]+| +")
 SPACE = "▁"
 TINY = 1e-200
@@ -48,6 +53,7 @@ class PieceLattice:
             self.bytes[i] = sp.id_to_piece(i).replace(SPACE, " ").encode()
         for b, i in enumerate(self.byte):
             self.bytes[i] = bytes([b])
+        self.letters = pa.array(self.bytes, pa.large_binary())
         self.spelled: list[bytes] = []
         self.spelling: dict[str, int] = {}
         self._clear()
@@ -95,23 +101,35 @@ class PieceLattice:
 
     def sample(self, texts: list[str], seeds: np.ndarray) -> list[np.ndarray]:
         """Ids of one segmentation per text, drawn by the text's seed alone."""
-        if len(self.chunks) > CACHE:
+        return self._draw([CHUNK.findall(" " + t) if t else [] for t in texts], seeds)
+
+    def sample_long(self, text: str, seeds: np.ndarray) -> np.ndarray:
+        """As ``sample`` for one text, some chunks at a time, so that few of a huge text's are held."""
+        found = CHUNK.finditer(" " + text if text else "")
+        out, start = [np.zeros(0, dtype=np.int64)], 0
+        while some := [m.group() for m in islice(found, CHUNKS_AT_ONCE)]:
+            out += self._draw([some], seeds, start)
+            start += len(some)
+        return np.concatenate(out)
+
+    def _draw(self, texts: list[list[str]], seeds: np.ndarray, start: int = 0) -> list[np.ndarray]:
+        """Ids of each list of chunks; ``start`` is the place of the first one in its text."""
+        if len(self.chunks) > CACHE or self.nodes > NODES:
             self._clear()
         index, rows, known = [], [], self.chunks
-        for row, text in enumerate(texts):
-            parts = CHUNK.findall(" " + text) if text else []
+        for parts in texts:
             index += [known[p] if p in known else self._learn(p) for p in parts]
             rows.append(len(parts))
         which, counts = np.array(index, dtype=np.int64), np.array(rows)
         row = np.repeat(np.arange(len(texts)), counts)
-        place = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
+        place = start + np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
         if not which.size:
             return [np.zeros(0, dtype=np.int64) for _ in texts]
         first = np.frombuffer(self.first, dtype=np.int64)
         edge, back = np.frombuffer(self.edge), np.frombuffer(self.back, dtype=np.int64)
         piece = np.frombuffer(self.piece, dtype=np.int64)
-        start = first[which]
-        node = start + np.frombuffer(self.length, dtype=np.int64)[which]
+        origin = first[which]
+        node = origin + np.frombuffer(self.length, dtype=np.int64)[which]
         seed = mix(seeds[row] + mix(place.astype(np.uint64)))
         active, drawn, taken = np.arange(len(which)), [], np.zeros(len(which), dtype=np.int64)
         step = 0
@@ -122,7 +140,7 @@ class PieceLattice:
             drawn.append((active, piece[e]))
             taken[active] += 1
             node[active] -= back[e]
-            active = active[node[active] > start[active]]
+            active = active[node[active] > origin[active]]
             step += 1
         ends = np.cumsum(taken)
         out = np.empty(ends[-1], dtype=np.int64)
@@ -140,8 +158,16 @@ class PieceLattice:
             dtype=np.int64,
         )
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes.__getitem__, ids)).decode()[1:]
+    def decode(self, ids: pa.ListArray) -> pa.Array:
+        """The texts of rows of ids: their pieces' bytes end to end, without the space in front."""
+        data = self.letters.take(ids.flatten())
+        _, offsets, raw = data.buffers()
+        ends = np.frombuffer(offsets, dtype=np.int64)[data.offset : data.offset + len(data) + 1]
+        sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+        cuts = ends[np.cumsum([0, *sizes])]
+        text = pa.LargeStringArray.from_buffers(len(ids), pa.py_buffer(cuts.astype(np.int64)), raw or pa.py_buffer(b""))
+        plain = pc.utf8_slice_codeunits(text, 1)
+        return pc.if_else(ids.is_valid(), plain, pa.scalar(None, plain.type)).cast(pa.string())
 
 
 @lru_cache(maxsize=2)
@@ -165,7 +191,8 @@ def encode_sampled(
             for part in slices(batch, "_text"):
                 texts = part["_text"].to_pylist()
                 seeds = part["_seed"].to_numpy().view(np.uint64)
-                ids = lattice.sample([t or "" for t in texts], seeds)
+                long = len(texts) == 1
+                ids = [lattice.sample_long(texts[0] or "", seeds)] if long else lattice.sample([t or "" for t in texts], seeds)
                 sizes = np.array([0, *map(len, ids)])
                 values = pa.array(np.concatenate(ids).astype(np.int32))
                 nulls = pa.array([t is None for t in texts])
@@ -185,8 +212,8 @@ def decode_pieces(coded: DataFrame, model: str, key: str = "doc_id", ids: str =
     def run(batches):
         lattice = _lattice(model, ALPHA)
         for batch in batches:
-            texts = [None if x is None else lattice.decode(x) for x in batch["_ids"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["_key"], batch["_ids"], pa.array(texts, pa.string())], ["_key", "ids", "text"])
+            for part in slices(batch, "_ids", IDS_AT_ONCE):
+                yield pa.RecordBatch.from_arrays([part["_key"], part["_ids"], lattice.decode(part["_ids"])], ["_key", "ids", "text"])
 
     rows = coded.select(F.col(key).alias("_key"), F.col(ids).alias("_ids"))
     return rows.mapInArrow(run, f"_key {kind}, ids array<int>, text string").withColumnRenamed("_key", key)

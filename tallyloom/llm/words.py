@@ -51,12 +51,14 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows of about ``SLICE_BYTES`` of text, so arrays stay small."""
+def slices(batch: pa.RecordBatch, text: str, room: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about ``room`` bytes of text or items of a list, so arrays stay small."""
     if not len(batch):
         return
-    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
-    run = (np.cumsum(sizes) - sizes) // SLICE_BYTES
+    column = batch.column(text)
+    sizes = pc.list_value_length(column) if pa.types.is_list(column.type) else pc.binary_length(column)
+    sizes = pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    run = (np.cumsum(sizes) - sizes) // room
     edges = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(batch)]
     for a, b in zip(edges, edges[1:]):
         yield batch.slice(a, b - a)
