@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import math
 import re
-from array import array
 from functools import lru_cache
 from itertools import islice
 
@@ -14,11 +12,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.words import mix, slices
+from tallyloom.llm.words import BASE, mix, slices
 
 ALPHA = 1.0
-CACHE = 150_000
-NODES = 1 << 21
 CHUNKS_AT_ONCE = 1 << 18
 IDS_AT_ONCE = 1 << 19
 CHUNK = re.compile(" *[^ ]+| +")
@@ -30,9 +26,9 @@ class PieceLattice:
     """Forward-filtering backward-sampling over the piece lattice.
 
     A space is part of a piece only at its start, so the lattice of a text falls into those of
-    its chunks, each the spaces before a word and the word. A chunk is filtered forwards once: for
-    every place, the probability that a segmentation which comes there does so by each piece. The
-    tables of many chunks lie in one array, in which a whole batch is sampled backwards together.
+    its chunks, each the spaces before a word and the word. The distinct chunks of some texts are
+    filtered forwards together, a character of each at a time, and all their chunks are sampled
+    backwards together. Nothing is kept from one call to the next.
 
     The vocabulary has merge ranks in place of probabilities; a piece weighs the inverse of its
     rank to the power ``alpha`` (Zipf's law). A character that is no piece is spelled in bytes.
@@ -54,50 +50,83 @@ class PieceLattice:
         for b, i in enumerate(self.byte):
             self.bytes[i] = bytes([b])
         self.letters = pa.array(self.bytes, pa.large_binary())
-        self.spelled: list[bytes] = []
-        self.spelling: dict[str, int] = {}
-        self._clear()
-
-    def _clear(self) -> None:
-        self.chunks: dict[str, int] = {}
-        self.first, self.length = array("q"), array("q")
-        self.edge, self.back, self.piece = array("d"), array("q"), array("q")
-        self.nodes = 0
-
-    def _learn(self, chunk: str) -> int:
-        """Filter a chunk forwards. Node ``first + t`` is the place after its ``t``-th character."""
-        first, n = self.nodes, len(chunk)
-        self.nodes += n + 1
-        reach = [1.0] + [0.0] * n
-        get, longest = self.pieces.get, self.longest
-        for t in range(1, n + 1):
-            ways, total = [], 0.0
-            for s in range(max(0, t - longest), t):
-                known = get(chunk[s:t])
-                if known and reach[s]:
-                    total += reach[s] * known[1]
-                    ways.append((total, t - s, known[0]))
-            if chunk[t - 1] not in self.pieces:
-                letter = chunk[t - 1]
-                raw = letter.encode()
-                if letter not in self.spelling:
-                    self.spelling[letter] = self.size + len(self.spelled)
-                    self.spelled.append(raw)
-                total += reach[t - 1] * self.rare ** len(raw)
-                ways.append((total, 1, self.spelling[letter]))
-            reach[t] = total
-            for upto, step, piece in ways:
-                self.edge.append(first + t + min(upto / total, 1 - 1e-9))
-                self.back.append(step)
-                self.piece.append(piece)
-            if total < TINY:
-                for s in range(max(0, t - longest), t + 1):
-                    reach[s] /= TINY
-        index = len(self.first)
-        self.first.append(first)
-        self.length.append(n)
-        self.chunks[chunk] = index
-        return index
+        self._index_suffixes()
+
+    def _index_suffixes(self) -> None:
+        """``ending``: sorted hashes of all ends of pieces; ``whole``: the piece that is just that, or -1."""
+        known = {p[-n:] for p in self.pieces for n in range(1, len(p) + 1)}
+        found = sorted((self._hash(p), self.pieces.get(p, (-1, 0.0))) for p in known)
+        self.ending = np.array([h for h, _ in found], dtype=np.uint64)
+        self.whole = np.array([p for _, (p, _) in found], dtype=np.int64)
+        self.weight = np.array([w for _, (_, w) in found])
+
+    @staticmethod
+    def _hash(part: str) -> int:
+        """Polynomial of the characters, the last one first, as ``_edges`` rolls it."""
+        value = 0
+        for letter in reversed(part):
+            value = (value * BASE + ord(letter) + 1) % 2**64
+        return value
+
+    def _edges(self, points: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Character, length, piece and weight of every piece that ends at a character.
+
+        ``place`` is 0 at the origin of a chunk and counts its characters. A string is made longer
+        to the left only while some piece ends in it.
+        """
+        at = np.flatnonzero(place > 0)
+        value, out, single = np.zeros(len(at), dtype=np.uint64), [], np.zeros(len(points), dtype=bool)
+        for n in range(1, self.longest + 1):
+            value = value * np.uint64(BASE) + (points[at - (n - 1)].astype(np.uint64) + np.uint64(1))
+            row = np.minimum(np.searchsorted(self.ending, value), len(self.ending) - 1)
+            alive = self.ending[row] == value
+            row, is_piece = row[alive], self.whole[row[alive]] >= 0
+            at, value = at[alive], value[alive]
+            if n == 1:
+                single[at[is_piece]] = True
+            out.append((at[is_piece], np.full(is_piece.sum(), n), self.whole[row[is_piece]], self.weight[row[is_piece]]))
+            more = place[at] > n
+            at, value = at[more], value[more]
+        # Other characters are an edge of their own, numbered above the vocabulary.
+        at = np.flatnonzero((place > 0) & ~single)
+        size = 1 + sum((points[at] > limit).astype(np.int64) for limit in (0x7F, 0x7FF, 0xFFFF))
+        out.append((at, np.ones(len(at), dtype=np.int64), self.size + points[at].astype(np.int64), self.rare**size))
+        return tuple(np.concatenate(c) for c in zip(*out))
+
+    def _filter(self, chunks: list[str]) -> tuple[np.ndarray, ...]:
+        """First node and length of each chunk, and per node its edges' chances, steps and pieces.
+
+        A node is a place in a chunk: the origin, then one behind each character. ``key`` rises
+        over all edges: the node's number in the order of levels, plus the share of the
+        segmentations that come there by this edge or one before it.
+        """
+        points = np.frombuffer(("\0" + "\0".join(chunks)).encode("utf-32-le"), dtype=np.uint32)
+        length = np.array([len(c) for c in chunks])
+        first = np.cumsum(length + 1) - (length + 1)
+        place = np.arange(len(points)) - np.repeat(first, length + 1)
+        node, step, piece, weight = self._edges(points, place)
+        order = np.lexsort((step, node, place[node]))
+        node, step, piece, weight = node[order], step[order], piece[order], weight[order]
+        heads = np.flatnonzero(np.diff(node, prepend=-1))
+        tails = np.append(heads[1:], len(node)) - 1
+        reach, share = np.zeros(len(points)), np.empty(len(node))
+        reach[first] = 1.0
+        levels = np.flatnonzero(np.diff(place[node[heads]], prepend=0))
+        for low, high in zip(levels, np.append(levels[1:], len(heads))):
+            a, b = heads[low], tails[high - 1] + 1
+            ways = reach[node[a:b] - step[a:b]] * weight[a:b]
+            total = np.add.reduceat(ways, heads[low:high] - a)
+            share[a:b] = ways / np.repeat(total, tails[low:high] - heads[low:high] + 1)
+            here = node[heads[low:high]]
+            reach[here] = total
+            for i in here[total < TINY].tolist():
+                reach[max(i - self.longest, i - place[i]) : i + 1] /= TINY
+        number = np.full(len(points), -1)
+        number[node[heads]] = np.arange(len(heads))
+        summed = np.cumsum(share)
+        own = np.repeat(np.arange(len(heads)), tails - heads + 1)
+        key = own + np.minimum(summed - (summed - share)[heads][own], 1.0)
+        return first, length, number, key, heads, tails, step, piece
 
     def sample(self, texts: list[str], seeds: np.ndarray) -> list[np.ndarray]:
         """Ids of one segmentation per text, drawn by the text's seed alone."""
@@ -114,34 +143,28 @@ class PieceLattice:
 
     def _draw(self, texts: list[list[str]], seeds: np.ndarray, start: int = 0) -> list[np.ndarray]:
         """Ids of each list of chunks; ``start`` is the place of the first one in its text."""
-        if len(self.chunks) > CACHE or self.nodes > NODES:
-            self._clear()
-        index, rows, known = [], [], self.chunks
-        for parts in texts:
-            index += [known[p] if p in known else self._learn(p) for p in parts]
-            rows.append(len(parts))
-        which, counts = np.array(index, dtype=np.int64), np.array(rows)
+        known: dict[str, int] = {}
+        index = [known.setdefault(p, len(known)) for parts in texts for p in parts]
+        if not index:
+            return [np.zeros(0, dtype=np.int64) for _ in texts]
+        first, length, number, key, heads, tails, back, piece = self._filter(list(known))
+        which, counts = np.array(index, dtype=np.int64), np.array([len(parts) for parts in texts])
         row = np.repeat(np.arange(len(texts)), counts)
         place = start + np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
-        if not which.size:
-            return [np.zeros(0, dtype=np.int64) for _ in texts]
-        first = np.frombuffer(self.first, dtype=np.int64)
-        edge, back = np.frombuffer(self.edge), np.frombuffer(self.back, dtype=np.int64)
-        piece = np.frombuffer(self.piece, dtype=np.int64)
         origin = first[which]
-        node = origin + np.frombuffer(self.length, dtype=np.int64)[which]
+        node = origin + length[which]
         seed = mix(seeds[row] + mix(place.astype(np.uint64)))
         active, drawn, taken = np.arange(len(which)), [], np.zeros(len(which), dtype=np.int64)
-        step = 0
+        turn = 0
         while len(active):
-            chance = (mix(seed[active] + np.uint64(step + 1)) >> np.uint64(11)).astype(float) * 2.0**-53 * (1 - 1e-9)
-            e = np.searchsorted(edge, node[active] + chance, side="right")
-            e = np.minimum(e, len(edge) - 1)
+            chance = (mix(seed[active] + np.uint64(turn + 1)) >> np.uint64(11)).astype(float) * 2.0**-53
+            here = number[node[active]]
+            e = np.clip(np.searchsorted(key, here + chance, side="right"), heads[here], tails[here])
             drawn.append((active, piece[e]))
             taken[active] += 1
             node[active] -= back[e]
             active = active[node[active] > origin[active]]
-            step += 1
+            turn += 1
         ends = np.cumsum(taken)
         out = np.empty(ends[-1], dtype=np.int64)
         for turn, (who, ids) in enumerate(drawn):
@@ -151,12 +174,15 @@ class PieceLattice:
 
     def _spell(self, ids: np.ndarray) -> np.ndarray:
         """Ids with spelled characters written out as bytes."""
-        if not len(ids) or ids.max() < self.size:
+        strange = ids >= self.size
+        if not strange.any():
             return ids
-        return np.array(
-            [p for i in ids.tolist() for p in ((i,) if i < self.size else [self.byte[b] for b in self.spelled[i - self.size]])],
-            dtype=np.int64,
-        )
+        letters = "".join(map(chr, (ids[strange] - self.size).tolist()))
+        times = np.ones(len(ids), dtype=np.int64)
+        times[strange] = [len(c.encode()) for c in letters]
+        out = np.repeat(ids, times)
+        out[np.repeat(strange, times)] = np.array(self.byte)[np.frombuffer(letters.encode(), dtype=np.uint8)]
+        return out
 
     def decode(self, ids: pa.ListArray) -> pa.Array:
         """The texts of rows of ids: their pieces' bytes end to end, without the space in front."""
