@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,9 +17,12 @@ from tallyloom.sources.staging import stage
 
 LENGTH = 2048
 GRID = 8
-CACHE = 600_000
+CACHE = 300_000
+AT_ONCE = 2000
+SLICE = 1 << 22
+MARKS = (".", ",", "|")
 GAP = 1e-3
-ODD = re.compile("[\x1c-\x1f]|<\\|(?:startoftext|endoftext)\\|>")
+ODD = "[\x1c-\x1f]|<\\|(?:startoftext|endoftext)\\|>"
 BREAK = re.compile(r"\s")
 PART = 1 << 20
 
@@ -26,13 +30,20 @@ PART = 1 << 20
 # --- tokens ---------------------------------------------------------------------------------
 
 
+def _laid_out(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """``values[s : s + n]`` of every start and length, end to end."""
+    ends = np.cumsum(lengths)
+    return values[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class ChunkEncoder:
     """Token ids of whole texts, from the ids of their blank-separated chunks.
 
     The tokenizer turns runs of blanks into one, and no token spans a blank, so a text's ids are
-    its chunks' ids in a row. Chunks repeat a lot: two generations of a bounded cache hold them.
-    Texts with characters on whose blankness two libraries differ, or with the text of a special
-    token, go to the tokenizer whole.
+    its chunks' ids in a row. Arrow finds the distinct chunks of a slice, and a letter word is
+    taken apart from the mark after it; only what two generations of a bounded cache do not hold
+    goes to the tokenizer, and arrays put the ids together. Texts with characters on whose
+    blankness two libraries differ, or with the text of a special token, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -41,6 +52,10 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.separator = "<|endoftext|>"
         self.separator_id = self.tokenizer.token_to_id(self.separator)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_word[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -49,57 +64,94 @@ class ChunkEncoder:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def _encode_new(self, chunks: list[str]) -> None:
-        for at in range(0, len(chunks), 2000):
-            some = chunks[at : at + 2000]
+        """Learn chunks together, in one call for many."""
+        words = [c for c in chunks if c.isalpha()]
+        others = [c for c in chunks if not c.isalpha()]
+        for some in (words[at : at + AT_ONCE] for at in range(0, len(words), AT_ONCE)):
+            ids = self._ids(" ".join(some))
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(some):
+                self._keep(some, ids, [0, *ends[:-1].tolist()], ends.tolist())
+            else:  # a word that the tokenizer takes for several
+                others += some
+        for some in (others[at : at + AT_ONCE] for at in range(0, len(others), AT_ONCE)):
             ids = self._ids(self.separator.join(some))
-            cuts = np.flatnonzero(ids == self.separator_id).tolist()
-            raw = ids.tobytes()
-            for chunk, a, b in zip(some, [0, *[c + 1 for c in cuts]], [*cuts, len(ids)]):
-                self.young[chunk] = raw[4 * a : 4 * b]
-
-    @staticmethod
-    def _parts(chunk: str) -> tuple[str, str]:
-        """The lower-cased word and the mark after it where a chunk is just that, else itself.
+            cuts = np.flatnonzero(ids == self.separator_id)
+            self._keep(some, ids, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)])
 
-        The tokenizer lower-cases and never joins letters with marks, so their ids can be put
-        together. Sigma is left out: its lower case depends on what follows.
-        """
-        tail = chunk[-1] if chunk[-1] in ".,|" else ""
-        body = chunk[:-1] if tail else chunk
-        return (body.lower(), tail) if body.isalpha() and "\u03a3" not in body else (chunk, "")
+    def _keep(self, chunks: list[str], ids: np.ndarray, starts: list[int], ends: list[int]) -> None:
+        raw = ids.tobytes()
+        for chunk, a, b in zip(chunks, starts, ends):
+            self.young[chunk] = raw[4 * a : 4 * b]
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _learned(self, chunks: list[str]) -> list[bytes]:
         if len(self.young) > CACHE:
             self.old, self.young = self.young, {}
         unknown = set(chunks).difference(self.young)
         known = unknown.intersection(self.old)
         self.young.update((c, self.old[c]) for c in known)
-        parts = {c: self._parts(c) for c in unknown - known}
-        needed = {p for pair in parts.values() for p in pair if p and p not in self.young}
-        self._encode_new(list(needed))
-        get = self.young.__getitem__
-        for chunk, (body, tail) in parts.items():
-            if body is not chunk:
-                self.young[chunk] = get(body) + (get(tail) if tail else b"")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [None if ODD.search(t) else t.split() for t in texts]
-        self._learn([c for chunks in split if chunks for c in chunks])
-        get = self.young.__getitem__
-        return [self._ids(t).tobytes() if s is None else b"".join(map(get, s)) for t, s in zip(texts, split)]
-
-    def encode_long(self, text: str) -> bytes:
+        self._encode_new(list(unknown - known))
+        return list(map(self.young.__getitem__, chunks))
+
+    @staticmethod
+    def _parts(chunks: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Of a word and the mark after it: the lower-cased word and 1 + the mark's place; else the chunk and 0.
+
+        The tokenizer lower-cases and never joins letters with marks, so their ids can be put
+        together. Letters that its normal form or lower case may turn into letter and mark are
+        left out, as is sigma, whose lower case depends on what follows.
+        """
+        mark = np.zeros(len(chunks), dtype=np.int64)
+        for i, m in enumerate(MARKS):
+            mark[pc.ends_with(chunks, m).to_numpy(zero_copy_only=False)] = i + 1
+        word = pc.if_else(pa.array(mark > 0), pc.utf8_slice_codeunits(chunks, 0, -1), chunks)
+        plain = pc.and_(pc.utf8_is_alpha(word), pc.equal(pc.utf8_normalize(word, "NFC"), word))
+        plain = pc.and_not(plain, pc.match_substring_regex(word, "[\u03a3\u0130]"))
+        mark[~plain.to_numpy(zero_copy_only=False)] = 0
+        return pc.if_else(plain, pc.ascii_lower(word), chunks), mark
+
+    def _of_chunks(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lists = pc.utf8_split_whitespace(texts)
+        chunks = lists.flatten().dictionary_encode()
+        words, mark = self._parts(chunks.dictionary)
+        words = words.dictionary_encode()
+        coded = self._learned([*words.dictionary.to_pylist(), "", *MARKS])
+        n = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded)) // 4
+        # Ids of every distinct chunk: those of its word, then those of its mark or of nothing.
+        pairs = np.stack([words.indices.to_numpy().astype(np.int64), len(words.dictionary) + mark], axis=1).ravel()
+        ids = _laid_out(np.frombuffer(b"".join(coded), dtype="<u4"), (np.cumsum(n) - n)[pairs], n[pairs])
+        n = n[pairs].reshape(-1, 2).sum(axis=1)
+        codes = chunks.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(n[codes])])
+        at = lists.offsets.to_numpy()
+        return _laid_out(ids, (np.cumsum(n) - n)[codes], n[codes]), ends[at - at[0]]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, end to end, and how many each text has; null is empty."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        odd = np.flatnonzero(pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)).tolist()
+        ids, counts, at = [np.zeros(0, dtype="<u4")], [np.zeros(0, dtype=np.int64)], 0
+        for i in [*odd, len(texts)]:
+            if at < i:
+                found, offsets = self._of_chunks(texts.slice(at, i - at))
+                ids.append(found), counts.append(np.diff(offsets))
+            if i < len(texts):
+                found = self._ids(texts[i].as_py())
+                ids.append(found), counts.append(np.array([len(found)]))
+            at = i + 1
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def encode_long(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """As ``encode``, a part at a time, so that the chunks of a huge text are never held at once."""
-        if len(text) <= PART or ODD.search(text):
-            return self.encode([text])[0]
+        if len(text) <= PART or re.search(ODD, text):
+            return self.encode(pa.array([text], pa.string()))
         out, at = [], 0
         while at < len(text):
             stop = BREAK.search(text, min(at + PART, len(text)))
             end = stop.start() if stop else len(text)
-            out.append(self.encode([text[at:end]])[0])
+            out.append(self.encode(pa.array([text[at:end]], pa.string()))[0])
             at = end if stop else len(text)
-        return b"".join(out)
+        return np.concatenate(out), np.array([sum(map(len, out))])
 
 
 @lru_cache(maxsize=2)
@@ -114,25 +166,22 @@ def token_pieces(docs: DataFrame, key: str, text: str, tokenizer: str, end_id: i
     little-endian unsigned 32-bit numbers. A null text is empty: its only id is ``end_id``.
     """
     kind = docs.schema[key].dataType.simpleString()
-    end = int(end_id).to_bytes(4, "little")
 
     def run(batches):
         encoder = _encoder(tokenizer)
         for batch in batches:
-            for part in slices(batch, "_text"):
-                texts = [t or "" for t in part["_text"].to_pylist()]
-                long = len(texts) == 1
-                coded = [encoder.encode_long(texts[0])] if long else encoder.encode(texts)
-                at, start, size, total, ids = [], [], [], [], []
-                for i, raw in enumerate(coded):
-                    raw += end
-                    n = len(raw) // 4
-                    for a in range(0, n, length):
-                        piece = raw[4 * a : 4 * (a + length)]
-                        at.append(i), start.append(a), size.append(len(piece) // 4), total.append(n), ids.append(piece)
-                numbers = [pa.array(x, pa.int64()) for x in (start, size, total)]
-                keys = part["_key"].take(pa.array(at, pa.int64()))
-                yield pa.RecordBatch.from_arrays([keys, *numbers, pa.array(ids, pa.binary())], ["_key", "_start", "_length", "_tokens", "_ids"])
+            for part in slices(batch, "_text", SLICE):
+                alone = len(part) == 1
+                ids, n = encoder.encode_long(part["_text"][0].as_py() or "") if alone else encoder.encode(part["_text"])
+                ids, n = np.insert(ids, np.cumsum(n), end_id), n + 1
+                pieces = -(-n // length)
+                at = np.repeat(np.arange(len(n)), pieces)
+                start = (np.arange(len(at)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * length
+                size = np.minimum(length, n[at] - start)
+                edges = np.concatenate([[0], 4 * np.cumsum(size)]).astype(np.int32)
+                raw = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(edges), pa.py_buffer(ids)])
+                columns = [part["_key"].take(pa.array(at)), *map(pa.array, (start, size, n[at])), raw]
+                yield pa.RecordBatch.from_arrays(columns, ["_key", "_start", "_length", "_tokens", "_ids"])
 
     rows = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
     return rows.mapInArrow(run, f"_key {kind}, _start bigint, _length bigint, _tokens bigint, _ids binary")
