@@ -99,6 +99,38 @@ def test_near_duplicates_of_odd_rows(spark, odd, empty):
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {None, 1, 3, 4, 5, 6, 8}
 
 
+def test_keep_one_decides_by_jaccard(spark):
+    rng = np.random.default_rng(11)
+    texts = {}
+    for n in range(120):  # an own text and one with changes at either side of the limit, with a repeated line
+        own = [f"w{x}" for x in rng.integers(0, 10**6, 300)]
+        other = own.copy()
+        for at in rng.choice(300, int(rng.integers(2, 12)), replace=False):
+            other[at] = "changed"
+        line = " again and again the same line" * (n % 3 * 20)
+        texts[2 * n], texts[2 * n + 1] = " ".join(own) + line, " ".join(other) + line
+    texts[900], texts[901] = "a b c d e f g h", "a b c d e f g h i"  # 4 of 5 shingles
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    def similarity(a, b):
+        a, b = shingles(texts[a]), shingles(texts[b])
+        return len(a & b) / len(a | b)
+
+    pairs = {i: similarity(i, i + 1) for i in texts if i % 2 == 0}
+    assert 30 < sum(s < 0.8 for s in pairs.values()) and 30 < sum(s >= 0.8 for s in pairs.values())
+    expected = {i for i in texts if i % 2 == 0 or pairs[i - 1] < 0.8}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    assert {r.doc_id for r in near_dedup.keep_one(frame).collect()} == expected
+    # Split shards, by number of sets and by bytes, give the same components.
+    marked = near_dedup.stage(near_dedup.set_sketches(frame, "doc_id", "text", 5))
+    found = [near_dedup.similar_links(frame, marked, "text", 5, 0.8, *sizes).collect() for sizes in ((4096, 1 << 25), (1, 1 << 25), (4096, 100))]
+    ends = [{frozenset((bytes(r.a), bytes(r.b))) for r in links} for links in found]
+    assert ends[0] == ends[1] == ends[2] and len(ends[0]) == sum(s >= 0.8 for s in pairs.values())
+
+
 def line(text):
     key = text.encode().strip(b" \t\n\x0b\x0c\r").decode().translate(AZ)
     return key if len(key) >= 40 else None
