@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.components import components
-from tallyloom.llm.near_dedup import link
+from tallyloom.llm.near_dedup import SHARD, link
 from tallyloom.llm.words import mix
 from tallyloom.sources.staging import stage
 
 BITS, LETTERS, PERIOD = 256, 64, 1024
-BANDS, SAMPLED, RADIUS = 5, 20, 26
+RADIUS = 26
+BLOCK = 128
 PARTS = 64
 NAMES = ["n_chars", "edited_sha256", "fp", "edited_fp", "near_edited", "near_next"]
 
@@ -99,22 +100,103 @@ def edit_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text")
     return rows.mapInArrow(run, f"_key {kind}, fp binary").withColumnRenamed("_key", key)
 
 
-def edit_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+class Neighbours:
+    """The members of a shard as arrays, with the component of each.
+
+    A block of rows is compared with all members at once; a row is linked to one near member of
+    every component, so a dense group costs a link per row, not one per pair.
+    """
+
+    def __init__(self, radius: int):
+        self.radius, self.n = radius, 0
+        self.words, self.label = np.zeros((BITS // 64, BLOCK), dtype=np.uint64), np.zeros(BLOCK, dtype=np.int64)
+
+    def _append(self, rows: np.ndarray) -> None:
+        end = self.n + len(rows)
+        if end > len(self.label):
+            more = max(end, 2 * len(self.label)) - len(self.label)
+            self.words, self.label = np.pad(self.words, ((0, 0), (0, more))), np.pad(self.label, (0, more))
+        self.words[:, self.n : end], self.label[self.n : end] = rows.T, np.arange(self.n, end)
+        self.n = end
+
+    def meet(self, rows: np.ndarray, members: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of members and of ``rows`` that are linked; the first ``members`` rows become members."""
+        first = self.n
+        self._append(rows[:members])
+        apart = np.zeros((len(rows), self.n), dtype=np.uint16)
+        for word, column in zip(self.words[:, : self.n], rows.T):
+            apart += np.bitwise_count(column[:, None] ^ word)
+        row, near = np.nonzero(apart <= self.radius)
+        earlier = (row >= members) | (near < first + row)
+        row, near = row[earlier], near[earlier]
+        left, right = [], []
+        edges = [0, *(np.flatnonzero(np.diff(row)) + 1).tolist(), len(row)]
+        for a, b in zip(edges, edges[1:]):
+            if a == b:
+                continue
+            labels, some = np.unique(self.label[near[a:b]], return_index=True)
+            left += near[a:b][some].tolist()
+            right += [row[a]] * len(some)
+            if row[a] < members:
+                self.label[first + row[a]] = labels[0]
+                if len(labels) > 1:
+                    known = self.label[: self.n]
+                    known[np.isin(known, labels)] = labels[0]
+        return np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
+
+
+def _near_links(radius: int):
+    """Rows sorted by shard, members before visitors, to the links found in each shard."""
+
+    def run(batches):
+        current, group = None, Neighbours(radius)
+        for batch in batches:
+            shard, part = (batch[c].to_numpy() for c in ("shard", "part"))
+            visits = batch["visits"].to_numpy(zero_copy_only=False)
+            rows = np.frombuffer(b"".join(batch["fp"].to_pylist()), dtype=np.uint64).reshape(len(batch), -1)
+            n = len(batch)
+            change = np.flatnonzero((shard[1:] != shard[:-1]) | (part[1:] != part[:-1])) + 1
+            left, right = [], []
+            edges = [0, *change.tolist(), n]
+            for a, b in zip(edges, edges[1:]):
+                # A row alone in its shard has nothing to meet; the first and last may go on.
+                if b - a == 1 and 0 < a and b < n:
+                    continue
+                if (shard[a], part[a]) != current:
+                    current, group = (shard[a], part[a]), Neighbours(radius)
+                for at in range(a, b, BLOCK):
+                    some = rows[at : min(at + BLOCK, b)]
+                    members = int(np.count_nonzero(~visits[at : at + len(some)]))
+                    one, other = group.meet(some, members)
+                    if len(one):
+                        left += [w.tobytes() for w in group.words[:, one].T]
+                        right += [w.tobytes() for w in some[other]]
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
+
+    return run
+
+
+def edit_links(prints: DataFrame, radius: int = RADIUS, shard_size: int = SHARD) -> DataFrame:
     """Links ``a, b`` between fingerprints of a table with ``fp``.
 
-    Fingerprints meet where one of ``BANDS`` bands of ``SAMPLED`` randomly chosen bits is equal and
-    are verified by all their bits; see ``near_dedup.link`` for what a large band does.
+    Fingerprints meet where one of ``radius + 1`` disjoint bands of bits is equal, and are verified
+    by all their bits. Two fingerprints within the radius differ in fewer bits than there are
+    bands, so some band of theirs is equal and no link is lost. See ``near_dedup.link`` for what a
+    large band does.
     """
-    chosen = np.random.default_rng(7).permutation(BITS)[: BANDS * SAMPLED].reshape(BANDS, SAMPLED)
+    bands = np.array_split(np.random.default_rng(7).permutation(BITS), radius + 1)
 
     def run(batches):
         for batch in batches:
             raw = np.frombuffer(b"".join(batch["fp"].to_pylist()), dtype=np.uint8).reshape(len(batch), -1)
             bits = np.unpackbits(raw, axis=1).astype(np.int64)
-            keys = (bits[:, chosen] << np.arange(SAMPLED)).sum(axis=2) * BANDS + np.arange(BANDS)
-            yield pa.RecordBatch.from_arrays([batch["fp"], pa.array(keys.tolist(), pa.list_(pa.int64()))], ["fp", "shards"])
+            keys = [(bits[:, b] << np.arange(len(b))).sum(axis=1) * len(bands) + i for i, b in enumerate(bands)]
+            keys = np.stack(keys, axis=1).tolist()
+            yield pa.RecordBatch.from_arrays([batch["fp"], pa.array(keys, pa.list_(pa.int64()))], ["fp", "shards"])
 
-    return link(prints.select("fp").distinct().mapInArrow(run, "fp binary, shards array<bigint>"), radius)
+    sharded = prints.select("fp").distinct().mapInArrow(run, "fp binary, shards array<bigint>")
+    return link(sharded, radius, shard_size, _near_links)
 
 
 def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", parts: int = PARTS) -> DataFrame:

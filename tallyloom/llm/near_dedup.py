@@ -206,9 +206,11 @@ def block_shards(radius: int = 4, blocks: int = 7) -> Column:
     return F.array(*keys)
 
 
-def link(fps: DataFrame, radius: int, shard_size: int = SHARD) -> DataFrame:
+def link(fps: DataFrame, radius: int, shard_size: int = SHARD, search=_links) -> DataFrame:
     """Links ``a, b`` between the distinct ``fp`` of a table with ``shards``, an array of keys.
 
+    ``search`` makes, of a radius, the function that reads the sorted shards.
+
     Every linked pair that shares a shard ends up connected. A shard's tree is built in the task
     that holds the shard: sending trees to all tasks would put every fingerprint through the
     driver, and fingerprints without a common shard need not meet. A shard of more than
@@ -227,7 +229,7 @@ def link(fps: DataFrame, radius: int, shard_size: int = SHARD) -> DataFrame:
         .select("shard", "part", (F.col("part") != F.col("home")).alias("visits"), "fp")
     )
     together = placed.repartition("shard", "part").sortWithinPartitions("shard", "part", "visits", "fp")
-    return together.mapInArrow(_links(radius), "a binary, b binary").distinct()
+    return together.mapInArrow(search(radius), "a binary, b binary").distinct()
 
 
 def near_duplicates(

@@ -340,6 +340,34 @@ def test_edit_classes_join_slightly_edited_texts(spark, texts):
     assert sum(got[i] == got[i + 10_000] for i, _ in long) >= 17
 
 
+def test_edit_links_lose_no_pair_within_the_radius(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.integers(0, 2, (150, 256), dtype=np.uint8)
+    bits = [c for c in centres]
+    for i, c in enumerate(centres):  # a chain of three: 13 to 26 differing bits, or one too many
+        for _ in range(2):
+            c = c.copy()
+            c[rng.choice(256, 13 + i % 15, replace=False)] ^= 1
+            bits.append(c)
+    values = sorted({int.from_bytes(np.packbits(b).tobytes(), "big") for b in bits})
+    frame = spark.createDataFrame([(bytearray(v.to_bytes(32, "big")),) for v in values], "fp binary")
+    near = [(a, b) for i, a in enumerate(values) for b in values[:i] if (a ^ b).bit_count() <= edit_prints.RADIUS]
+    assert len(near) > 250
+    for size in (4096, 2):
+        top = {v: v for v in values}
+
+        def find(v, top=top):
+            while top[v] != v:
+                v = top[v]
+            return v
+
+        for r in edit_prints.edit_links(frame, shard_size=size).collect():
+            a, b = int.from_bytes(r.a, "big"), int.from_bytes(r.b, "big")
+            assert (a ^ b).bit_count() <= edit_prints.RADIUS
+            top[find(a)] = find(b)
+        assert all(find(a) == find(b) for a, b in near)
+
+
 def test_conversations(spark):
     assert difference(QUERIES["op10_chat"](spark, SF), connect(SF), ORACLES["op10_chat"]) is None
     long = [(9, i, "user", f"t{i}") for i in range(1200)]
