@@ -27,6 +27,33 @@ TEMPLATES = {
     "cc-by-sa": "licensed under the creative commons attribution sharealike license",
     "proprietary": "all rights reserved no part of this publication may be reproduced",
 }
+# Other spellings of a template's distinguishing words.
+SPELLINGS = [
+    ("gpl-3", "licensed under the gnu general public license v3"),
+    ("gpl-3", "licensed under the gnu general public license either version 3"),
+    ("cc-by-sa", "licensed under the creative commons attribution share alike license"),
+]
+# What sets a template apart from like ones: of the runs of words listed for its label, those that
+# it has must stand unbroken in a span. Each has at least ``K`` words.
+NEEDED = {
+    "mit": ["associated documentation files"],
+    "apache-2": ["distributed under the license"],
+    "bsd": ["in source and binary forms", "with or without modification", "are permitted provided"],
+    "gpl": ["gnu general public license"],
+    "gpl-3": ["gnu general public license", "license version 3", "public license v3", "license either version 3"],
+    "cc-by-sa": ["creative commons attribution", "commons attribution sharealike", "attribution share alike"],
+    "proprietary": ["no part of this"],
+}
+
+
+def _needed(text: str, label: str) -> list[int]:
+    """The places of a template whose grams a span must have."""
+    words, places = text.split(), set()
+    for run in map(str.split, NEEDED[label]):
+        for at in range(len(words) - len(run) + 1):
+            if words[at : at + len(run)] == run:
+                places.update(range(at, at + len(run) - K + 1))
+    return sorted(places)
 
 
 def _word_hashes(text: str) -> np.ndarray:
@@ -35,14 +62,18 @@ def _word_hashes(text: str) -> np.ndarray:
 
 
 def template_grams(spark: SparkSession) -> DataFrame:
-    """``_gram, _template, _at, _label, _exact, _size``: a row per place in a template."""
+    """``_gram, _template, _at, _label, _exact, _size, _need``: a row per place in a template."""
     rows = []
-    listed = [(p, label, True) for label, p in PHRASES.items()] + [(t, label, False) for label, t in TEMPLATES.items()]
+    listed = [(p, label, True) for label, p in PHRASES.items()] + [
+        (t, label, False) for label, t in [*TEMPLATES.items(), *SPELLINGS]
+    ]
     for number, (text, label, exact) in enumerate(listed):
         hashes = _word_hashes(text)
         at, value = grams(hashes, np.zeros(len(hashes), dtype=np.int64), K)
-        rows += [(v, number, a, label, exact, len(hashes)) for a, v in zip(at.tolist(), value.view(np.int64).tolist())]
-    return spark.createDataFrame(rows, "_gram bigint, _template int, _at int, _label string, _exact boolean, _size int")
+        need = [] if exact else _needed(text, label)
+        rows += [(v, number, a, label, exact, len(hashes), need) for a, v in zip(at.tolist(), value.view(np.int64).tolist())]
+    kinds = "_gram bigint, _template int, _at int, _label string, _exact boolean, _size int, _need array<int>"
+    return spark.createDataFrame(rows, kinds)
 
 
 def rolling_grams(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -80,7 +111,8 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", leas
     Neighbouring diagonals, at most ``GAP`` words inserted or lost apart, are merged into one
     span while they follow each other in text and template. A span is verified by the words of
     the template that its matches cover: all of them on one diagonal for a phrase, the share
-    ``least`` for any other template. The score is the best share.
+    ``least`` for any other template, whose ``NEEDED`` words must be among them. The score is the
+    best share.
 
     A null text is empty. Rows are told apart by key and content: equal rows are one row of the
     result.
@@ -96,7 +128,7 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", leas
     votes = hits.groupBy(*own, "_template", (F.col("_pos") - F.col("_at")).alias("_diagonal")).agg(
         F.max(F.when(marker, F.col("_gram"))).alias("_words"),
         F.first("_label").alias("_label"), F.first("_exact").alias("_exact"), F.first("_size").alias("_size"),
-        F.array_sort(F.collect_set("_at")).alias("_places"),
+        F.first("_need").alias("_need"), F.array_sort(F.collect_set("_at")).alias("_places"),
     )
     reach = [F.array_min("_places").alias("_from"), (F.array_max("_places") + K).alias("_to")]
     votes = votes.select("*", *reach).withColumn("_begin", F.col("_diagonal") + F.col("_from"))
@@ -113,13 +145,14 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", leas
     )
     spans = spans.groupBy(*own, "_template", "_span").agg(
         F.max("_words").alias("_words"), F.first("_label").alias("_label"), F.first("_exact").alias("_exact"),
-        F.first("_size").alias("_size"), F.min("_begin").alias("_begin"),
+        F.first("_size").alias("_size"), F.first("_need").alias("_need"), F.min("_begin").alias("_begin"),
         F.array_distinct(F.flatten(F.collect_list("_places"))).alias("_places"),
     )
     covered = F.size(F.array_distinct(F.flatten(F.transform("_places", lambda p: F.sequence(p, p + (K - 1))))))
     spans = spans.withColumn("_share", F.when(F.col("_label").isNotNull(), covered / F.col("_size")).otherwise(0.0))
     base = F.col("_exact") & (F.col("_share") == 1)
-    found = base | (~F.col("_exact") & (F.col("_share") >= least))
+    apart = F.size(F.array_except("_need", "_places")) == 0
+    found = base | (~F.col("_exact") & (F.col("_share") >= least) & apart)
     join = lambda test: F.array_join(F.array_sort(F.collect_set(F.when(test, F.col("_label")))), ",")
     return (
         spans.groupBy(*own)

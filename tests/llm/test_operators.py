@@ -318,6 +318,29 @@ def test_licenses(spark, texts, odd, empty):
     assert licenses.scan_licenses(odd).count() == len(set(ROWS)) and licenses.scan_licenses(empty).count() == 0
 
 
+def test_like_licenses_are_told_apart(spark):
+    lines = [
+        ("Licensed under the GNU General Public License version 2.", ""),
+        ("Licensed under the GNU General Public License, version 3.0.", "gpl-3"),
+        ("Licensed under the GNU General Public License, either version 3 or later.", "gpl-3"),
+        ("Licensed under the GNU Lesser General Public License version 3.", ""),
+        ("Licensed under the Creative Commons Attribution License.", ""),
+        ("Licensed under the Creative Commons Attribution-NonCommercial-ShareAlike License.", ""),
+        ("Licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.", "cc-by-sa"),
+        ("Licensed under the Creative Commons Attribution-Share Alike 3.0 License.", "cc-by-sa"),
+        ("Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and "
+         "accompanying documentation covered by this license", ""),
+        ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+         "Public License", ""),
+        ("Redistribution and use in binary form, without modification, are permitted provided that the following conditions are met", ""),
+        ("All rights reserved. This publication may be reproduced", ""),
+        *[(t, label) for label, t in licenses.TEMPLATES.items()],
+    ]
+    frame = spark.createDataFrame([(i, "intro words " + t + " and more") for i, (t, _) in enumerate(lines)], "doc_id bigint, text string")
+    got = {r.doc_id: r.labels for r in licenses.scan_licenses(frame).collect()}
+    assert [got[i] for i in range(len(lines))] == [label for _, label in lines]
+
+
 def test_edit_fingerprints(spark, texts, odd, empty):
     rows = {r.doc_id: r for r in QUERIES["op9_edit_prints"](spark, SF).collect()}
     ids = sorted(texts)
