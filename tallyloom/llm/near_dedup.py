@@ -413,14 +413,24 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", similarit
     64-bit hashes, is at least ``similarity``; a group is linked through any chain. Candidates
     are sets with an equal min-hash band: 99.7 % of the pairs at a similarity of 0.8, more above.
     A document is never removed for a pair below the similarity. Columns are those of ``docs``.
-    Rows with a null key stay, since nothing could name them.
+
+    Rows are told apart by key and text, so a repeated key removes no other text. Of the rows of
+    a group that share the smallest key, or have no key in a group without any, the one of the
+    smallest text hash stays; of equal ones, any.
     """
     marked = stage(set_sketches(docs, key, text, 5))
     nodes = components(similar_links(docs, marked, text, 5, similarity))
-    owned = marked.join(nodes, F.col("id") == F.col("node"), "left").select(
-        "_key", "_hash", F.coalesce("component", "id").alias("_group")
+    owned = marked.join(nodes, F.col("id") == F.col("node"), "left").groupBy(
+        F.coalesce("component", "id").alias("_group"), "_key", "_hash"
     )
-    owned = stage(owned)
-    least = owned.groupBy("_group").agg(F.min("_key").alias("_least"))
-    going = owned.join(least, "_group").where("_key <> _least").select(F.col("_key").alias("_going")).distinct()
-    return docs.join(going, F.col(key) == F.col("_going"), "left_anti")
+    owned = stage(owned.agg(F.count(F.lit(1)).alias("_rows")))
+    first = F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("key"), F.col("_hash").alias("hash"))
+    least = owned.groupBy("_group").agg(F.min(first).alias("_first"))
+    stays = F.col("_key").eqNullSafe(F.col("_first.key")) & (F.col("_hash") == F.col("_first.hash"))
+    judged = owned.join(least, "_group").select("_key", "_hash", "_rows", stays.alias("_stays"))
+    judged = stage(judged.where("not _stays or _rows > 1").select(F.col("_key").alias("_k"), F.col("_hash").alias("_h"), "_stays"))
+    same = F.col(key).eqNullSafe(F.col("_k")) & (F.xxhash64(text) == F.col("_h"))
+    kept = docs.join(judged, same, "left_anti")
+    # Only rows of which several are equal: one of each, combined before the shuffle.
+    repeated = docs.join(judged.where("_stays"), same, "left_semi").withColumn("_h", F.xxhash64(text))
+    return kept.unionByName(repeated.dropDuplicates([key, "_h"]).select(*named(docs.columns)))

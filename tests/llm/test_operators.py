@@ -131,6 +131,14 @@ def test_keep_one_decides_by_jaccard(spark):
     assert ends[0] == ends[1] == ends[2] and len(ends[0]) == sum(s >= 0.8 for s in pairs.values())
 
 
+def test_keep_one_tells_rows_apart_by_key_and_text(spark):
+    copy, alone, other = "a b c d e f g h", "p q r s t u v w", "k l m n o p q r"
+    rows = [(1, copy), (1, copy), (2, copy), (None, copy), (2, alone), (None, other), (None, other), (3, None), (3, ""), (3, None)]
+    got = near_dedup.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    got = collections.Counter((r.doc_id, r.text or None) for r in got)
+    assert got == collections.Counter([(1, copy), (2, alone), (None, other), (3, None)])
+
+
 def line(text):
     key = text.encode().strip(b" \t\n\x0b\x0c\r").decode().translate(AZ)
     return key if len(key) >= 40 else None
