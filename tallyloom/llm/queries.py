@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.llm.ball_tree import top_inner_products
 from tallyloom.llm.chat import format_conversations
 from tallyloom.llm.edit_prints import compare_with_next, edit_classes
+from tallyloom.llm.hyperplane_tree import mine_hard_negatives
 from tallyloom.llm.licenses import scan_licenses
 from tallyloom.llm.line_dedup import drop_shared_lines
 from tallyloom.llm.near_dedup import near_duplicates
 from tallyloom.llm.packing import packed_documents
+from tallyloom.llm.phrases import mine_collocations
 from tallyloom.llm.quality import judge_quality
 from tallyloom.llm.scoring import score_documents
 from tallyloom.llm.segmentation import decode_pieces, encode_sampled
@@ -80,6 +83,19 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_collocations(_documents(spark, sf_dir))
+
+
+def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_inner_products(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0, label)
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_line_dedup": op2_line_dedup,
@@ -91,4 +107,7 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_edit_prints": op9_edit_prints,
     "op10_chat": op10_chat,
+    "op11_collocations": op11_collocations,
+    "op12_top_k": op12_top_k,
+    "op13_hard_negatives": op13_hard_negatives,
 }
