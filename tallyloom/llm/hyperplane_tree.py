@@ -85,35 +85,57 @@ class HyperplaneTree:
         return root[0]
 
     def search(self, lanes: Lanes, best: Best) -> None:
-        """Depth first, near subtrees first; a subtree is entered by the queries whose annulus meets its ranges.
-
-        A window of scores is an annulus of distances: ``d^2 = |q|^2 + |x|^2 - 2 s``, with the norms of
-        the subtree for ``|x|``. Its outer radius shrinks as the k-th score rises.
-        """
+        """First the leaf that is nearest to each query, then depth first through all that can count."""
         square = (lanes.values**2).sum(axis=1)
+        seen = self._nearest(lanes, best)
         todo = [(self.root, np.arange(len(square)))]
         while todo:
             node, who = todo.pop()
             if isinstance(node, Leaf):
+                if id(node) in seen:
+                    who = np.setdiff1d(who, seen[id(node)], assume_unique=True)
+                self._scan(node, lanes, best, who)
+            else:
+                todo += self._enter(node, lanes, best, who, square[who])
+
+    def _nearest(self, lanes: Lanes, best: Best) -> dict[int, np.ndarray]:
+        """Scan the leaf that each query would belong to; which queries have seen which leaf."""
+        seen, todo = {}, [(self.root, np.arange(len(lanes.rows)))]
+        while todo:
+            node, who = todo.pop()
+            if isinstance(node, Leaf):
+                seen[id(node)] = who
                 self._scan(node, lanes, best, who)
                 continue
-            points, low, high, norms, children = node
-            apart = distances(lanes.values[who], points)
-            # Room for rounding: the square root doubles the digits lost to cancellation.
-            room = 1e-6 * (1 + np.sqrt(square[who]) + norms[1].max())
-            enter = []
-            for j, child in enumerate(children):
-                if child is None:
-                    continue
-                floor, top = best.floor(who), best.high[who]
-                outer = np.where(floor == LOWEST, np.inf, square[who] + norms[1, j] ** 2 - 2.0 * floor)
-                inside = np.where(top == HIGHEST, 0, square[who] + norms[0, j] ** 2 - 2.0 * top)
-                outer, inside = np.sqrt(np.maximum(outer, 0)) + room, np.sqrt(np.maximum(inside, 0)) - room
-                meets = (apart - outer[:, None] <= high[:, j]) & (apart + outer[:, None] >= low[:, j]) & (apart + high[:, j] >= inside[:, None])
-                some = who[meets.all(axis=1)]
-                if len(some):
-                    enter.append((apart[:, j].mean(), j, some))
-            todo += [(children[j], some) for _, j, some in sorted(enter, key=lambda e: -e[0])]
+            points, _, _, _, children = node
+            there = np.array([child is not None for child in children])
+            own = np.where(there, distances(lanes.values[who], points), np.inf).argmin(axis=1)
+            todo += [(children[j], who[own == j]) for j in np.unique(own)]
+        return seen
+
+    def _enter(self, node, lanes: Lanes, best: Best, who: np.ndarray, square: np.ndarray) -> list:
+        """The subtrees and the queries whose annulus meets their ranges, the nearest last.
+
+        A window of scores is an annulus of distances: ``d^2 = |q|^2 + |x|^2 - 2 s``, with the norms of
+        the subtree for ``|x|``. Its outer radius shrinks as the k-th score rises.
+        """
+        points, low, high, norms, children = node
+        apart = distances(lanes.values[who], points)
+        # Room for rounding: the square root doubles the digits lost to cancellation.
+        room = 1e-6 * (1 + np.sqrt(square) + norms[1].max())
+        floor, top = best.floor(who), best.high[who]
+        enter = []
+        for j, child in enumerate(children):
+            if child is None:
+                continue
+            outer = np.where(floor == LOWEST, np.inf, square + norms[1, j] ** 2 - 2.0 * floor)
+            inside = np.where(top == HIGHEST, 0, square + norms[0, j] ** 2 - 2.0 * top)
+            outer, inside = np.sqrt(np.maximum(outer, 0)) + room, np.sqrt(np.maximum(inside, 0)) - room
+            meets = (apart - outer[:, None] <= high[:, j]) & (apart + outer[:, None] >= low[:, j]) & (apart + high[:, j] >= inside[:, None])
+            some = meets.all(axis=1)
+            if some.any():
+                enter.append((apart[:, j].mean(), j, who[some]))
+        return [(children[j], some) for _, j, some in sorted(enter, key=lambda e: -e[0])]
 
     def _leaf(self, at: np.ndarray) -> Leaf:
         values = self.members.values[at]
