@@ -12,15 +12,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.words import BASE, LOWER, mix, words
+from tallyloom.llm.words import BASE, LOWER, mix, slices, words
 from tallyloom.sources.staging import stage
 
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 INSIDE = np.array([b not in BREAKS + b"\x20\x09" for b in range(256)])
 IS_BREAK = np.array([b in BREAKS for b in range(256)])
 SLICE = 1 << 20
-SHARD_WORDS = 6_000_000
-RANGE_WORDS = 2_000_000
+SHARD_WORDS = 2_000_000
+RANGE_WORDS = 1_000_000
 # Bits of the filters sent to the tasks: a fixed size, whatever the number of words or phrases.
 WORD_BITS, PHRASE_BITS = 1 << 24, 1 << 26
 
@@ -33,7 +33,8 @@ class Shard:
     """The words of some texts end to end.
 
     ``hashes`` tell words of different languages apart; ``joined`` says whether a word and the
-    one before it stand in the same piece; ``lang`` numbers the entries of ``langs``.
+    one before it stand in the same piece; ``lang`` numbers the entries of ``langs``. The bytes are
+    kept only where phrases are to be spelled.
     """
 
     langs: list[str]
@@ -87,8 +88,8 @@ def _read_words(runs: list[bytes]):
     return LOWER[raw], starts, ends, rows, hashes, joined
 
 
-def shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Shard]:
-    """Arrow batches of ``_lang, _text`` as shards of about ``size`` words."""
+def shards(batches: Iterator[pa.RecordBatch], size: int, spelled: bool = False) -> Iterator[Shard]:
+    """Arrow batches of ``_lang, _text`` as shards of about ``size`` words, with their bytes if ``spelled``."""
     langs: dict[str, int] = {}
     seeds, parts, at, n = [], [], 0, 0
 
@@ -97,15 +98,17 @@ def shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Shard]:
         data, starts, ends, rows, hashes, joined = _read_words(runs)
         lang = np.array(owners, dtype=np.int32)[rows]
         hashes = hashes ^ np.array(seeds, dtype=np.uint64)[lang] if len(lang) else hashes
+        if not spelled:
+            data, starts, ends = (np.zeros(0, dtype=x.dtype) for x in (data, starts, ends))
         parts.append((lang, hashes, joined, data, starts + at, ends + at))
-        at, n = at + len(data), n + len(starts)
+        at, n = at + len(data), n + len(hashes)
 
     def close():
         columns = [np.concatenate(c) for c in zip(*parts)]
         return Shard(list(langs), *columns)
 
     runs, owners, held = [], [], 0
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, "_text")):
         for lang, text in zip(batch["_lang"].to_pylist(), batch["_text"].to_pylist()):
             if lang not in langs:
                 langs[lang] = len(langs)
@@ -137,7 +140,7 @@ def levels(shard: Shard, most: int, keep: Keep) -> Iterator[tuple[int, np.ndarra
     ``keep(k, places, hashes)`` is a mask. A phrase is looked at only if both phrases one word
     shorter inside it were kept, which holds for every phrase as frequent as they have to be.
     """
-    at, value = np.arange(len(shard.hashes)), shard.hashes
+    at, value = np.arange(len(shard.hashes), dtype=np.int32), shard.hashes
     for k in range(1, most + 1):
         mask = keep(k, at, value)
         at, value = at[mask], value[mask]
@@ -150,7 +153,9 @@ def levels(shard: Shard, most: int, keep: Keep) -> Iterator[tuple[int, np.ndarra
         if k == 1:
             more &= np.append(shard.joined, False)[at + 1]
         at, value = at[more], value[more]
-        value = mix(value * np.uint64(BASE) + shard.hashes[at + k])
+        value *= np.uint64(BASE)
+        value += shard.hashes[at + k]
+        value = mix(value)
 
 
 def _ranges(values: np.ndarray) -> Iterator[np.ndarray]:
@@ -260,7 +265,7 @@ def _count_candidates(texts: DataFrame, candidates: Bits, most: int, size: int)
     """``lang, phrase, k, f``: how often each candidate occurs in each shard."""
 
     def run(batches):
-        for shard in shards(batches, size):
+        for shard in shards(batches, size, spelled=True):
             for k, at, value in levels(shard, most, lambda k, at, value: candidates.has(value)):
                 for some, codes, n in counted(value):
                     first = at[some[np.unique(codes, return_index=True)[1]]]

@@ -86,7 +86,7 @@ def test_words_of_a_huge_text_are_cut_where_pieces_end(monkeypatch):
     monkeypatch.setattr(phrases, "SLICE", 16)
     text = "ab cd, ef gh ij kl mn op qr st; uv. " * 20
     batch = pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array([text])], ["_lang", "_text"])
-    (shard,) = phrases.shards(iter([batch]), 10**6)
+    (shard,) = phrases.shards(iter([batch]), 10**6, spelled=True)
     whole = [shard.texts(at, k).to_pylist() for k, at, _ in phrases.levels(shard, 5, lambda k, at, value: np.ones(len(at), dtype=bool))]
     pieces = [p.split() for p in re.split("[,;.]", text)]
     assert whole == [[" ".join(p[i : i + k]) for p in pieces for i in range(len(p) - k + 1)] for k in range(1, 6)]
