@@ -19,8 +19,8 @@ BREAKS = b".,;:!?\n\x0b\x0c\r"
 INSIDE = np.array([b not in BREAKS + b"\x20\x09" for b in range(256)])
 IS_BREAK = np.array([b in BREAKS for b in range(256)])
 SLICE = 1 << 20
-SHARD_WORDS = 2_000_000
-RANGE_WORDS = 1_000_000
+# Words of a shard that is mined, of one that is only counted, and hashed or counted at a time.
+SHARD_WORDS, COUNTED_WORDS, RANGE_WORDS = 8_000_000, 1_500_000, 1_000_000
 # Bits of the filters sent to the tasks: a fixed size, whatever the number of words or phrases.
 WORD_BITS, PHRASE_BITS = 1 << 24, 1 << 26
 
@@ -104,8 +104,10 @@ def shards(batches: Iterator[pa.RecordBatch], size: int, spelled: bool = False)
         at, n = at + len(data), n + len(hashes)
 
     def close():
-        columns = [np.concatenate(c) for c in zip(*parts)]
-        return Shard(list(langs), *columns)
+        nonlocal parts, at, n
+        columns = list(zip(*parts))
+        parts, at, n = [], 0, 0
+        return Shard(list(langs), *[np.concatenate(columns.pop(0)) for _ in range(6)])
 
     runs, owners, held = [], [], 0
     for batch in (part for whole in batches for part in slices(whole, "_text")):
@@ -122,7 +124,6 @@ def shards(batches: Iterator[pa.RecordBatch], size: int, spelled: bool = False)
                     runs, owners, held = [], [], 0
                     if n >= size:
                         yield close()
-                        parts, at, n = [], 0, 0
     if runs:
         read(runs, owners)
     if parts:
@@ -153,9 +154,9 @@ def levels(shard: Shard, most: int, keep: Keep) -> Iterator[tuple[int, np.ndarra
         if k == 1:
             more &= np.append(shard.joined, False)[at + 1]
         at, value = at[more], value[more]
-        value *= np.uint64(BASE)
-        value += shard.hashes[at + k]
-        value = mix(value)
+        for a in range(0, len(at), RANGE_WORDS):
+            some = slice(a, a + RANGE_WORDS)
+            value[some] = mix(value[some] * np.uint64(BASE) + shard.hashes[at[some] + k])
 
 
 def _ranges(values: np.ndarray) -> Iterator[np.ndarray]:
@@ -293,13 +294,14 @@ def frequent_phrases(
     support is one occurrence, and every phrase of frequent words is a candidate.
     """
     texts = _texts(docs, text, lang)
-    once = stage(_word_counts(texts, shard_words).groupBy("lang", "h").agg(F.sum("f").alias("f")))
+    counted_words = min(shard_words, COUNTED_WORDS)
+    once = stage(_word_counts(texts, counted_words).groupBy("lang", "h").agg(F.sum("f").alias("f")))
     totals = stage(once.groupBy("lang").agg(F.sum("f").alias("n")))
     known = bitmap(once.where(F.col("f") >= support), "h", WORD_BITS)
     with_total = texts.join(totals.withColumnsRenamed({"lang": "_of", "n": "_n"}), F.col("_lang") == F.col("_of")).select("_lang", "_text", "_n")
     mined = stage(_locally_frequent(with_total, known, most, support, shard_words).distinct())
     candidates = bitmap(mined, "h", PHRASE_BITS)
-    found = _count_candidates(texts, candidates, most, shard_words).groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f"))
+    found = _count_candidates(texts, candidates, most, counted_words).groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f"))
     return stage(found.where(F.col("f") >= support)), totals
 
 
