@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,17 +20,18 @@ BREAKS = b".,;:!?\n\x0b\x0c\r"
 INSIDE = np.array([b not in BREAKS + b"\x20\x09" for b in range(256)])
 IS_BREAK = np.array([b in BREAKS for b in range(256)])
 SLICE = 1 << 20
-# Words of a shard that is mined, of one that is only counted, and hashed or counted at a time.
-SHARD_WORDS, COUNTED_WORDS, RANGE_WORDS = 8_000_000, 1_500_000, 1_000_000
+SHARDS = 10
+# Words that a task holds at a time to mine, to spell phrases, and to hash or count.
+RUN_WORDS, COUNTED_WORDS, RANGE_WORDS = 8_000_000, 1_500_000, 1_000_000
 # Bits of the filters sent to the tasks: a fixed size, whatever the number of words or phrases.
 WORD_BITS, PHRASE_BITS = 1 << 24, 1 << 26
 
 
-# --- shards of words ------------------------------------------------------------------------
+# --- runs of words ------------------------------------------------------------------------
 
 
 @dataclass
-class Shard:
+class Words:
     """The words of some texts end to end.
 
     ``hashes`` tell words of different languages apart; ``joined`` says whether a word and the
@@ -88,8 +90,8 @@ def _read_words(runs: list[bytes]):
     return LOWER[raw], starts, ends, rows, hashes, joined
 
 
-def shards(batches: Iterator[pa.RecordBatch], size: int, spelled: bool = False) -> Iterator[Shard]:
-    """Arrow batches of ``_lang, _text`` as shards of about ``size`` words, with their bytes if ``spelled``."""
+def word_runs(batches: Iterator[pa.RecordBatch], size: int, spelled: bool = False) -> Iterator[Words]:
+    """Arrow batches of ``_lang, _text`` in runs of about ``size`` words, with their bytes if ``spelled``."""
     langs: dict[str, int] = {}
     seeds, parts, at, n = [], [], 0, 0
 
@@ -107,7 +109,7 @@ def shards(batches: Iterator[pa.RecordBatch], size: int, spelled: bool = False)
         nonlocal parts, at, n
         columns = list(zip(*parts))
         parts, at, n = [], 0, 0
-        return Shard(list(langs), *[np.concatenate(columns.pop(0)) for _ in range(6)])
+        return Words(list(langs), *[np.concatenate(columns.pop(0)) for _ in range(6)])
 
     runs, owners, held = [], [], 0
     for batch in (part for whole in batches for part in slices(whole, "_text")):
@@ -130,33 +132,33 @@ def shards(batches: Iterator[pa.RecordBatch], size: int, spelled: bool = False)
         yield close()
 
 
-# --- phrases of a shard ---------------------------------------------------------------------
+# --- phrases of a run -----------------------------------------------------------------------
 
 Keep = Callable[[int, np.ndarray, np.ndarray], np.ndarray]
 
 
-def levels(shard: Shard, most: int, keep: Keep) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def levels(held: Words, most: int, keep: Keep) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For ``k`` = 1 to ``most``, the places and hashes of the phrases that ``keep`` keeps.
 
     ``keep(k, places, hashes)`` is a mask. A phrase is looked at only if both phrases one word
     shorter inside it were kept, which holds for every phrase as frequent as they have to be.
     """
-    at, value = np.arange(len(shard.hashes), dtype=np.int32), shard.hashes
+    at, value = np.arange(len(held.hashes), dtype=np.int32), held.hashes
     for k in range(1, most + 1):
         mask = keep(k, at, value)
         at, value = at[mask], value[mask]
         if not len(at):
             return
         yield k, at, value
-        kept = np.zeros(len(shard.hashes) + 1, dtype=bool)
+        kept = np.zeros(len(held.hashes) + 1, dtype=bool)
         kept[at] = True
         more = kept[at + 1]
         if k == 1:
-            more &= np.append(shard.joined, False)[at + 1]
+            more &= np.append(held.joined, False)[at + 1]
         at, value = at[more], value[more]
         for a in range(0, len(at), RANGE_WORDS):
             some = slice(a, a + RANGE_WORDS)
-            value[some] = mix(value[some] * np.uint64(BASE) + shard.hashes[at[some] + k])
+            value[some] = mix(value[some] * np.uint64(BASE) + held.hashes[at[some] + k])
 
 
 def _ranges(values: np.ndarray) -> Iterator[np.ndarray]:
@@ -177,13 +179,13 @@ def counted(values: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
         yield some, codes, np.bincount(codes, minlength=len(distinct))
 
 
-def local_support(words_here: int, words_in_all: int, support: int) -> int:
-    """How often a phrase must occur in a shard to count as frequent there.
+def local_support(support: int, shards: int) -> int:
+    """How often a phrase must occur in a shard to count as frequent there: its share of the support.
 
-    If a phrase reaches the support overall, some shard has at least its share of it, by the
-    shard's share of the words: less everywhere would add up to less than the support.
+    A phrase that reaches the support overall has its share in some shard, whatever their sizes:
+    less everywhere would add up to less than the support.
     """
-    return -(-support * words_here // max(1, words_in_all))
+    return -(-support // shards)
 
 
 class Bits:
@@ -216,92 +218,98 @@ def _texts(docs: DataFrame, text: str, lang: str) -> DataFrame:
 
 
 def _word_counts(texts: DataFrame, size: int) -> DataFrame:
-    """``lang, h, f``: the words of every shard with their counts there."""
+    """``lang, h, f``: the words of every run with their counts there."""
 
     def run(batches):
-        for shard in shards(batches, size):
-            for some, codes, n in counted(shard.hashes):
+        for held in word_runs(batches, size):
+            for some, codes, n in counted(held.hashes):
                 first = some[np.unique(codes, return_index=True)[1]]
-                langs = shard.lang_names(first)
-                yield pa.RecordBatch.from_arrays([langs, pa.array(shard.hashes[first].view(np.int64)), pa.array(n)], ["lang", "h", "f"])
+                langs = held.lang_names(first)
+                yield pa.RecordBatch.from_arrays([langs, pa.array(held.hashes[first].view(np.int64)), pa.array(n)], ["lang", "h", "f"])
 
     return texts.mapInArrow(run, "lang string, h bigint, f bigint")
 
 
-def _locally_frequent(texts: DataFrame, known: Bits, most: int, support: int, size: int) -> DataFrame:
-    """``h``: the hashes of each shard's phrases that reach the shard's share of the support.
+def _locally_frequent(texts: DataFrame, filters: list[Bits], most: int, support: int, shards: int, size: int) -> DataFrame:
+    """``h``: the hashes of the phrases that reach their share of the support in some shard.
 
-    ``texts`` also has ``_n``, the number of words of the row's language in all texts.
+    A shard is every ``shards``-th partition of ``texts``. A task counts its part of the shard in the
+    runs of words that it holds at a time, and the counts are added up by shard and hash. ``filters``
+    keep phrases of one word, two words and so on; the phrases mined are longer, up to ``most`` words.
     """
+    known = len(filters)
 
     def run(batches):
-        totals: dict[str, int] = {}
+        shard_number = TaskContext.get().partitionId() % shards
 
-        def seen():
-            for batch in batches:
-                totals.update(zip(batch["_lang"].to_pylist(), batch["_n"].to_pylist()))
-                yield batch
+        def keep(k, at, value):
+            return filters[k - 1].has(value) if k <= known else np.ones(len(at), dtype=bool)
 
-        for shard in shards(seen(), size):
-            here = np.bincount(shard.lang, minlength=len(shard.langs)).tolist()
-            need = np.array([local_support(n, totals[lang], support) for n, lang in zip(here, shard.langs)], dtype=np.int64)
-            found: list[np.ndarray] = []
-
-            def keep(k, at, value, shard=shard, need=need, found=found):
-                mask = known.has(value) if k == 1 else np.ones(len(at), dtype=bool)
+        for held in word_runs(batches, size):
+            for k, _, value in levels(held, most, keep):
+                if k <= known:
+                    continue
                 for some, codes, n in counted(value):
-                    often = n[codes] >= need[shard.lang[at[some]]]
-                    mask[some] &= often
-                    found.append(np.unique(value[some][mask[some]]))
-                return mask
-
-            for _ in levels(shard, most, keep):
-                while found:
-                    yield pa.RecordBatch.from_arrays([pa.array(found.pop().view(np.int64))], ["h"])
+                    _, first = np.unique(codes, return_index=True)
+                    columns = [pa.array(np.full(len(n), shard_number, dtype=np.int32)), pa.array(value[some[first]].view(np.int64)), pa.array(n)]
+                    yield pa.RecordBatch.from_arrays(columns, ["shard", "h", "c"])
 
-    return texts.mapInArrow(run, "h bigint")
+    # Counts are combined in the task already, so they are not combined again before the shuffle.
+    found = texts.mapInArrow(run, "shard int, h bigint, c bigint").repartition("shard", "h").groupBy("shard", "h").agg(F.sum("c").alias("c"))
+    return found.where(F.col("c") >= local_support(support, shards)).select("h").distinct()
 
 
 def _count_candidates(texts: DataFrame, candidates: Bits, most: int, size: int) -> DataFrame:
-    """``lang, phrase, k, f``: how often each candidate occurs in each shard."""
+    """``lang, phrase, k, f``: how often each candidate occurs in each run."""
 
     def run(batches):
-        for shard in shards(batches, size, spelled=True):
-            for k, at, value in levels(shard, most, lambda k, at, value: candidates.has(value)):
+        for held in word_runs(batches, size, spelled=True):
+            for k, at, value in levels(held, most, lambda k, at, value: candidates.has(value)):
                 for some, codes, n in counted(value):
                     first = at[some[np.unique(codes, return_index=True)[1]]]
                     for cut in range(0, len(first), 1 << 16):
                         own = first[cut : cut + (1 << 16)]
-                        langs = shard.lang_names(own)
-                        columns = [langs, shard.texts(own, k), pa.array(np.full(len(own), k, dtype=np.int32)), pa.array(n[cut : cut + (1 << 16)])]
+                        langs = held.lang_names(own)
+                        columns = [langs, held.texts(own, k), pa.array(np.full(len(own), k, dtype=np.int32)), pa.array(n[cut : cut + (1 << 16)])]
                         yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "k", "f"])
 
     return texts.mapInArrow(run, "lang string, phrase string, k int, f bigint")
 
 
 def frequent_phrases(
-    docs: DataFrame, text: str = "text", lang: str = "lang", most: int = 5, support: int = 100, shard_words: int = SHARD_WORDS
+    docs: DataFrame,
+    text: str = "text",
+    lang: str = "lang",
+    most: int = 5,
+    support: int = 100,
+    shards: int = SHARDS,
+    run_words: int = RUN_WORDS,
 ) -> tuple[DataFrame, DataFrame]:
     """``lang, phrase, k, f`` of all phrases of 1 to ``most`` words that occur ``support`` times, and ``lang, n``.
 
-    Three passes over the texts. The first counts words: ``n`` of each language, and the words that
-    can be part of a frequent phrase at all. In the second every shard, the texts that a task holds
-    at a time, is mined completely at its share of the support. The union of what is frequent in some
-    shard holds every phrase that is frequent overall, and the third pass counts all of it exactly.
-    Words and candidates reach the tasks as bitmaps of fixed size, which can only let in more. Counts
-    are combined in the task and before the shuffle; words are compared by 64-bit hashes inside a
-    shard and by their text between shards. At more than ``support`` shards of a language the local
-    support is one occurrence, and every phrase of frequent words is a candidate.
+    Words are counted first, which gives ``n`` of each language. The texts are partitioned in ``shards``
+    shards, and each is mined completely at its share of the support: first pairs of frequent words,
+    then longer phrases of such pairs. A shard may be larger than a task: tasks hold ``run_words``
+    words at a time, and their counts meet by shard and phrase. The number of shards is fixed, so that
+    the local support, and the part of all phrases that reach it, do not change with the size of the
+    table. The union of what is frequent in some shard holds every phrase that is frequent
+    overall, and a last pass counts all of it exactly.
+
+    Words, pairs and candidates reach the tasks as bitmaps of fixed size, which can only let in more.
+    Words are compared by 64-bit hashes inside a run of words and by their text between runs.
     """
     texts = _texts(docs, text, lang)
-    counted_words = min(shard_words, COUNTED_WORDS)
+    counted_words = min(run_words, COUNTED_WORDS)
     once = stage(_word_counts(texts, counted_words).groupBy("lang", "h").agg(F.sum("f").alias("f")))
     totals = stage(once.groupBy("lang").agg(F.sum("f").alias("n")))
-    known = bitmap(once.where(F.col("f") >= support), "h", WORD_BITS)
-    with_total = texts.join(totals.withColumnsRenamed({"lang": "_of", "n": "_n"}), F.col("_lang") == F.col("_of")).select("_lang", "_text", "_n")
-    mined = stage(_locally_frequent(with_total, known, most, support, shard_words).distinct())
-    candidates = bitmap(mined, "h", PHRASE_BITS)
-    found = _count_candidates(texts, candidates, most, counted_words).groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f"))
+    often = once.where(F.col("f") >= support).select("h")
+    filters, candidates = [bitmap(often, "h", WORD_BITS)], often
+    for longest in sorted({min(2, most), most} - {1}):
+        mined = stage(_locally_frequent(texts, filters, longest, support, shards, run_words))
+        filters.append(bitmap(mined, "h", PHRASE_BITS))
+        candidates = candidates.union(mined)
+    found = _count_candidates(texts, bitmap(candidates, "h", PHRASE_BITS), most, counted_words)
+    found = found.groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f"))
     return stage(found.where(F.col("f") >= support)), totals
 
 
@@ -323,7 +331,7 @@ def _inside(frequent: DataFrame, shortest: int) -> DataFrame:
 
 
 def mine_collocations(
-    docs: DataFrame, text: str = "text", lang: str = "lang", most: int = 5, support: int = 100, top: int = 2000, shard_words: int = SHARD_WORDS
+    docs: DataFrame, text: str = "text", lang: str = "lang", most: int = 5, support: int = 100, top: int = 2000, shards: int = SHARDS, run_words: int = RUN_WORDS
 ) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: each language's ``top`` collocations of 2 to ``most`` words.
 
@@ -335,7 +343,7 @@ def mine_collocations(
     A null text has no words, a null language is ``und``. Repeated rows count each time; other
     columns are ignored whatever their names. An empty table has an empty result.
     """
-    frequent, totals = frequent_phrases(docs, text, lang, most, support, shard_words)
+    frequent, totals = frequent_phrases(docs, text, lang, most, support, shards, run_words)
     own = frequent.where("k > 1").select("lang", "phrase", "k", F.col("f").alias("a"), F.split("phrase", " ").alias("words"))
     cuts = own.withColumn("cut", F.explode(F.sequence(F.lit(1), F.col("k") - 1))).select(
         "lang", "phrase", "a", "cut", _run(F.lit(1), F.col("cut")).alias("left"), _run(F.col("cut") + 1, F.col("k") - F.col("cut")).alias("right")

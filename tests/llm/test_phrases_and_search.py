@@ -53,11 +53,11 @@ def mined(frame, **kw):
     return sorted(tuple(r) for r in phrases.mine_collocations(frame, **kw).collect())
 
 
-def test_collocations_of_many_small_shards(spark):
+def test_collocations_of_shards_in_small_runs(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r.text, r.lang) for r in docs.select("text", "lang").collect()]
     expected = collocations(rows, 5, 50)
-    assert expected and mined(docs.repartition(7), support=5, top=50, shard_words=3000) == expected
+    assert expected and mined(docs.repartition(7), support=5, top=50, shards=3, run_words=3000) == expected
     assert mined(docs, support=5, top=50) == expected
 
 
@@ -68,7 +68,7 @@ def test_collocations_of_odd_rows(spark):
     frame = spark.createDataFrame([(*r, "z", 1) for r in rows], "doc_id bigint, text string, lang string, h string, f int")
     for support in (1, 2, 3):
         expected = collocations([r[1:] for r in rows], support, 9)
-        assert mined(frame, support=support, top=9, shard_words=20) == expected
+        assert mined(frame, support=support, top=9, shards=2, run_words=20) == expected
     assert mined(frame.where("false")) == [] and mined(frame.withColumn("text", F.lit(None))) == []
 
 
@@ -86,8 +86,8 @@ def test_words_of_a_huge_text_are_cut_where_pieces_end(monkeypatch):
     monkeypatch.setattr(phrases, "SLICE", 16)
     text = "ab cd, ef gh ij kl mn op qr st; uv. " * 20
     batch = pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array([text])], ["_lang", "_text"])
-    (shard,) = phrases.shards(iter([batch]), 10**6, spelled=True)
-    whole = [shard.texts(at, k).to_pylist() for k, at, _ in phrases.levels(shard, 5, lambda k, at, value: np.ones(len(at), dtype=bool))]
+    (held,) = phrases.word_runs(iter([batch]), 10**6, spelled=True)
+    whole = [held.texts(at, k).to_pylist() for k, at, _ in phrases.levels(held, 5, lambda k, at, value: np.ones(len(at), dtype=bool))]
     pieces = [p.split() for p in re.split("[,;.]", text)]
     assert whole == [[" ".join(p[i : i + k]) for p in pieces for i in range(len(p) - k + 1)] for k in range(1, 6)]
 
