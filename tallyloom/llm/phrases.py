@@ -22,7 +22,7 @@ IS_BREAK = np.array([b in BREAKS for b in range(256)])
 SLICE = 1 << 20
 SHARDS = 10
 # Words that a task holds at a time to mine, to spell phrases, and to hash or count.
-RUN_WORDS, COUNTED_WORDS, RANGE_WORDS = 8_000_000, 1_500_000, 1_000_000
+RUN_WORDS, COUNTED_WORDS, RANGE_WORDS = 3_000_000, 1_500_000, 1_000_000
 # Bits of the filters sent to the tasks: a fixed size, whatever the number of words or phrases.
 WORD_BITS, PHRASE_BITS = 1 << 24, 1 << 26
 
@@ -233,6 +233,9 @@ def _word_counts(texts: DataFrame, size: int) -> DataFrame:
 def _locally_frequent(texts: DataFrame, filters: list[Bits], most: int, support: int, shards: int, size: int) -> DataFrame:
     """``h``: the hashes of the phrases that reach their share of the support in some shard.
 
+    Of their union, those go that cannot reach the support even with one occurrence less than its
+    share in each of the other shards.
+
     A shard is every ``shards``-th partition of ``texts``. A task counts its part of the shard in the
     runs of words that it holds at a time, and the counts are added up by shard and hash. ``filters``
     keep phrases of one word, two words and so on; the phrases mined are longer, up to ``most`` words.
@@ -255,8 +258,10 @@ def _locally_frequent(texts: DataFrame, filters: list[Bits], most: int, support:
                     yield pa.RecordBatch.from_arrays(columns, ["shard", "h", "c"])
 
     # Counts are combined in the task already, so they are not combined again before the shuffle.
-    found = texts.mapInArrow(run, "shard int, h bigint, c bigint").repartition("shard", "h").groupBy("shard", "h").agg(F.sum("c").alias("c"))
-    return found.where(F.col("c") >= local_support(support, shards)).select("h").distinct()
+    found = texts.mapInArrow(run, "shard int, h bigint, c bigint").repartition("h").groupBy("shard", "h").agg(F.sum("c").alias("c"))
+    local = local_support(support, shards)
+    united = found.where(F.col("c") >= local).groupBy("h").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n"))
+    return united.where(F.col("c") + (shards - F.col("n")) * (local - 1) >= support).select("h")
 
 
 def _count_candidates(texts: DataFrame, candidates: Bits, most: int, size: int) -> DataFrame:
