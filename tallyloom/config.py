@@ -50,23 +50,41 @@ NULL_TOKENS = (
     "nan",
     "null",
 )
+# The date formats a ledger may vote for, and the shape of a text that can be read by each.
+DATE_SHAPES = {
+    "yyyy-MM-dd": r"\d{4}-\d\d-\d\d",
+    "yyyy/MM/dd": r"\d{4}/\d\d/\d\d",
+    "yyyyMMdd": r"\d{8}",
+    "M/d/yyyy": r"\d\d?/\d\d?/\d{4}",
+    "d/M/yyyy": r"\d\d?/\d\d?/\d{4}",
+    "M-d-yyyy": r"\d\d?-\d\d?-\d{4}",
+    "d-M-yyyy": r"\d\d?-\d\d?-\d{4}",
+    "d.M.yyyy": r"\d\d?\.\d\d?\.\d{4}",
+    "d-MMM-yyyy": r"\d\d?-[A-Z][a-z]{2}-\d{4}",
+    "d MMM yyyy": r"\d\d? [A-Z][a-z]{2} \d{4}",
+    "MMM d, yyyy": r"[A-Z][a-z]{2} \d\d?, \d{4}",
+    "yyyy-MM-dd HH:mm:ss": r"\d{4}-\d\d-\d\d \d\d:\d\d:\d\d",
+    "yyyy-MM-dd'T'HH:mm:ss": r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d",
+    "M/d/yyyy HH:mm": r"\d\d?/\d\d?/\d{4} \d\d:\d\d",
+    "d/M/yyyy HH:mm": r"\d\d?/\d\d?/\d{4} \d\d:\d\d",
+}
 
 
 @dataclass(frozen=True)
 class LedgerConfig:
     """Everything the two profiles, or a user, may set.
 
+    ``date_formats``: the formats to try, in order; None lets the dates themselves vote for one of
+    ``DATE_SHAPES``.
     ``on_classifier_error``: ``"raise"`` fails the job on a failed batch, ``"skip"`` leaves the
     rows of that batch without a prediction and keeps the error beside the batch.
     ``classifier_tries`` and ``classifier_wait``: calls per batch, and the seconds between them,
     before a batch counts as failed.
     ``percent_digits``: ``None`` keeps full precision, 1 rounds half to even.
-    ``multi_line``: read CSV fields that contain line breaks. Such files cannot be split, so it
-    is off by default; a broken quote then raises an error rather than being misread.
     ``ordered_export``: sort exported rows by row key. Off by default, as it shuffles every row.
     """
 
-    date_formats: tuple[str, ...] = ("yyyy-MM-dd",)
+    date_formats: tuple[str, ...] | None = None
     missing_text: str | None = "nan"
     quantile: float = 0.95
     labels: tuple[str, ...] = LABELS
@@ -81,7 +99,6 @@ class LedgerConfig:
     ordered_export: bool = False
     preview_rows: int = 5
     sample_rows: int = 10
-    multi_line: bool = False
 
 
 BATCH = LedgerConfig()

@@ -18,6 +18,7 @@ from tallyloom.functions.values import (
     parse_date,
     strip_text,
 )
+from tallyloom.operators.dates import settled
 
 ROW_KEY = "row_index"
 
@@ -29,9 +30,9 @@ def require_columns(df: DataFrame) -> None:
         raise ValueError(f"ledger is missing required columns: {missing}")
 
 
-def null_tokens(df: DataFrame) -> DataFrame:
-    """Turn the missing-value spellings of every text column into NULL."""
-    text = [isinstance(f.dataType, T.StringType) for f in df.schema]
+def null_tokens(df: DataFrame, besides: tuple[str, ...] = ()) -> DataFrame:
+    """Turn the missing-value spellings of every text column, besides some, into NULL."""
+    text = [isinstance(f.dataType, T.StringType) and f.name not in besides for f in df.schema]
     return df.select(
         *[
             null_if_token(c, NULL_TOKENS).alias(name) if is_text else c
@@ -51,8 +52,12 @@ def drop_blank_rows(df: DataFrame, besides: tuple[str, ...] = (ROW_KEY,)) -> Dat
 
 
 def clean(df: DataFrame, cfg: LedgerConfig = BATCH) -> DataFrame:
-    """Drop blank rows, trim text, parse amounts, add ``date_parsed``; keep other columns."""
+    """Drop blank rows, trim text, parse amounts, add ``date_parsed``; keep other columns.
+
+    Without given date formats the dates are read once, at once, to vote for one.
+    """
     require_columns(df)
+    cfg = settled(df, cfg)
     df = drop_blank_rows(df)
     kinds = {f.name: f.dataType for f in df.schema}
     changed = {}
@@ -70,5 +75,5 @@ def with_month(df: DataFrame, cfg: LedgerConfig = BATCH) -> DataFrame:
     if "date_parsed" in df.columns:
         parsed = F.col("date_parsed")
     else:
-        parsed = parse_date(F.col("date"), df.schema["date"].dataType, cfg.date_formats)
+        parsed = parse_date(F.col("date"), df.schema["date"].dataType, settled(df, cfg).date_formats)
     return df.withColumn("month", month_bucket(parsed))

@@ -148,8 +148,10 @@ def lookup_categories(
 
     The join carries no hint: a small table is broadcast by its size; beyond that it is a shuffle
     join, in which adaptive execution splits the rows of a very frequent merchant. The merchant
-    table must name each merchant once.
+    table must name each merchant once. In a ledger without merchants every row is ``Other``.
     """
+    if "merchant" not in df.columns:
+        return df.withColumn(out, F.lit("Other"))
     table = merchants.select(
         F.col("merchant").alias("_merchant"), F.col("category").alias("_category")
     )

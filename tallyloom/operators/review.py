@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from tallyloom.config import BATCH, REVIEW_COLUMNS, LedgerConfig
 from tallyloom.functions.values import named, parse_amount, parse_date
 from tallyloom.operators.clean import ROW_KEY
-from tallyloom.operators.rules import detect_anomalies
+from tallyloom.operators.dates import settled
+from tallyloom.operators.duplicates import duplicate_columns, same_keys
+from tallyloom.operators.rules import DUPLICATE, REASONS, detect_anomalies, judge
 from tallyloom.sources.staging import stage
 
 
@@ -47,7 +49,7 @@ def apply_edits(df: DataFrame, edits: DataFrame, cfg: LedgerConfig = BATCH) -> D
         new = parse_amount(value, edits.schema[c].dataType) if c == "amount" else value
         columns[c] = F.when(hit, new.cast(kinds[c])).otherwise(columns[c])
     if "date" in edited and "date_parsed" in df.columns:
-        repaired = parse_date(columns["date"], kinds["date"], cfg.date_formats)
+        repaired = parse_date(columns["date"], kinds["date"], settled(df, cfg).date_formats)
         columns["date_parsed"] = F.when(hit, repaired).otherwise(F.col("date_parsed"))
     return df.join(overlay, df[ROW_KEY] == overlay["_row"], "left").select(
         *[value.alias(name) for name, value in columns.items()]
@@ -55,5 +57,31 @@ def apply_edits(df: DataFrame, edits: DataFrame, cfg: LedgerConfig = BATCH) -> D
 
 
 def reanalyse(df: DataFrame, edits: DataFrame, cfg: LedgerConfig = BATCH) -> DataFrame:
-    """Overlay edits and run the rules on the result; predictions are kept."""
-    return detect_anomalies(stage(apply_edits(df, edits, cfg)), cfg)
+    """Overlay edits and judge the result by the rules; predictions are kept.
+
+    A ledger that the rules have judged is judged again only where edits can matter. High and
+    negative amounts are tests of the row against a literal. Whether a row is a duplicate is known
+    from its reasons, unless its key is the old or new key of an edited row: only the rows of such
+    keys are counted again, found by a list as long as the edits. No row is shuffled by its key. A
+    ledger without reasons is judged in full.
+    """
+    edited = stage(apply_edits(df, edits, cfg))
+    keys = duplicate_columns(df)
+    if REASONS not in df.columns or REASONS in edits.columns:
+        return detect_anomalies(edited, cfg)
+    was = F.coalesce(F.col(REASONS).contains(DUPLICATE), F.lit(False))
+    if not set(keys) & set(edits.columns):
+        return judge(edited.withColumn("_duplicate", was), "_duplicate", cfg)
+    rows = stage(edits.select(F.col(ROW_KEY).alias("_row")).distinct())
+    touched = [
+        side.join(rows, F.col(ROW_KEY) == F.col("_row"), "left_semi").select(*named(keys)) for side in (df, edited)
+    ]
+    names = {k: f"_key_{i}" for i, k in enumerate(keys)}
+    touched = stage(touched[0].unionByName(touched[1]).distinct().withColumnsRenamed(names))
+    again = edited.select(*named(keys)).join(touched, same_keys(names), "left_semi")
+    counts = again.groupBy(*named(keys)).agg(F.count(F.lit(1)).alias("_n")).withColumnsRenamed(names)
+    counts = stage(counts)
+    flagged = edited.join(counts, same_keys(names), "left").select(
+        *named(edited.columns), F.coalesce(F.col("_n") > 1, was).alias("_duplicate")
+    )
+    return judge(flagged, "_duplicate", cfg, edited)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.config import BATCH, LedgerConfig
-from tallyloom.functions.values import finite
+from tallyloom.functions.values import finite, named
 from tallyloom.operators.duplicates import duplicate_columns, flag_duplicates
 from tallyloom.operators.quantile import exact_quantile
 
@@ -46,15 +46,23 @@ def detect_anomalies(df: DataFrame, cfg: LedgerConfig = BATCH) -> DataFrame:
     Reason and flag columns of an earlier run are replaced.
     """
     df = df.drop(REASONS, FLAG)
-    threshold = high_threshold(df, cfg)
-    keys = duplicate_columns(df)
-    flagged = flag_duplicates(df, keys, "_duplicate")
+    flagged = flag_duplicates(df, duplicate_columns(df), "_duplicate")
+    return judge(flagged, "_duplicate", cfg, df)
+
+
+def judge(df: DataFrame, duplicate: str, cfg: LedgerConfig = BATCH, amounts: DataFrame | None = None) -> DataFrame:
+    """The reasons and the flag of rows of which a column tells whether they are duplicates; it goes.
+
+    The threshold is that of ``amounts``, a written table with the same amounts, or of ``df``.
+    """
+    threshold = high_threshold(df if amounts is None else amounts, cfg)
     tests = {
         f"Unusually high amount (> {threshold_text(threshold)})": is_high(threshold),
         NEGATIVE: is_negative(),
-        DUPLICATE: F.col("_duplicate"),
+        DUPLICATE: F.col(duplicate),
     }
     reasons = F.concat_ws(", ", *[F.when(test, F.lit(text)) for text, test in tests.items()])
     # The same as reasons != "", without building the text where only the flag is asked for.
     hit = reduce(or_, [F.coalesce(test, F.lit(False)) for test in tests.values()])
-    return flagged.withColumns({REASONS: reasons, FLAG: hit}).drop("_duplicate")
+    columns = [c for c in df.columns if c not in (REASONS, FLAG, duplicate)]
+    return df.select(*named(columns), reasons.alias(REASONS), hit.alias(FLAG))

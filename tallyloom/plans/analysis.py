@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.config import BATCH, LedgerConfig
-from tallyloom.operators.clean import clean
+from tallyloom.functions.values import named
+from tallyloom.operators.clean import ROW_KEY, clean
+from tallyloom.operators.dates import settled
 from tallyloom.operators.enrich import (
     Classifier,
     classifier_responses,
@@ -17,12 +19,19 @@ from tallyloom.operators.enrich import (
     merge_predictions,
     parse_responses,
 )
-from tallyloom.operators.review import reanalyse, review_view
+from tallyloom.operators.review import apply_edits, reanalyse, review_view
 from tallyloom.operators.rules import detect_anomalies
 from tallyloom.plans import report
-from tallyloom.sources.files import read_clean_ledger, write_csv, write_enriched, write_report, write_review
+from tallyloom.sources.files import (
+    read_clean_ledger,
+    read_enriched_parquet,
+    write_csv,
+    write_enriched,
+    write_enriched_parquet,
+    write_report,
+)
 from tallyloom.sources.generate import merchant_table
-from tallyloom.sources.staging import stage
+from tallyloom.sources.staging import owned_staging, stage
 
 
 @dataclass(frozen=True)
@@ -30,11 +39,13 @@ class Analysis:
     """A written, enriched ledger and the reports over it.
 
     ``failed_batches`` lists the batches that a classifier did not answer; None without one.
+    ``pending`` are edits beside the ledger: the review shows them, the reports do not.
     """
 
     ledger: DataFrame
     cfg: LedgerConfig
     failed_batches: DataFrame | None = None
+    pending: DataFrame | None = None
 
     def preview(self) -> DataFrame:
         return report.preview(self.ledger, self.cfg)
@@ -61,7 +72,16 @@ class Analysis:
         return report.report_lines(self.ledger, self.cfg)
 
     def review(self) -> DataFrame:
-        return review_view(self.ledger)
+        """The review columns with the pending edits, and the reasons from before them."""
+        return review_view(self.ledger if self.pending is None else apply_edits(self.ledger, self.pending, self.cfg))
+
+    def propose(self, edits: DataFrame) -> Analysis:
+        """The analysis with pending edits, which take the place of earlier pending ones."""
+        return replace(self, pending=edits)
+
+    def apply(self) -> Analysis:
+        """The analysis after its pending edits."""
+        return self if self.pending is None else self.edited(self.pending)
 
     def edited(self, edits: DataFrame) -> Analysis:
         """The analysis after reviewer edits: rules again, predictions kept."""
@@ -70,7 +90,7 @@ class Analysis:
     def write(self, folder: str) -> None:
         """Enriched and review CSV, the chart tables, the JSON summary and the text reports."""
         write_enriched(self.ledger, f"{folder}/enriched", self.cfg)
-        write_review(self.ledger, f"{folder}/review")
+        write_csv(self.review().drop(ROW_KEY), f"{folder}/review")
         write_csv(self.category_share(), f"{folder}/category_share")
         write_csv(self.monthly_trend(), f"{folder}/monthly_trend")
         write_csv(self.anomaly_report(), f"{folder}/anomalies")
@@ -86,6 +106,7 @@ def analyse(df: DataFrame, classifier: Classifier | None = None, cfg: LedgerConf
     is written once, since the rules read it several times, and so is the result, since every
     report reads it.
     """
+    cfg = settled(df, cfg)
     return _analyse_cleaned(stage(clean(df, cfg)), classifier, cfg, dense=False)
 
 
@@ -110,7 +131,20 @@ def run(
     classifier: Classifier | None = None,
     cfg: LedgerConfig = BATCH,
 ) -> Analysis:
-    """Analyse CSV files and write every output to ``folder``, which must not hold the input."""
-    analysis = _analyse_cleaned(read_clean_ledger(spark, path, cfg), classifier, cfg, dense=True)
-    analysis.write(folder)
+    """Analyse CSV files and write every output to ``folder``, which must not hold the input.
+
+    The ledger of the result is the Parquet output of the run, ``ledger``; what was staged on the way
+    is removed.
+    """
+    with owned_staging(spark):
+        ledger = read_clean_ledger(spark, path, cfg)
+        made = _analyse_cleaned(ledger, classifier, settled(ledger, cfg), dense=True)
+        write_enriched_parquet(made.ledger, f"{folder}/ledger", made.cfg, "static")
+        failed = made.failed_batches
+        if failed is not None:
+            failed.write.mode("overwrite").parquet(f"{folder}/failed_batches")
+            failed = spark.read.schema(failed.schema).parquet(f"{folder}/failed_batches")
+        kept = read_enriched_parquet(spark, f"{folder}/ledger", made.ledger)
+        analysis = Analysis(kept.select(*named(made.ledger.columns)), made.cfg, failed)
+        analysis.write(folder)
     return analysis

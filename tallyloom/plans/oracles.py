@@ -256,6 +256,8 @@ ORACLES: dict[str, str] = {
         "SELECT row_index, CAST(coalesce(try_strptime(date, '%Y-%m-%d'), try_strptime(date, '%d-%b-%Y')) AS DATE)"
         " AS date_parsed FROM raw",
     ),
+    "inferred_dates": "SELECT o_orderkey AS row_index, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderdate AS DATE) END"
+    " AS date_parsed FROM orders",
     "quantile_threshold": _with(
         CLEANED + threshold("cleaned"),
         "SELECT n_amounts, high_thresh, printf('%.2f', high_thresh) AS threshold_text FROM threshold",
@@ -383,6 +385,12 @@ ORACLES: dict[str, str] = {
         "SELECT CAST(row_index AS VARCHAR) AS transaction_id, date, merchant, description, amount, category,"
         " date_parsed FROM cleaned",
     ),
+    "quoted_csv_round_trip": _with(
+        RAW,
+        "SELECT CAST(row_index AS VARCHAR) AS transaction_id, CASE WHEN amount <> 'N/A' THEN amount END AS amount, category,"
+        " CASE WHEN row_index % 3 = 0 THEN 'one, \"two\"' || chr(10) || chr(10) || '\",' || chr(10) || description || chr(10) || '\"'"
+        " ELSE description END AS description FROM raw",
+    ),
     "numbered_rows": _with(
         CLEANED,
         "SELECT count(*) AS n, CAST(0 AS BIGINT) AS first_row, count(*) - 1 AS last_row, count(*) AS n_distinct"
@@ -399,5 +407,20 @@ ORACLES: dict[str, str] = {
         "SELECT date, amount, merchant, description, coalesce(category_llm, '') AS category_llm,"
         " suspicious_llm, confidence_llm FROM enriched",
     ),
+    "parquet_export": _with(
+        ENRICHED,
+        f"SELECT row_index, date, merchant, description, amount, category, date_parsed, anomaly_reasons_rule, is_anomaly_rule,"
+        f" {PREDICTION}, coalesce(strftime(date_parsed, '%Y-%m'), 'NaT') AS month FROM enriched",
+    ),
+    "pending_review_export": _with(
+        ENRICHED + EDITED.replace("FROM merged", "FROM enriched"),
+        "SELECT row_index, date, amount, merchant, description, coalesce(category_llm, '') AS category_llm, anomaly_reasons_rule,"
+        " suspicious_llm, confidence_llm FROM edited",
+    ),
+    "optional_columns_absent": _with(
+        CLEANED.replace("date, merchant, coalesce", "date, coalesce") + ruled("cleaned").replace("date, amount, merchant, description", "date, amount, description"),
+        "SELECT row_index, date, amount, description, anomaly_reasons_rule AS combined_reason, 'Other' AS category_display"
+        " FROM ruled WHERE is_anomaly_rule",
+    ),
     "report_export": _with(REPORT, "SELECT line FROM report"),
 }

@@ -10,16 +10,21 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.config import BATCH, INTERACTIVE
+from tallyloom.config import BATCH as PROFILE
+from tallyloom.config import INTERACTIVE as INTERACTIVE_PROFILE
 from tallyloom.operators import clean as cleaning
 from tallyloom.operators import enrich, review, rules
 from tallyloom.operators.duplicates import duplicate_columns, flag_duplicates, repeated_keys
 from tallyloom.plans import report
-from tallyloom.sources import files, generate
+from tallyloom.plans.analysis import Analysis
+from tallyloom.sources import files, generate, records
 from tallyloom.sources.staging import shared_folder, stage
 
 COPY_OFFSET = 10_000_000
 UNKNOWN_OFFSET = 500_000_000
+# The dates of the derived ledger are known; see ``inferred_dates`` for a vote.
+BATCH = replace(PROFILE, date_formats=("yyyy-MM-dd",))
+INTERACTIVE = replace(INTERACTIVE_PROFILE, date_formats=("yyyy-MM-dd",))
 RULE_COLUMNS = ("row_index", "amount", rules.REASONS, rules.FLAG)
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,7 +65,7 @@ def raw_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cleaning.clean(raw_ledger(spark, sf_dir))
+    return cleaning.clean(raw_ledger(spark, sf_dir), BATCH)
 
 
 def ruled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,6 +130,18 @@ def second_date_format(spark, sf_dir):
     return parsed.select("row_index", F.col("date_parsed").cast("date").alias("date_parsed"))
 
 
+@query
+def inferred_dates(spark, sf_dir):
+    """Month first, as only the days above 12 tell; ISO dates in between are outvoted."""
+    day = F.to_timestamp(F.substring("date_text", 1, 10), "yyyy-MM-dd")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    k, text = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    raw = orders.select(k.alias("row_index"), text.alias("date_text"), F.lit("1").alias("amount"), F.lit("x").alias("description"))
+    american = F.when(F.col("row_index") % 7 == 0, F.col("date_text")).otherwise(F.date_format(day, "MM/dd/yyyy"))
+    parsed = cleaning.clean(raw.withColumn("date", american), PROFILE)
+    return parsed.select("row_index", F.col("date_parsed").cast("date").alias("date_parsed"))
+
+
 # --- rules --------------------------------------------------------------------------------
 
 
@@ -164,7 +181,7 @@ def negative_amounts(spark, sf_dir):
 
 @query
 def duplicate_keys(spark, sf_dir):
-    ledger = cleaned(spark, sf_dir)
+    ledger = stage(cleaned(spark, sf_dir))
     return repeated_keys(ledger, duplicate_columns(ledger))
 
 
@@ -177,7 +194,7 @@ def duplicate_rows(spark, sf_dir):
 
 @query
 def hot_duplicate_rows(spark, sf_dir):
-    """A short key that a third of the rows may share, matched by broadcast and salt."""
+    """A short key that a third of the rows may share: hashes are counted first, then the keys."""
     ledger = stage(cleaned(spark, sf_dir).select("row_index", "date_parsed", "description"))
     marked = flag_duplicates(ledger, ["date_parsed", "description"], "is_duplicate")
     return marked.select("row_index", "is_duplicate")
@@ -215,7 +232,7 @@ def category_share(spark, sf_dir):
 
 @query
 def monthly_trend(spark, sf_dir):
-    return report.monthly_trend(merged(spark, sf_dir))
+    return report.monthly_trend(merged(spark, sf_dir), BATCH)
 
 
 # --- enrichment ---------------------------------------------------------------------------
@@ -418,7 +435,7 @@ def edits_by_arithmetic(ledger: DataFrame) -> DataFrame:
 @query
 def edit_overlay(spark, sf_dir):
     ledger = stage(merged(spark, sf_dir))
-    edited = review.apply_edits(ledger, edits_by_arithmetic(ledger))
+    edited = review.apply_edits(ledger, edits_by_arithmetic(ledger), BATCH)
     return edited.select(
         "row_index", "date", "amount", "category_llm", "merchant",
         F.col("date_parsed").cast("date").alias("date_parsed"),
@@ -428,7 +445,7 @@ def edit_overlay(spark, sf_dir):
 @query
 def reanalysed_ledger(spark, sf_dir):
     ledger = stage(enriched(spark, sf_dir))
-    again = review.reanalyse(ledger, edits_by_arithmetic(ledger))
+    again = review.reanalyse(ledger, edits_by_arithmetic(ledger), BATCH)
     return again.select(*RULE_COLUMNS, "category_llm", "suspicious_llm")
 
 
@@ -472,7 +489,7 @@ def generated_ledger(spark, sf_dir):
 def generated_category_share(spark, sf_dir):
     """Generated expenses, cleaned and put in categories by the table of known merchants."""
     ids = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"))
-    ledger = cleaning.clean(generate.generate_rows(ids).unionByName(generate.error_rows(spark)))
+    ledger = cleaning.clean(generate.generate_rows(ids).unionByName(generate.error_rows(spark)), BATCH)
     known = F.broadcast(generate.merchant_table(spark))  # 22 rows
     return report.category_share(enrich.enrich_by_lookup(ledger, known), INTERACTIVE)
 
@@ -489,10 +506,26 @@ def ledger_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def csv_round_trip(spark, sf_dir):
-    ledger = cleaning.clean(ledger_from_csv(spark, sf_dir)).drop("row_index")
+    ledger = cleaning.clean(ledger_from_csv(spark, sf_dir), BATCH).drop("row_index")
     return ledger.withColumn("date_parsed", F.col("date_parsed").cast("date"))
 
 
+@query
+def quoted_csv_round_trip(spark, sf_dir):
+    """Every third description goes on over lines, with quotes and commas, in splits of 16 kB."""
+    ledger = raw_ledger(spark, sf_dir).withColumnRenamed("row_index", "transaction_id")
+    broken = F.concat(F.lit('one, "two"\n\n",\n'), F.col("description"), F.lit('\n"'))
+    path = exported(spark)
+    files.write_csv(ledger.withColumn("description", F.when(F.col("transaction_id") % 3 == 0, broken).otherwise(F.col("description"))), path)
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        lines = records.csv_lines(spark, path)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    return files.ledger_of_lines(spark, path, lines).drop("row_index", "date", "merchant")
+
+
 @query
 def numbered_rows(spark, sf_dir):
     r = F.col("row_index")
@@ -531,6 +564,44 @@ def review_export(spark, sf_dir):
     )
 
 
+@query
+def parquet_export(spark, sf_dir):
+    """Written twice, the second time a part of the months: one copy of each row is left."""
+    path, ledger = exported(spark), stage(enriched(spark, sf_dir))
+    files.write_enriched_parquet(ledger, path, BATCH)
+    files.write_enriched_parquet(ledger.where(F.month("date_parsed") < 4), path, BATCH)
+    back = files.read_enriched_parquet(spark, path, ledger)
+    return back.withColumn("date_parsed", F.col("date_parsed").cast("date"))
+
+
+@query
+def pending_review_export(spark, sf_dir):
+    """Edits that are not applied yet: the edited cells beside the reasons from before."""
+    path, ledger = exported(spark), stage(enriched(spark, sf_dir))
+    pending = Analysis(ledger, BATCH).propose(edits_by_arithmetic(ledger))
+    files.write_csv(pending.review(), path)
+    back = spark.read.option("header", True).option("escape", '"').csv(path)
+    return back.select(
+        F.col("row_index").cast("bigint").alias("row_index"),
+        "date",
+        F.col("amount").cast("double").alias("amount"),
+        "merchant",
+        "description",
+        F.coalesce("category_llm", F.lit("")).alias("category_llm"),
+        F.coalesce(rules.REASONS, F.lit("")).alias(rules.REASONS),
+        F.col("suspicious_llm").cast("boolean").alias("suspicious_llm"),
+        F.col("confidence_llm").cast("double").alias("confidence_llm"),
+    )
+
+
+@query
+def optional_columns_absent(spark, sf_dir):
+    """A ledger of the required columns only: keys are shorter, every category is ``Other``."""
+    ledger = stage(cleaning.clean(raw_ledger(spark, sf_dir).drop("merchant", "category"), BATCH))
+    found = enrich.enrich_by_lookup(rules.detect_anomalies(ledger, BATCH), generate.merchant_table(spark), BATCH)
+    return report.anomaly_report(found).drop("analysis_source", "confidence_display")
+
+
 @query
 def report_export(spark, sf_dir):
     path = exported(spark)

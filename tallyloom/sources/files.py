@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.config import BATCH, LedgerConfig
-from tallyloom.functions.values import named
 from tallyloom.operators.clean import (
     ROW_KEY,
     clean,
@@ -15,11 +14,13 @@ from tallyloom.operators.clean import (
     require_columns,
     with_month,
 )
+from tallyloom.operators.dates import settled
 from tallyloom.operators.review import review_view
+from tallyloom.sources.records import csv_lines, csv_records, number_records, parse_records
 from tallyloom.sources.staging import stage
 
 BROKEN = "_broken_record"
-SPLIT = ("_file", "_split")
+PLACE = ("_file", "_split", "_id", "_is_header")
 
 
 def read_ledger(spark: SparkSession, path: str, cfg: LedgerConfig = BATCH) -> DataFrame:
@@ -28,54 +29,42 @@ def read_ledger(spark: SparkSession, path: str, cfg: LedgerConfig = BATCH) -> Da
     All columns are read as text in one parse, checked, and written as a Parquet table with
     the rows that are not blank. ``row_index`` counts them from 0 in file-name and line order.
     It needs no sort: a row's place inside its input split is known when the split is parsed,
-    and the counts per split, one row each, give the start of every split.
+    and the counts per split, one row each, give the start of every split. Quoted fields may hold
+    line breaks, read as line feeds; such files are split as well, and then the rows are
+    dealt by ranges once (see ``records``).
     """
-    return _number(_parse(spark, path, cfg))
+    return ledger_of_lines(spark, path, csv_lines(spark, path))
 
 
-def read_clean_ledger(spark: SparkSession, path: str, cfg: LedgerConfig = BATCH) -> DataFrame:
-    """``read_ledger`` and ``clean`` in one pass, with one written table."""
-    return _number(clean(_parse(spark, path, cfg), cfg))
+def ledger_of_lines(spark: SparkSession, path: str, lines: DataFrame) -> DataFrame:
+    """``read_ledger`` of the written lines of a path."""
+    rows, in_order = _parse(spark, path, lines)
+    return number_records(rows, [c for c in rows.columns if c not in PLACE], ROW_KEY, in_order)
 
 
-def _parse(spark: SparkSession, path: str, cfg: LedgerConfig) -> DataFrame:
-    """The checked rows that are not blank, with the file and the split they come from."""
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", cfg.multi_line)
-    header = reader.csv(path).schema
-    require_columns(spark.createDataFrame([], header))
-    lines = (
-        reader.option("enforceSchema", False)
-        .option("columnNameOfCorruptRecord", BROKEN)
-        .schema(header.add(BROKEN, "string"))
-        .csv(path)
-        .select(
-            "*",
-            F.col("_metadata.file_path").alias("_file"),
-            F.col("_metadata.file_block_start").alias("_split"),
-        )
-    )
-    if ROW_KEY in lines.columns:
-        raise ValueError(f"the column name {ROW_KEY} is taken by the row number")
-    columns = [c for c in lines.columns if c not in (BROKEN, *SPLIT)]
-    if not cfg.multi_line:
-        _refuse_open_quotes(spark, path)
-    rows = null_tokens(_refuse_long(lines, len(columns)).drop(BROKEN))
-    return drop_blank_rows(rows, besides=SPLIT)
+def read_clean_ledger(spark: SparkSession, path: str, cfg: LedgerConfig = BATCH) -> DataFrame:
+    """``read_ledger`` and ``clean`` in one pass, with one written table."""
+    rows, in_order = _parse(spark, path, csv_lines(spark, path))
+    if cfg.date_formats is None:
+        rows = stage(rows)  # read once more, for the vote
+    cleaned = clean(rows, cfg)
+    return number_records(cleaned, [c for c in cleaned.columns if c not in PLACE], ROW_KEY, in_order)
 
 
-def _refuse_open_quotes(spark: SparkSession, path: str) -> None:
-    """Raise if a quoted field is still open at the end of a line, so that it goes on in the next.
+def _parse(spark: SparkSession, path: str, lines: DataFrame) -> tuple[DataFrame, bool]:
+    """The checked rows that are not blank, with their place in the files; whether they are in scan order.
 
-    Read line by line, such a field could pass as two ordinary records. A quote inside a field
-    that does not start with one is text. One scan of the text, far cheaper than parsing it.
+    The text is scanned once, and its lines are written. Only if some line leaves a quote open are
+    records put together from lines, in the splits where that happens; files stay splittable.
     """
-    rest = F.regexp_replace("value", r'(^|,)"(?:[^"]|"")*+"(?=,|$)', "$1")
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
-    found = lines.where(rest.rlike('(^|,)"')).agg(F.first("value").alias("value"), F.first("file").alias("file")).first()
-    if found.value is not None:
-        raise ValueError(
-            f"open quote in CSV line of {found.file}, set multi_line if fields hold line breaks: {found.value}"
-        )
+    header = spark.read.option("header", True).option("escape", '"').csv(path).schema
+    require_columns(spark.createDataFrame([], header))
+    if ROW_KEY in header.names:
+        raise ValueError(f"the column name {ROW_KEY} is taken by the row number")
+    records = csv_records(lines)
+    parsed = parse_records(lines if records is None else records, header, BROKEN)
+    rows = null_tokens(_refuse_long(parsed, len(header.names)).drop(BROKEN), besides=PLACE)
+    return drop_blank_rows(rows, besides=PLACE), records is None
 
 
 def _refuse_long(lines: DataFrame, width: int) -> DataFrame:
@@ -87,25 +76,6 @@ def _refuse_long(lines: DataFrame, width: int) -> DataFrame:
     return lines.where(F.when(too_long, F.raise_error(message).cast("boolean")).otherwise(True))
 
 
-def _number(rows: DataFrame) -> DataFrame:
-    columns = [c for c in rows.columns if c not in SPLIT]
-    rows = stage(rows.withColumn("_id", F.monotonically_increasing_id()))
-    in_order = Window.orderBy("_file", "_split")
-    splits = (
-        rows.groupBy("_file", "_split")
-        .agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
-        .select(
-            "_file",
-            "_split",
-            (F.sum("_n").over(in_order) - F.col("_n") - F.col("_first")).alias("_shift"),
-        )
-    )
-    # Written, so that the optimizer knows its bytes and broadcasts it only if they are few.
-    return rows.join(stage(splits), ["_file", "_split"]).select(
-        (F.col("_id") + F.col("_shift")).alias(ROW_KEY), *named(columns)
-    )
-
-
 def write_csv(df: DataFrame, path: str) -> None:
     """Write a folder of CSV files with header; quotes are doubled, as ``read_ledger`` expects."""
     kept = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
@@ -118,7 +88,7 @@ def enriched_view(df: DataFrame, cfg: LedgerConfig = BATCH) -> DataFrame:
     Dates are written without a time if no date format has hours.
     """
     rows = with_month(df, cfg) if cfg.export_month else df
-    if "date_parsed" in df.columns and not any("h" in f.lower() for f in cfg.date_formats):
+    if "date_parsed" in df.columns and not any("h" in f.lower() for f in settled(df, cfg).date_formats):
         rows = rows.withColumn("date_parsed", F.col("date_parsed").cast("date"))
     return (rows.orderBy(ROW_KEY) if cfg.ordered_export else rows).drop(ROW_KEY)
 
@@ -127,6 +97,23 @@ def write_enriched(df: DataFrame, path: str, cfg: LedgerConfig = BATCH) -> None:
     write_csv(enriched_view(df, cfg), path)
 
 
+def write_enriched_parquet(df: DataFrame, path: str, cfg: LedgerConfig = BATCH, replace: str = "dynamic") -> None:
+    """All columns as Parquet, a folder per month.
+
+    Writing again replaces the months that ``df`` has and leaves the others, so that writing the same
+    again leaves one copy; with ``static`` it replaces everything. Rows are dealt by month, and adaptive execution splits large months and
+    joins small ones, so that a month has few files whatever the number of tasks.
+    """
+    rows = with_month(df, cfg).hint("rebalance", "month")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", replace).partitionBy("month").parquet(path)
+
+
+def read_enriched_parquet(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """What ``write_enriched_parquet`` wrote of a table with the columns of ``like``; ``month`` is text."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in like.schema if f.name != "month")
+    return spark.read.schema(f"{kinds}, month string").parquet(path)
+
+
 def write_review(df: DataFrame, path: str) -> None:
     """The eight review columns, with edits as they stand."""
     write_csv(review_view(df).drop(ROW_KEY), path)

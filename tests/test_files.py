@@ -46,16 +46,33 @@ def test_missing_columns_and_bad_records(spark, tmp_path):
         read_ledger(spark, write(tmp_path / "b.csv", "date,amount,description\n2025-01-01,1,x,too many\n"))
 
 
-def test_line_breaks_in_fields_are_read_or_refused(spark, tmp_path):
+def test_line_breaks_in_fields_are_read(spark, tmp_path):
     path = write(tmp_path / "m.csv", 'date,amount,description\n2025-01-01,1,"two\nlines"\n2025-01-02,2,b\n')
     sly = write(tmp_path / "s.csv", 'date,amount,description\n2025-01-01,1,"two\nx,y,lines"\n')
-    with pytest.raises(ValueError, match="multi_line"):
-        read_ledger(spark, sly)
-    assert read_ledger(spark, sly, LedgerConfig(multi_line=True)).first().description == "two\nx,y,lines"
-    with pytest.raises(Exception, match="multi_line"):
-        read_ledger(spark, path)
-    rows = read_ledger(spark, path, LedgerConfig(multi_line=True)).orderBy("row_index").collect()
+    assert read_ledger(spark, sly).first().description == "two\nx,y,lines"
+    rows = read_ledger(spark, path).orderBy("row_index").collect()
     assert [(r.row_index, r.description) for r in rows] == [(0, "two\nlines"), (1, "b")]
+    with pytest.raises(ValueError, match="open quote"):
+        read_ledger(spark, write(tmp_path / "o.csv", 'date,amount,description\n2025-01-01,1,"two\nlines\n'))
+
+
+@pytest.mark.parametrize("size", ["97", "1000000"])
+def test_line_breaks_across_splits(spark, tmp_path, size):
+    """Fields of many lines, quotes and commas, in files cut into splits anywhere."""
+    pieces = ["plain", 'a "quoted" word', "one\ntwo", 'x\n\n"y",\n",\n,"\nz', "", '"\n"', "tail,\n" * 12, ',"', '",', "5\" pipe"]
+    rows = [[f"2025-01-{i % 28 + 1:02}", str(i), pieces[i % len(pieces)] + f" {i}", pieces[i * 7 % len(pieces)]] for i in range(30)]
+    for part in range(2):
+        with open(tmp_path / f"p{part}.csv", "w", newline="") as file:
+            out = csv.writer(file, lineterminator="\n")
+            out.writerow(["date", "amount", "description", "notes"])
+            out.writerows(rows[part * 15 : part * 15 + 15])
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        got = read_ledger(spark, str(tmp_path)).orderBy("row_index").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert [(r.row_index, [r.date, r.amount, r.description, r.notes or ""]) for r in got] == list(enumerate(rows))
 
 
 def test_quotes_inside_fields_are_text(spark, tmp_path):

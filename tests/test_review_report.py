@@ -201,3 +201,64 @@ def test_reanalysis_recomputes_rules_and_keeps_predictions(spark):
     again = {r.row_index: r for r in reanalyse(df, edits).collect()}
     assert {i for i, r in again.items() if r.is_anomaly_rule} == {3, 4}
     assert all(r.category_llm == "Meals" for r in again.values()) and len(again) == 20
+
+
+# --- hashes first, touched keys only --------------------------------------------------------
+
+
+def test_duplicates_with_forced_hash_collisions(spark):
+    from pyspark.sql import functions as F
+
+    from tallyloom.operators.duplicates import repeated_keys
+
+    rows = [(None, "x"), (None, "x"), ("a", None), ("a", "b"), ("a", "b"), ("b", "a"), (None, None), ("c", "c")]
+    frame = spark.createDataFrame(rows, "p string, q string")
+    expected = {(None, "x", 2), ("a", "b", 2)}
+    for mark in (None, F.lit(1), F.length("p")):
+        assert {tuple(r) for r in repeated_keys(frame, ["p", "q"], mark).collect()} == expected
+    plan = repeated_keys(frame, ["p", "q"])._jdf.queryExecution().toString()
+    assert "LeftSemi" in plan
+
+
+def test_reanalysis_of_touched_keys_equals_a_full_run(spark):
+    import random
+
+    from tallyloom.operators.review import apply_edits, reanalyse
+    from tallyloom.operators.rules import detect_anomalies
+    from tallyloom.sources.staging import stage
+
+    draw = random.Random(3)
+    rows = [(i, f"2025-01-0{draw.randint(1, 2)}", float(draw.randint(-1, 3)), draw.choice("mn"), draw.choice(["x", "y", None])) for i in range(120)]
+    kinds = "row_index bigint, date string, amount double, merchant string, description string"
+    judged = stage(detect_anomalies(stage(spark.createDataFrame(rows, kinds))))
+    for n in (1, 7, 40):
+        edits = [(i, draw.choice([1.0, 2.0, 500.0, None]), draw.choice(["x", "z", None])) for i in draw.sample(range(125), n)]
+        edits = spark.createDataFrame(edits, "row_index bigint, amount double, description string")
+        for some in (edits, edits.select("row_index", "amount"), edits.select("row_index")):
+            full = detect_anomalies(stage(apply_edits(judged, some)))
+            assert sorted(map(str, reanalyse(judged, some).collect())) == sorted(map(str, full.select(*judged.columns).collect()))
+
+
+def test_pending_edits_and_owned_staging(spark, tmp_path):
+    from pathlib import Path
+
+    from tallyloom.plans.analysis import run
+    from tallyloom.sources.staging import owned_staging, shared_folder, stage
+
+    (tmp_path / "l.csv").write_text("date,amount,description\n" + "".join(f"2025-01-{i:02},{i},d{i}\n" for i in range(1, 29)))
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(folder.glob("staged-*"))
+    for _ in range(2):
+        analysis = run(spark, str(tmp_path / "l.csv"), str(tmp_path / "out"))
+    assert set(folder.glob("staged-*")) == before and analysis.ledger.count() == 28
+    edits = spark.createDataFrame([(0, -5.0)], "row_index bigint, amount double")
+    pending = analysis.propose(edits)
+    first = pending.review().where("row_index = 0").first()
+    assert first.amount == -5.0 and first.anomaly_reasons_rule == "" and analysis.review().where("amount < 0").count() == 0
+    assert pending.kpis().first() == analysis.kpis().first()
+    assert pending.apply().ledger.where("amount < 0").first().is_anomaly_rule
+    with owned_staging(spark):
+        outer = stage(spark.range(3))
+        with owned_staging(spark):
+            inner = stage(spark.range(3)).inputFiles()[0]
+        assert outer.count() == 3 and not Path(inner.removeprefix("file://")).exists()
