@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm.bitmaps import bitmap
 from tallyloom.llm.components import components
 from tallyloom.llm.near_dedup import SHARD, link
 from tallyloom.llm.words import mix
@@ -19,7 +20,8 @@ from tallyloom.sources.staging import stage
 BITS, LETTERS, PERIOD = 256, 64, 1024
 RADIUS = 26
 BLOCK = 128
-PARTS = 64
+MISSED, SPARE_BITS = 0.001, 4
+KEY_BITS = 1 << 27
 NAMES = ["n_chars", "edited_sha256", "fp", "edited_fp", "near_edited", "near_next"]
 
 
@@ -177,53 +179,91 @@ def _near_links(radius: int):
     return run
 
 
+def sampled_bands(prints: int, radius: int = RADIUS) -> list[np.ndarray]:
+    """Places of the bits of each band, for a number of fingerprints.
+
+    A band has ``SPARE_BITS`` bits more than are needed to number the fingerprints, so that few meet by
+    chance at any size. There are as many bands as make all of them differ for at most ``MISSED`` of
+    the pairs at the radius, and for fewer of nearer ones.
+    """
+    width = min(max(prints, 2).bit_length() + SPARE_BITS, 48)
+    meet = math.prod((BITS - radius - i) / (BITS - i) for i in range(width))
+    bands = math.ceil(math.log(MISSED) / math.log1p(-meet))
+    rng = np.random.default_rng(7)
+    return [rng.choice(BITS, width, replace=False) for _ in range(bands)]
+
+
+def _band_keys(prints: pa.Array, bands: list[np.ndarray]) -> np.ndarray:
+    """The 64-bit key of every fingerprint in every band."""
+    raw = np.frombuffer(b"".join(prints.to_pylist()), dtype=np.uint8).reshape(len(prints), -1)
+    bits = np.unpackbits(raw, axis=1).astype(np.uint64)
+    keys = np.empty((len(prints), len(bands)), dtype=np.uint64)
+    for i, band in enumerate(bands):
+        keys[:, i] = mix((bits[:, band] << np.arange(len(band), dtype=np.uint64)).sum(axis=1) * np.uint64(len(bands)) + np.uint64(i))
+    return keys
+
+
 def edit_links(prints: DataFrame, radius: int = RADIUS, shard_size: int = SHARD) -> DataFrame:
-    """Links ``a, b`` between fingerprints of a table with ``fp``.
+    """Links ``a, b`` between fingerprints of a written table with ``fp``, one row each.
 
-    Fingerprints meet where one of ``radius + 1`` disjoint bands of bits is equal, and are verified
-    by all their bits. Two fingerprints within the radius differ in fewer bits than there are
-    bands, so some band of theirs is equal and no link is lost. See ``near_dedup.link`` for what a
-    large band does.
+    Fingerprints meet where one of a number of bands of sampled bits is equal, and are verified by all
+    their bits (see ``sampled_bands`` for what that misses). Band keys are counted first, as plain
+    numbers; only keys that occur twice, as a bitmap of fixed size, take fingerprints along. See
+    ``near_dedup.link`` for what a large band does.
     """
-    bands = np.array_split(np.random.default_rng(7).permutation(BITS), radius + 1)
+    bands = sampled_bands(prints.count(), radius)
+
+    def keys(batches):
+        for batch in batches:
+            for at in range(0, len(batch), 4096):
+                yield pa.RecordBatch.from_arrays([pa.array(_band_keys(batch["fp"].slice(at, 4096), bands).ravel().view(np.int64))], ["key"])
+
+    counted = prints.select("fp").mapInArrow(keys, "key bigint").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    shared = bitmap(counted.where(F.col("n") > 1), "key", KEY_BITS)
 
     def run(batches):
         for batch in batches:
-            raw = np.frombuffer(b"".join(batch["fp"].to_pylist()), dtype=np.uint8).reshape(len(batch), -1)
-            bits = np.unpackbits(raw, axis=1).astype(np.int64)
-            keys = [(bits[:, b] << np.arange(len(b))).sum(axis=1) * len(bands) + i for i, b in enumerate(bands)]
-            keys = np.stack(keys, axis=1).tolist()
-            yield pa.RecordBatch.from_arrays([batch["fp"], pa.array(keys, pa.list_(pa.int64()))], ["fp", "shards"])
+            for at in range(0, len(batch), 4096):
+                some = batch.slice(at, 4096)
+                found = _band_keys(some["fp"], bands)
+                hit = shared.has(found.ravel()).reshape(found.shape)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(hit.sum(axis=1))]).astype(np.int32))
+                shards = pa.ListArray.from_arrays(offsets, pa.array(found[hit].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([some["fp"], shards], ["fp", "shards"])
 
-    sharded = prints.select("fp").distinct().mapInArrow(run, "fp binary, shards array<bigint>")
-    return link(sharded, radius, shard_size, _near_links)
+    sharded = prints.select("fp").mapInArrow(run, "fp binary, shards array<bigint>")
+    return link(stage(sharded.where(F.size("shards") > 0)), radius, shard_size, _near_links)
 
 
-def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", parts: int = PARTS) -> DataFrame:
+def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", parts: int | None = None) -> DataFrame:
     """Every document against an edited copy and against the next document by ascending key.
 
     The copy has the last half of its characters replaced by as many of the next document's first
-    ones. Documents are dealt by ranges of their integer key and read in order, so the next one is the
-    following row; each range also gets the first document of the next range, and the last one
-    the first of all. Texts are shuffled once; a task holds two of them. Null keys come first,
-    equal keys are in the order of their texts' hashes; a null text is empty.
+    ones. Documents are dealt by ranges of key and text hash with about as many rows each, found by
+    dealing the keys alone, whatever their type and spread; ``parts`` is twice the session's shuffle
+    partitions. They are read in order, so the next one is the following row; each range also gets
+    the first document of the next range, and the last one the first of all. Texts are
+    shuffled once; a task holds two of them. Null keys come first, equal keys are in the order of
+    their texts' hashes; a null text is empty.
     """
     kind = docs.schema[key].dataType.simpleString()
     value = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(key).alias("_key"), value.alias("_text"), F.xxhash64(value).alias("_hash"))
-    low, high = docs.agg(F.min(key), F.max(key)).first()
-    width = (high - low) // parts + 1 if low is not None else 1
-    rows = rows.withColumn("_part", F.coalesce(F.floor((F.col("_key") - F.lit(low or 0)) / width), F.lit(0)).cast("int"))
+    parts = parts or 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # One row per range: where each begins. At most `parts` rows.
-    order = F.struct(F.col("_key").isNotNull().alias("k"), F.coalesce("_key", F.lit(0)).alias("v"), F.col("_hash").alias("h"))
-    found = rows.groupBy("_part").agg(F.min(order).alias("f")).orderBy("_part").collect()
-    firsts = [(r["_part"], *r["f"]) for r in found]
-    before = [(firsts[i - 1][0], *f[1:]) for i, f in enumerate(firsts)]
-    ends = docs.sparkSession.createDataFrame(before, "_to int, _k boolean, _v bigint, _h bigint")
-    same = (F.col("_key").isNotNull() == F.col("_k")) & (F.coalesce("_key", F.lit(0)) == F.col("_v")) & (F.col("_hash") == F.col("_h"))
+    place = F.struct(F.col("_key").isNotNull().alias("k"), F.col("_key").alias("v"), F.col("_hash").alias("h"))
+    ranges = rows.select("_key", "_hash").repartitionByRange(parts, F.asc_nulls_first("_key"), "_hash")
+    found = ranges.groupBy(F.spark_partition_id().alias("part")).agg(F.min(place).alias("f"))
+    firsts = [r["f"] for r in found.orderBy("f").collect()]
+    bounds = [F.struct(F.lit(f["k"]).alias("k"), F.lit(f["v"]).cast(kind).alias("v"), F.lit(f["h"]).cast("bigint").alias("h")) for f in firsts]
+    part = F.size(F.filter(F.array(*bounds), lambda b: b <= place)) - 1 if bounds else F.lit(0)
+    rows = rows.withColumn("_part", part)
+    before = [((i - 1) % len(firsts), f["k"], f["v"], f["h"]) for i, f in enumerate(firsts)]
+    ends = docs.sparkSession.createDataFrame(before, f"_to int, _k boolean, _v {kind}, _h bigint")
+    same = F.col("_key").eqNullSafe(F.col("_v")) & (F.col("_hash") == F.col("_h"))
     extra = rows.join(F.broadcast(ends), same).select("_key", "_text", "_hash", F.col("_to").alias("_part"), F.lit(True).alias("_end"))
     extra = extra.dropDuplicates(["_part"])
-    dealt = rows.withColumn("_end", F.lit(False)).unionByName(extra).repartition(parts, "_part")
+    dealt = rows.withColumn("_end", F.lit(False)).unionByName(extra).repartition("_part")
     dealt = dealt.sortWithinPartitions("_part", "_end", F.asc_nulls_first("_key"), "_hash")
 
     def run(batches):

@@ -7,11 +7,12 @@ from functools import reduce
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType
 
 from tallyloom.functions.values import named
-from tallyloom.llm.words import BLANKS, LOWER
+from tallyloom.llm.words import BLANKS, LOWER, fresh
 from tallyloom.sources.staging import shared_folder, stage
 
 FANOUT = 3
@@ -117,25 +118,33 @@ def _line_rows(min_chars: int, kind: str):
     return run, f"_doc {kind}, key binary"
 
 
+def _document(key: str, text: str) -> Column:
+    """What tells documents apart and orders them: the key, or the text's hash where there is none."""
+    own = F.col(key)
+    return F.struct(own.alias("key"), F.when(own.isNull(), F.xxhash64(F.coalesce(F.col(text), F.lit("")))).alias("hash"))
+
+
 def shared_lines(
     docs: DataFrame, key: str, text: str, min_chars: int = 40, min_docs: int = 5, batches: int = BATCHES
 ) -> DataFrame:
     """``_doc, _drop``: for every document that loses lines, the hashes of those lines.
 
     A line of at least ``min_chars`` code points in at least ``min_docs`` documents stays only in
-    the largest document that holds it. Documents enter in ``batches`` ranges of their integer
-    key, largest first. Lines are counted once per document and combined before the shuffle, so a
-    line that every document has is one row per task.
+    the largest document that holds it. Documents enter in ``batches`` ranges of their key, of any
+    type that can be ordered, largest first; the lines are written by range, so a batch reads its own.
+    Lines are counted once per document and combined before the shuffle, so a line that every
+    document has is one row per task.
     """
-    spark, kind = docs.sparkSession, docs.schema[key].dataType.simpleString()
-    run, schema = _line_rows(min_chars, kind)
-    rows = docs.select(F.col(key).alias("_doc"), F.col(text).cast("string").alias("_text"))
+    spark = docs.sparkSession
+    rows = docs.select(_document(key, text).alias("_doc"), F.col(text).cast("string").alias("_text"))
+    run, schema = _line_rows(min_chars, rows.schema["_doc"].dataType.simpleString())
     # One line per document and key, even where a document's row is repeated.
     lines = rows.mapInArrow(run, schema).distinct()
-    low, high = docs.agg(F.min(key), F.max(key)).first()
-    width = ((high - low) // batches + 1) if low is not None else 1
-    batch = F.coalesce(F.floor((F.lit(high) - F.col("_doc")) / width), F.lit(batches - 1))
-    lines = stage(lines.withColumn("_batch", batch.cast("int") if low is not None else F.lit(0)))
+    ranges = batches * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // batches)
+    dealt = lines.repartitionByRange(ranges, F.desc("_doc"))
+    path = f"{shared_folder(spark).rstrip('/')}/lines-{uuid.uuid4().hex}"
+    dealt.withColumn("_batch", F.expr(f"spark_partition_id() * {batches} div {ranges}").cast("int")).write.partitionBy("_batch").parquet(path)
+    lines = spark.read.schema(dealt.schema.add("_batch", IntegerType())).parquet(path)
     runs = LineRuns(spark)
     for number in range(batches):
         own = lines.where(F.col("_batch") == number).groupBy("key")
@@ -146,39 +155,57 @@ def shared_lines(
     return going.groupBy("_doc").agg(F.collect_list("key").alias("_drop"))
 
 
-def _drop_rows(text: str, min_chars: int):
+def _drop_rows(text: str, drop: str, counts: tuple[str, str], min_chars: int):
     def run(batches):
         for batch in batches:
             kept, total, dropped = [], [], []
-            for value, drop in zip(batch[text].to_pylist(), batch["_drop"].to_pylist()):
+            for value, gone in zip(batch[text].to_pylist(), batch[drop].to_pylist()):
                 lines = (value or "").encode().split(b"\n")
                 total.append(len(lines))
-                if drop:
-                    gone = set(drop)
+                if gone:
+                    gone = set(gone)
                     stay = [line for line in lines if line_key(line, min_chars) not in gone]
                     dropped.append(len(lines) - len(stay))
                     value = b"\n".join(stay).decode()
                 else:
                     dropped.append(0)
                 kept.append(value)
-            columns = {n: batch[n] for n in batch.schema.names if n != "_drop"}
+            columns = {n: batch[n] for n in batch.schema.names if n != drop}
             columns[text] = pa.array(kept, batch.schema.field(text).type)
-            columns |= {"_n_lines": pa.array(total, pa.int64()), "_n_dropped": pa.array(dropped, pa.int64())}
+            columns |= {counts[0]: pa.array(total, pa.int64()), counts[1]: pa.array(dropped, pa.int64())}
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return run
 
 
 def drop_shared_lines(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 40, min_docs: int = 5
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    min_chars: int = 40,
+    min_docs: int = 5,
+    counts: tuple[str, str] = ("_n_lines", "_n_dropped"),
 ) -> DataFrame:
-    """``docs`` without the lines that many documents share, plus ``_n_lines`` and ``_n_dropped``.
+    """``docs`` without the lines that many documents share, plus the number of lines and of dropped ones.
 
-    A null text stays null and counts as one empty line; a text whose lines all go becomes empty.
-    Rows with a null key are one document, smaller than any other. A repeated row loses the same
-    lines each time. Other columns pass through whatever their names.
+    A null text stays null and counts as one empty line; a text whose lines all go becomes empty. Rows
+    with a null key are a document for each text, smaller than any with a key. A repeated row loses
+    the same lines each time. Other columns pass through whatever their names; a column named like
+    one of ``counts`` is replaced by it.
     """
-    drop = shared_lines(docs, key, text, min_chars, min_docs)
-    joined = docs.join(drop, F.col(key).eqNullSafe(F.col("_doc")), "left").select(*named(docs.columns), "_drop")
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-    return joined.mapInArrow(_drop_rows(text, min_chars), ", ".join([*fields, "_n_lines bigint, _n_dropped bigint"]))
+    docs = docs.drop(*counts)
+    gone = shared_lines(docs, key, text, min_chars, min_docs)
+    doc, drop = fresh("doc"), fresh("drop")
+    gone = gone.withColumnsRenamed({"_doc": doc, "_drop": drop})
+    # The other columns travel in one struct, so no name of theirs is met on the way.
+    body, rest = fresh("body"), fresh("rest")
+    others = [f for f in docs.schema if f.name != text]
+    joined = docs.join(gone, _document(key, text).eqNullSafe(F.col(doc)), "left").select(
+        F.col(text).cast("string").alias(body), F.struct(*named(f.name for f in others)).alias(rest), drop
+    )
+    schema = joined.drop(drop).schema
+    for name in counts:
+        schema = schema.add(name, LongType())
+    out = joined.mapInArrow(_drop_rows(body, drop, counts, min_chars), schema)
+    columns = [F.col(body).alias(f.name) if f.name == text else F.col(rest).getField(f.name).alias(f.name) for f in docs.schema]
+    return out.select(*columns, *counts)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.values import named
 from tallyloom.llm.components import components
-from tallyloom.llm.words import LOWER, block_choices, mix
+from tallyloom.llm.words import LOWER, block_choices, fresh, mix
 from tallyloom.sources.staging import stage
 
 SHARD = 4096
@@ -420,17 +420,40 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", similarit
     """
     marked = stage(set_sketches(docs, key, text, 5))
     nodes = components(similar_links(docs, marked, text, 5, similarity))
-    owned = marked.join(nodes, F.col("id") == F.col("node"), "left").groupBy(
-        F.coalesce("component", "id").alias("_group"), "_key", "_hash"
-    )
-    owned = stage(owned.agg(F.count(F.lit(1)).alias("_rows")))
+    return _first_of_groups(docs, key, text, marked.join(nodes, F.col("id") == F.col("node"), "left").withColumn("_group", F.coalesce("component", "id")))
+
+
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
+    """The documents without SimHash near duplicates: of each component the smallest key stays.
+
+    Components are those of ``near_duplicates`` for 64-bit fingerprints: equal fingerprints, and
+    those linked through any chain of at most ``radius`` differing bits. Texts without words are
+    one group, a null text among them. Columns are those of ``docs``, whatever their names.
+
+    Rows are told apart by key and text, as in ``keep_one``.
+    """
+    who = F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("hash"))
+    rows = docs.select(who.alias("_who"), F.col(text).cast("string").alias("_body"))
+    marked = stage(fingerprints(rows, "_who", "_body", shingle).select("fp", F.col("_who.key").alias("_key"), F.col("_who.hash").alias("_hash")))
+    vertices = stage(marked.select("fp").distinct())
+    nodes = components(link(vertices.withColumn("shards", block_shards(radius)), radius))
+    grouped = marked.join(nodes, F.col("fp") == F.col("node"), "left").withColumn("_group", F.coalesce("component", "fp"))
+    return _first_of_groups(docs, key, text, grouped)
+
+
+def _first_of_groups(docs: DataFrame, key: str, text: str, grouped: DataFrame) -> DataFrame:
+    """Of the rows of ``docs`` in each ``_group`` of ``_key, _hash`` one: least key, then least hash, then any."""
+    owned = stage(grouped.groupBy("_group", "_key", "_hash").agg(F.count(F.lit(1)).alias("_rows")))
     first = F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("key"), F.col("_hash").alias("hash"))
-    least = owned.groupBy("_group").agg(F.min(first).alias("_first"))
+    # The first of a group, written: a table that the optimizer may broadcast if it is small.
+    least = stage(owned.groupBy("_group").agg(F.min(first).alias("_first")))
     stays = F.col("_key").eqNullSafe(F.col("_first.key")) & (F.col("_hash") == F.col("_first.hash"))
     judged = owned.join(least, "_group").select("_key", "_hash", "_rows", stays.alias("_stays"))
-    judged = stage(judged.where("not _stays or _rows > 1").select(F.col("_key").alias("_k"), F.col("_hash").alias("_h"), "_stays"))
-    same = F.col(key).eqNullSafe(F.col("_k")) & (F.xxhash64(text) == F.col("_h"))
+    own, hash_ = fresh("key"), fresh("hash")
+    judged = stage(judged.where("not _stays or _rows > 1").select(F.col("_key").alias(own), F.col("_hash").alias(hash_), F.col("_stays").alias(fresh("stays"))))
+    stays = F.col(judged.columns[2])
+    same = F.col(key).eqNullSafe(F.col(own)) & (F.xxhash64(text) == F.col(hash_))
     kept = docs.join(judged, same, "left_anti")
     # Only rows of which several are equal: one of each, combined before the shuffle.
-    repeated = docs.join(judged.where("_stays"), same, "left_semi").withColumn("_h", F.xxhash64(text))
-    return kept.unionByName(repeated.dropDuplicates([key, "_h"]).select(*named(docs.columns)))
+    repeated = docs.join(judged.where(stays), same, "left_semi").withColumn(hash_, F.xxhash64(text))
+    return kept.unionByName(repeated.dropDuplicates([key, hash_]).select(*named(docs.columns)))

@@ -10,6 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm.words import fresh
 from tallyloom.sources.staging import stage
 
 BLANK = r"[ \t\n\x0B\f\r]"
@@ -126,6 +127,7 @@ def judge_quality(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 def keep_good(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that are kept, with the columns of ``docs``. Equal rows share their verdict."""
-    bad = judge_quality(docs, key, text).where("not kept").select("_key", F.col("_hash").alias("_bad")).distinct()
-    same = F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(F.col(text)) == F.col("_bad"))
+    own, hash_ = fresh("key"), fresh("hash")
+    bad = judge_quality(docs, key, text).where("not kept").select(F.col("_key").alias(own), F.col("_hash").alias(hash_)).distinct()
+    same = F.col(key).eqNullSafe(F.col(own)) & (F.xxhash64(F.col(text)) == F.col(hash_))
     return docs.join(bad, same, "left_anti")

@@ -423,3 +423,52 @@ def test_pipeline(spark, texts):
     for i, t in texts.items():
         groups[t].add(i)
     assert all(len(ids & kept) <= 1 for ids in groups.values())
+
+
+# Names that the operators use inside, or used.
+INNER = ["_key", "_hash", "_text", "_doc", "_drop", "_batch", "_n_lines", "_n_dropped", "_k", "_h", "_stays", "_bad", "_rows", "_group",
+         "_first", "_least", "_who", "_body", "_part", "_end", "_to", "_v", "key", "keeper", "fp", "node", "component", "id", "n", "kept", "`q", "a.b"]
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_stages_take_any_column_name_and_key_type(spark, kind):
+    import corpus_pipeline
+
+    shared = "this very line stands in many of the documents of this little table"
+    words = np.random.default_rng(6).integers(0, 5000, (9, 40))
+    rows = [(i if i else None, f"{shared}\n" + " ".join(f"and w{w}" for w in words[i])) for i in range(9)]
+    rows += [rows[3], (None, rows[0][1]), (None, None), (7, ""), (12, rows[4][1])]
+    extra = [F.lit(f"own {i}").alias(name) for i, name in enumerate(INNER)]
+    plain = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    frame = plain.select("*", *extra)
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        for table, count in ((plain, None), (frame, None), (frame.where("false"), 0)):
+            out = stage(spark, table, SF)
+            assert out.columns == table.columns
+            got = sorted(map(str, out.select("doc_id", "text").collect()))
+            assert count is None or len(got) == count
+            if table is plain:
+                expected = got
+            elif count is None:
+                assert got == expected and {r.key for r in out.collect()} == {f"own {INNER.index('key')}"}
+    compared = edit_prints.compare_with_next(frame)
+    assert compared.count() == len(rows) and edit_prints.compare_with_next(frame.where("false")).count() == 0
+
+
+def test_near_dedup_stage_keeps_the_least_of_each_component(spark, texts):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, SF).collect()}
+    assert kept == {r.component_id for r in QUERIES["op1_simhash"](spark, SF).collect()}
+
+
+def test_bands_meet_nearly_all_pairs_within_the_radius():
+    rng = np.random.default_rng(8)
+    for prints in (10**3, 10**5, 2 * 10**6):
+        bands = edit_prints.sampled_bands(prints)
+        for apart, least in ((13, 0.9999), (20, 0.999), (26, 0.995)):
+            flips = np.stack([np.isin(np.arange(edit_prints.BITS), rng.choice(edit_prints.BITS, apart, replace=False)) for _ in range(2000)])
+            assert np.mean([(~flips[:, b].any(axis=1)) for b in bands], axis=0).astype(bool).mean() >= least
+    # Rows dealt per fingerprint grow far more slowly than the table.
+    assert len(edit_prints.sampled_bands(2 * 10**6)) < 4 * len(edit_prints.sampled_bands(5 * 10**4))
