@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import line_dedup, near_dedup, packing, quality
+from tallyloom.llm.words import fresh
 from tallyloom.sources.staging import shared_folder
 
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
@@ -20,15 +21,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents share stay in one; ``n_chars`` follows the text."""
-    kept = line_dedup.drop_shared_lines(docs).drop("_n_lines", "_n_dropped")
+    counts = fresh("lines"), fresh("dropped")
+    kept = line_dedup.drop_shared_lines(docs, counts=counts).drop(*counts)
     if "n_chars" not in docs.columns:
         return kept
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return near_dedup.keep_one(docs)
+    """One document of each SimHash component: shingles of four words, at most four differing bits."""
+    return near_dedup.keep_first(docs, shingle=4, radius=4)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
