@@ -78,8 +78,12 @@ class LedgerConfig:
     ``DATE_SHAPES``.
     ``on_classifier_error``: ``"raise"`` fails the job on a failed batch, ``"skip"`` leaves the
     rows of that batch without a prediction and keeps the error beside the batch.
-    ``classifier_tries`` and ``classifier_wait``: calls per batch, and the seconds between them,
-    before a batch counts as failed.
+    ``classifier_tries`` and ``classifier_wait``: calls per batch before it counts as failed, and the
+    seconds before the second one; each wait is longer than the one before by as much.
+    ``answer_log``: a folder in which answers are kept, so that a later run asks only for batches
+    that have none; one folder per classifier.
+    ``quantile_error``: the rank error, as a share of the rows, that the threshold may have; None
+    for the exact threshold.
     ``percent_digits``: ``None`` keeps full precision, 1 rounds half to even.
     ``ordered_export``: sort exported rows by row key. Off by default, as it shuffles every row.
     """
@@ -87,6 +91,7 @@ class LedgerConfig:
     date_formats: tuple[str, ...] | None = None
     missing_text: str | None = "nan"
     quantile: float = 0.95
+    quantile_error: float | None = None
     labels: tuple[str, ...] = LABELS
     strict_labels: bool = False
     batch_size: int = 20
@@ -94,6 +99,7 @@ class LedgerConfig:
     classifier_tasks: int | None = None
     classifier_tries: int = 3
     classifier_wait: float = 0.0
+    answer_log: str | None = None
     percent_digits: int | None = None
     export_month: bool = False
     ordered_export: bool = False
@@ -106,6 +112,7 @@ INTERACTIVE = replace(
     BATCH,
     batch_size=10,
     on_classifier_error="skip",
+    classifier_wait=10.0,
     percent_digits=1,
     export_month=True,
     preview_rows=20,

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyloom.config import BATCH, LedgerConfig
 from tallyloom.functions.values import finite, named
@@ -22,6 +24,7 @@ PREDICTION = ("category_llm", "suspicious_llm", "suspicious_reason_llm", "confid
 PAYLOAD_TEXT = ("date", "merchant", "description", "currency")
 # Answers are read as text; these spellings of "suspicious" mean no, as does a missing value.
 FALSE_TEXTS = ("", "false", "0", "0.0", "no", "none", "null", "[]", "{}")
+LOGGED = "payload_hash string, response string"
 
 
 def assign_batches(df: DataFrame, cfg: LedgerConfig = BATCH, dense: bool = False) -> DataFrame:
@@ -73,20 +76,21 @@ def batch_payloads(df: DataFrame, cfg: LedgerConfig = BATCH, dense: bool = False
 def classify(payloads: DataFrame, classifier: Classifier, cfg: LedgerConfig = BATCH) -> DataFrame:
     """Call the classifier for each batch and keep its answer text as ``response``.
 
-    A failed call is tried again, up to ``classifier_tries`` calls in all. What a batch failed
-    with stays in ``error``, or ends the job, by profile. ``classifier_tasks`` bounds how many
-    calls run at a time. A task that is retried calls again, so write the result (see ``stage``)
-    before reading it more than once.
+    A failed call is tried again, up to ``classifier_tries`` calls in all, after waits that grow by
+    ``classifier_wait`` seconds each. What a batch failed with stays in ``error``, or ends the job,
+    by profile. ``classifier_tasks`` bounds how many calls run at a time. A task that is retried
+    calls again, so write the result (see ``stage``) before reading it more than once. Other columns
+    pass through.
     """
     skip, tries, wait = cfg.on_classifier_error == "skip", cfg.classifier_tries, cfg.classifier_wait
 
     def ask(payload: str) -> tuple[str | None, str | None]:
-        for left in range(tries - 1, -1, -1):
+        for call in range(1, tries + 1):
             try:
                 return classifier(payload), None
             except Exception as error:
-                if left:
-                    time.sleep(wait)
+                if call < tries:
+                    time.sleep(wait * call)
                 elif skip:
                     return None, f"{type(error).__name__}: {error}"
                 else:
@@ -99,8 +103,29 @@ def classify(payloads: DataFrame, classifier: Classifier, cfg: LedgerConfig = BA
 
     if cfg.classifier_tasks:
         payloads = payloads.repartition(cfg.classifier_tasks, "batch_id")
-    schema = "batch_id bigint, first_row bigint, last_row bigint, response string, error string"
-    return payloads.select("batch_id", "first_row", "last_row", "payload").mapInPandas(answer, schema)
+    others = [c for c in payloads.columns if c != "payload"]
+    schema = T.StructType([payloads.schema[c] for c in others]).add("response", "string").add("error", "string")
+    return payloads.select(*others, "payload").mapInPandas(answer, schema)
+
+
+def logged_responses(payloads: DataFrame, classifier: Classifier, log: str, cfg: LedgerConfig = BATCH) -> DataFrame:
+    """The answers of all batches, of which only those that ``log`` does not hold are asked for.
+
+    The log is a folder of answer texts by the SHA-256 of the payload, so a batch is asked for again
+    when any of its records has changed. Each run adds a folder of its own, which runs at the same
+    time do not touch; where two have answered the same payload the smaller text counts, for all
+    later runs alike. Failed batches are not logged. A job that ends with an error logs nothing.
+    """
+    spark = payloads.sparkSession
+    asked = stage(payloads.withColumn("payload_hash", F.sha2("payload", 256)))
+    spark.createDataFrame([], LOGGED).write.mode("ignore").parquet(log)
+    known = spark.read.schema(LOGGED).parquet(log).groupBy("payload_hash").agg(F.min("response").alias("response"))
+    # Written before the log grows: a later read of the log would answer fresh batches twice.
+    old = stage(asked.drop("payload").join(known, "payload_hash").withColumn("error", F.lit(None).cast("string")))
+    fresh = stage(classify(asked.join(old, "payload_hash", "left_anti"), classifier, cfg))
+    answered = fresh.where(F.col("response").isNotNull()).select("payload_hash", "response")
+    answered.write.parquet(f"{log}/run={uuid.uuid4().hex}")
+    return old.unionByName(fresh).drop("payload_hash")
 
 
 def parse_responses(responses: DataFrame, cfg: LedgerConfig = BATCH) -> DataFrame:
@@ -195,8 +220,11 @@ def failed_batches(responses: DataFrame) -> DataFrame:
 def classifier_responses(
     df: DataFrame, classifier: Classifier, cfg: LedgerConfig = BATCH, dense: bool = False
 ) -> DataFrame:
-    """The answers of all batches, written once."""
-    return stage(classify(batch_payloads(df, cfg, dense), classifier, cfg))
+    """The answers of all batches, written once; taken from the log as far as it has them, if there is one."""
+    payloads = batch_payloads(df, cfg, dense)
+    if cfg.answer_log:
+        return logged_responses(payloads, classifier, cfg.answer_log, cfg)
+    return stage(classify(payloads, classifier, cfg))
 
 
 def classifier_predictions(df: DataFrame, classifier: Classifier, cfg: LedgerConfig = BATCH) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Exact linear-interpolated quantile of a column of any size."""
+"""Quantiles of a column of any size: exact and interpolated, or by a sketch."""
 
 from __future__ import annotations
 
@@ -45,6 +45,18 @@ def exact_quantile(df: DataFrame, column: str, q: float) -> float | None:
     return upper - (upper - lower) * (1 - part) if part >= 0.5 else lower + (upper - lower) * part
 
 
+def approximate_quantile(df: DataFrame, column: str, q: float, error: float) -> float | None:
+    """A value whose rank is off by at most ``error`` times the number of non-null finite values.
+
+    One pass: every task keeps a sketch of its values, whose size follows from ``error`` alone, and
+    the sketches are merged. The result is one of the values; None if there are none.
+    """
+    if not 0 < error < 1:
+        raise ValueError("error must lie between 0 and 1")
+    value = finite(F.col(column).cast("double"))
+    return df.agg(F.percentile_approx(value, q, math.ceil(1 / error)).alias("v")).first().v
+
+
 def _rank_bucket(values: DataFrame, bucket: Column, q: float, rank: int | None, offset: int):
     """Counts of the bucket that holds the rank: (total, min, max, rows before, rows, next min).
 

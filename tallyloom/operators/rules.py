@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyloom.config import BATCH, LedgerConfig
 from tallyloom.functions.values import finite, named
 from tallyloom.operators.duplicates import duplicate_columns, flag_duplicates
-from tallyloom.operators.quantile import exact_quantile
+from tallyloom.operators.quantile import approximate_quantile, exact_quantile
 
 REASONS = "anomaly_reasons_rule"
 FLAG = "is_anomaly_rule"
@@ -21,7 +21,12 @@ DUPLICATE = "Possible duplicate transaction"
 
 
 def high_threshold(df: DataFrame, cfg: LedgerConfig = BATCH) -> float | None:
-    """The amount above which a row is unusually high; None if no row has an amount."""
+    """The amount above which a row is unusually high; None if no row has an amount.
+
+    Exact, unless ``quantile_error`` allows a rank error for the sake of a single pass.
+    """
+    if cfg.quantile_error is not None:
+        return approximate_quantile(df, "amount", cfg.quantile, cfg.quantile_error)
     return exact_quantile(df, "amount", cfg.quantile)
 
 

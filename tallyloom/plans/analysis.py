@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,29 +48,34 @@ class Analysis:
     failed_batches: DataFrame | None = None
     pending: DataFrame | None = None
 
+    @cached_property
+    def cells(self) -> DataFrame:
+        """The measures by month and category, counted when a report first asks for them."""
+        return report.measure_cells(self.ledger, self.cfg)
+
     def preview(self) -> DataFrame:
         return report.preview(self.ledger, self.cfg)
 
     def kpis(self) -> DataFrame:
-        return report.kpis(self.ledger)
+        return report.kpis(self.ledger, self.cells)
 
     def category_share(self) -> DataFrame:
-        return report.category_share(self.ledger, self.cfg)
+        return report.category_share(self.ledger, self.cfg, self.cells)
 
     def monthly_trend(self) -> DataFrame:
-        return report.monthly_trend(self.ledger, self.cfg)
+        return report.monthly_trend(self.ledger, self.cfg, self.cells)
 
     def anomaly_report(self) -> DataFrame:
         return report.anomaly_report(self.ledger)
 
     def summary_json(self) -> DataFrame:
-        return report.summary_json(self.ledger, self.cfg)
+        return report.summary_json(self.ledger, self.cfg, self.cells)
 
     def summary_lines(self) -> DataFrame:
-        return report.summary_lines(self.ledger, self.cfg)
+        return report.summary_lines(self.ledger, self.cfg, self.cells)
 
     def report_lines(self) -> DataFrame:
-        return report.report_lines(self.ledger, self.cfg)
+        return report.report_lines(self.ledger, self.cfg, self.cells)
 
     def review(self) -> DataFrame:
         """The review columns with the pending edits, and the reasons from before them."""
@@ -147,4 +153,5 @@ def run(
         kept = read_enriched_parquet(spark, f"{folder}/ledger", made.ledger)
         analysis = Analysis(kept.select(*named(made.ledger.columns)), made.cfg, failed)
         analysis.write(folder)
-    return analysis
+    # Without the cells that were staged for the outputs, which are gone.
+    return replace(analysis)

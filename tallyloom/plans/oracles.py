@@ -262,6 +262,7 @@ ORACLES: dict[str, str] = {
         CLEANED + threshold("cleaned"),
         "SELECT n_amounts, high_thresh, printf('%.2f', high_thresh) AS threshold_text FROM threshold",
     ),
+    "approx_threshold": _with(CLEANED, "SELECT count(amount) AS n_amounts, true AS rank_holds FROM cleaned"),
     "threshold_attached": _with(
         RULED, "SELECT row_index, amount, high_thresh, coalesce(is_high, false) AS is_high FROM ruled"
     ),
@@ -284,6 +285,13 @@ ORACLES: dict[str, str] = {
         " AS n_flagged FROM ruled GROUP BY anomaly_reasons_rule",
     ),
     "kpi_totals": _with(ENRICHED + TOTALS, "SELECT * FROM totals"),
+    "measure_cells": _with(
+        ENRICHED,
+        "SELECT coalesce(strftime(date_parsed, '%Y-%m'), 'NaT') AS month, category_llm, count(*) AS n, count(amount) AS n_amounts,"
+        " count(*) FILTER (is_anomaly_rule) AS n_rule, count(*) FILTER (suspicious_llm) AS n_suspicious,"
+        f" count(*) FILTER (is_anomaly_rule OR suspicious_llm) AS n_flagged, {MONEY} AS amount FROM enriched GROUP BY 1, 2",
+    ),
+    "totals_of_cells": _with(ENRICHED + TOTALS, "SELECT * FROM totals"),
     "category_totals": _with(MERGED + categories("merged"), "SELECT category_llm, amount FROM shares"),
     "category_share": _with(MERGED + categories("merged"), SHARE),
     "monthly_trend": _with(
@@ -325,6 +333,7 @@ ORACLES: dict[str, str] = {
     ),
     "merged_predictions": _with(MERGED, f"SELECT row_index, {PREDICTION} FROM merged"),
     "classified_rows": _with(CLASSIFIED, f"SELECT row AS row_index, {PREDICTION} FROM classified"),
+    "logged_answers": _with(CLASSIFIED, f"SELECT row AS row_index, {PREDICTION} FROM classified"),
     "failed_batches": _with(
         NUMBERED,
         "SELECT DISTINCT batch_id, first_row, last_row, 'TimeoutError: no answer' AS error FROM batched WHERE first_row % 13 = 0",
@@ -379,6 +388,8 @@ ORACLES: dict[str, str] = {
         " UNION ALL SELECT '3 anomalies', 2, 'LLM-suspicious transactions: ' || suspicious_transactions FROM totals",
     ),
     "generated_ledger": _with(GENERATED, "SELECT * REPLACE (CAST(amount AS DOUBLE) AS amount) FROM generated"),
+    "shuffled_order": "SELECT count(*) AS n, count(*) AS n_places, count(*) - 1 AS last_place, true AS mixed,"
+    " count(*) AS n_same_again FROM orders",
     "generated_category_share": _with(LABELLED + categories("labelled"), SHARE),
     "csv_round_trip": _with(
         CLEANED,
@@ -396,16 +407,20 @@ ORACLES: dict[str, str] = {
         "SELECT count(*) AS n, CAST(0 AS BIGINT) AS first_row, count(*) - 1 AS last_row, count(*) AS n_distinct"
         " FROM cleaned",
     ),
+    "file_order": _with(
+        RAW, "SELECT row_number() OVER (ORDER BY row_index) - 1 AS row_index, row_index AS transaction_id FROM raw"
+    ),
     "enriched_export": _with(
         ENRICHED,
-        "SELECT date, merchant, description, category, amount, nullif(anomaly_reasons_rule, '')"
-        " AS anomaly_reasons_rule, coalesce(category_llm, '') AS category_llm,"
+        "SELECT date, merchant, description, category, amount, date_parsed, nullif(anomaly_reasons_rule, '')"
+        " AS anomaly_reasons_rule, is_anomaly_rule, coalesce(category_llm, '') AS category_llm,"
+        " suspicious_llm, nullif(suspicious_reason_llm, '') AS suspicious_reason_llm, confidence_llm,"
         " coalesce(strftime(date_parsed, '%Y-%m'), 'NaT') AS month FROM enriched",
     ),
     "review_export": _with(
         ENRICHED,
         "SELECT date, amount, merchant, description, coalesce(category_llm, '') AS category_llm,"
-        " suspicious_llm, confidence_llm FROM enriched",
+        " anomaly_reasons_rule, suspicious_llm, confidence_llm FROM enriched",
     ),
     "parquet_export": _with(
         ENRICHED,

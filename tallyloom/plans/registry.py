@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from tallyloom.config import BATCH as PROFILE
 from tallyloom.config import INTERACTIVE as INTERACTIVE_PROFILE
+from tallyloom.functions.money import money_total
 from tallyloom.operators import clean as cleaning
 from tallyloom.operators import enrich, review, rules
 from tallyloom.operators.duplicates import duplicate_columns, flag_duplicates, repeated_keys
+from tallyloom.operators.position import with_position
 from tallyloom.plans import report
 from tallyloom.plans.analysis import Analysis
 from tallyloom.sources import files, generate, records
@@ -156,6 +158,17 @@ def quantile_threshold(spark, sf_dir):
     )
 
 
+@query
+def approx_threshold(spark, sf_dir):
+    """The threshold by a sketch, and whether its rank is as near as stated: one row in 1000."""
+    ledger, error = stage(cleaned(spark, sf_dir).select("amount")), 0.001
+    threshold = rules.high_threshold(ledger, replace(BATCH, quantile_error=error))
+    amount, n = F.col("amount"), F.count("amount")
+    off = F.greatest(F.count_if(amount < threshold) - n * BATCH.quantile, n * BATCH.quantile - F.count_if(amount <= threshold), F.lit(0.0))
+    # A rank between two rows counts as either.
+    return ledger.agg(n.alias("n_amounts"), (off <= n * error + 1).alias("rank_holds"))
+
+
 @query
 def threshold_attached(spark, sf_dir):
     ledger = stage(cleaned(spark, sf_dir).select("row_index", "amount"))
@@ -220,6 +233,20 @@ def kpi_totals(spark, sf_dir):
     return report.kpis(enriched(spark, sf_dir))
 
 
+@query
+def measure_cells(spark, sf_dir):
+    """What every total is summed up from: a row per month and category."""
+    cells = report.measure_cells(enriched(spark, sf_dir), BATCH)
+    return cells.select("month", report.CATEGORY, *report.COUNTS, money_total().alias("amount"))
+
+
+@query
+def totals_of_cells(spark, sf_dir):
+    """The totals, of the cells instead of the ledger."""
+    ledger = enriched(spark, sf_dir)
+    return report.kpis(ledger, report.measure_cells(ledger, BATCH))
+
+
 @query
 def category_totals(spark, sf_dir):
     return report.category_totals(merged(spark, sf_dir))
@@ -358,6 +385,22 @@ def classified_rows(spark, sf_dir):
     return enrich.classifier_predictions(ledger, priority_classifier())
 
 
+@query
+def logged_answers(spark, sf_dir):
+    """Two thirds of the batches are logged, then all are asked for, then a classifier that fails
+    on every call takes all answers from the log."""
+    cfg, answer = replace(BATCH, answer_log=exported(spark)), priority_classifier()
+
+    def refuse(payload: str) -> str:
+        raise ValueError("asked for a batch that the log holds")
+
+    ledger = stage(cleaned(spark, sf_dir))
+    batches = enrich.batch_payloads(ledger, cfg)
+    enrich.logged_responses(batches.where(F.col("batch_id") % 3 != 0), answer, cfg.answer_log, cfg)
+    enrich.logged_responses(batches, answer, cfg.answer_log, cfg)
+    return enrich.classifier_predictions(ledger, refuse, cfg)
+
+
 @query
 def failed_batches(spark, sf_dir):
     """Every batch whose first row is a multiple of 13 fails each time it is tried."""
@@ -485,6 +528,27 @@ def generated_ledger(spark, sf_dir):
     return generate.generate_ledger(ids)
 
 
+@query
+def shuffled_order(spark, sf_dir):
+    """Every row has one place after the shuffle, far from its old one and the same each time."""
+    ids = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"))
+
+    def places(rows: DataFrame, out: str) -> DataFrame:
+        path = exported(spark)
+        generate.shuffle_rows(rows).write.parquet(path)
+        line = F.struct("_metadata.file_name", "_metadata.row_index").alias("line")
+        return with_position(spark.read.parquet(path).select("id", line), "line", out).select("id", out)
+
+    both = places(ids, "place").join(places(ids.repartition(7), "again"), "id")
+    return both.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_distinct("place").alias("n_places"),
+        F.max("place").alias("last_place"),
+        (F.abs(F.corr("id", "place")) < 0.1).alias("mixed"),
+        F.count_if(F.col("place") == F.col("again")).alias("n_same_again"),
+    )
+
+
 @query
 def generated_category_share(spark, sf_dir):
     """Generated expenses, cleaned and put in categories by the table of known merchants."""
@@ -537,6 +601,14 @@ def numbered_rows(spark, sf_dir):
     )
 
 
+@query
+def file_order(spark, sf_dir):
+    """Rows are numbered in the order of the files and of the lines in them."""
+    path = exported(spark)
+    files.write_csv(raw_ledger(spark, sf_dir).withColumnRenamed("row_index", "transaction_id").orderBy("transaction_id"), path)
+    return files.read_ledger(spark, path).select("row_index", F.col("transaction_id").cast("bigint").alias("transaction_id"))
+
+
 @query
 def enriched_export(spark, sf_dir):
     path = exported(spark)
@@ -544,7 +616,9 @@ def enriched_export(spark, sf_dir):
     back = spark.read.option("header", True).option("escape", '"').csv(path)
     return back.select(
         "date", "merchant", "description", "category", F.col("amount").cast("double").alias("amount"),
-        rules.REASONS, F.coalesce("category_llm", F.lit("")).alias("category_llm"), "month",
+        F.col("date_parsed").cast("date").alias("date_parsed"), rules.REASONS, F.col(rules.FLAG).cast("boolean").alias(rules.FLAG),
+        F.coalesce("category_llm", F.lit("")).alias("category_llm"), F.col("suspicious_llm").cast("boolean").alias("suspicious_llm"),
+        "suspicious_reason_llm", F.col("confidence_llm").cast("double").alias("confidence_llm"), "month",
     )
 
 
@@ -554,6 +628,7 @@ def review_export(spark, sf_dir):
     files.write_review(enriched(spark, sf_dir), path)
     back = spark.read.option("header", True).option("escape", '"').csv(path)
     return back.select(
+        F.coalesce(rules.REASONS, F.lit("")).alias(rules.REASONS),
         "date",
         F.col("amount").cast("double").alias("amount"),
         "merchant",

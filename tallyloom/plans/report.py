@@ -16,6 +16,7 @@ from tallyloom.sources.staging import stage
 # Column names and the texts of reports.
 CATEGORY = "category_llm"
 DASH = "—"
+COUNTS = ("n", "n_amounts", "n_rule", "n_suspicious", "n_flagged")
 SAMPLE_COLUMNS = ("date", "amount", "merchant", "description", REASONS, "suspicious_reason_llm")
 REPORT_COLUMNS = (
     "date",
@@ -59,12 +60,30 @@ def _measures(df: DataFrame) -> list[Column]:
     ]
 
 
-def _by_category(df: DataFrame, measures: list[Column]) -> DataFrame:
-    """One pass over the ledger to a row per category, the NULL category included.
+def measure_cells(df: DataFrame, cfg: LedgerConfig = BATCH) -> DataFrame:
+    """One pass over the ledger to a row per month and category, the NULL category included.
 
-    Written, since totals and categories both come from it: a filter pushed into one of two
-    branches would make Spark pass over the ledger twice.
+    Every total, share and trend can be summed up from these cells: pass them as ``cells`` to any
+    report. Partial counts and sums are combined on the map side, so a category that most rows
+    share is no burden. Written, since several reports read it.
     """
+    return stage(with_month(df, cfg).groupBy("month", CATEGORY).agg(*_measures(df)))
+
+
+def _resummed() -> list[Column]:
+    """The measures of groups rolled up into those of the whole; counts of nothing are 0."""
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS]
+    return [*sums, *resum_parts()]
+
+
+def _by_category(df: DataFrame, measures: list[Column], cells: DataFrame | None = None) -> DataFrame:
+    """A row per category, the NULL category included: from the cells, or by one pass over the ledger.
+
+    The pass is written, since totals and categories both come from it: a filter pushed into one of
+    two branches would make Spark pass over the ledger twice.
+    """
+    if cells is not None:
+        return cells.groupBy(CATEGORY).agg(*_resummed())
     return stage(df.groupBy(CATEGORY).agg(*measures))
 
 
@@ -80,29 +99,30 @@ def _kpi_columns(measured: DataFrame) -> DataFrame:
 
 
 def _totals(groups: DataFrame) -> DataFrame:
-    counts = ("n", "n_amounts", "n_rule", "n_suspicious", "n_flagged")
-    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts]
-    return _kpi_columns(groups.agg(*sums, *resum_parts()))
+    return _kpi_columns(groups.agg(*_resummed()))
 
 
 def _category_amounts(groups: DataFrame) -> DataFrame:
     return groups.where(F.col(CATEGORY).isNotNull()).select(CATEGORY, money_total().alias("amount"))
 
 
-def kpis(df: DataFrame) -> DataFrame:
+def kpis(df: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     """One row: transactions, total amount, and the rule, suspicious and combined counts."""
-    return _kpi_columns(df.agg(*_measures(df)))
+    return _kpi_columns(df.agg(*_measures(df))) if cells is None else _totals(cells)
 
 
-def category_totals(df: DataFrame) -> DataFrame:
+def category_totals(df: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     """Amount per category, largest first. Rows without a category are left out."""
-    groups = df.groupBy(CATEGORY).agg(*money_parts(F.col("amount")))
+    if cells is None:
+        groups = df.groupBy(CATEGORY).agg(*money_parts(F.col("amount")))
+    else:
+        groups = cells.groupBy(CATEGORY).agg(*resum_parts())
     return _category_amounts(groups).orderBy(F.desc("amount"), CATEGORY)
 
 
-def category_share(df: DataFrame, cfg: LedgerConfig = BATCH) -> DataFrame:
+def category_share(df: DataFrame, cfg: LedgerConfig = BATCH, cells: DataFrame | None = None) -> DataFrame:
     """Amount and percent of the grand total per category; the total counts every row."""
-    return _share(_by_category(df, money_parts(F.col("amount"))), cfg.percent_digits)
+    return _share(_by_category(df, money_parts(F.col("amount")), cells), cfg.percent_digits)
 
 
 def _share(groups: DataFrame, digits: int | None) -> DataFrame:
@@ -115,16 +135,14 @@ def _share(groups: DataFrame, digits: int | None) -> DataFrame:
     )
 
 
-def monthly_trend(df: DataFrame, cfg: LedgerConfig = BATCH) -> DataFrame:
+def monthly_trend(df: DataFrame, cfg: LedgerConfig = BATCH, cells: DataFrame | None = None) -> DataFrame:
     """Amount per month and category, in key order; ``NaT`` collects rows without a date."""
-    return (
-        with_month(df, cfg)
-        .where(F.col(CATEGORY).isNotNull())
-        .groupBy("month", CATEGORY)
-        .agg(*money_parts(F.col("amount")))
-        .select("month", CATEGORY, money_total().alias("amount"))
-        .orderBy("month", CATEGORY)
-    )
+    if cells is None:
+        rows = with_month(df, cfg).where(F.col(CATEGORY).isNotNull())
+        sums = rows.groupBy("month", CATEGORY).agg(*money_parts(F.col("amount")))
+    else:
+        sums = cells.where(F.col(CATEGORY).isNotNull())
+    return sums.select("month", CATEGORY, money_total().alias("amount")).orderBy("month", CATEGORY)
 
 
 # --- anomalies ----------------------------------------------------------------------------
@@ -175,12 +193,12 @@ def first_anomalies(df: DataFrame, cfg: LedgerConfig = BATCH) -> DataFrame:
 # --- documents ----------------------------------------------------------------------------
 
 
-def summary_json(df: DataFrame, cfg: LedgerConfig = BATCH) -> DataFrame:
+def summary_json(df: DataFrame, cfg: LedgerConfig = BATCH, cells: DataFrame | None = None) -> DataFrame:
     """The JSON summary as lines (section, line_no, summary): totals, categories, first anomalies.
 
     A line per category, so that neither a row nor a task grows with their number.
     """
-    groups = _by_category(df, _measures(df))
+    groups = _by_category(df, _measures(df), cells)
 
     def as_json(*columns: str) -> Column:
         return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("summary")
@@ -213,9 +231,9 @@ def _text_lines(one_row: DataFrame, section: str, lines: list[Column]) -> DataFr
     )
 
 
-def report_lines(df: DataFrame, cfg: LedgerConfig = BATCH) -> DataFrame:
+def report_lines(df: DataFrame, cfg: LedgerConfig = BATCH, cells: DataFrame | None = None) -> DataFrame:
     """The printable report as (section, line_no, line): totals, categories, first anomalies."""
-    groups = _by_category(df, _measures(df))
+    groups = _by_category(df, _measures(df), cells)
     totals = _text_lines(
         _totals(groups),
         "1 totals",
@@ -248,14 +266,14 @@ def report_lines(df: DataFrame, cfg: LedgerConfig = BATCH) -> DataFrame:
     return totals.unionByName(categories).unionByName(anomalies)
 
 
-def summary_lines(df: DataFrame, cfg: LedgerConfig = BATCH) -> DataFrame:
+def summary_lines(df: DataFrame, cfg: LedgerConfig = BATCH, cells: DataFrame | None = None) -> DataFrame:
     """The batch summary as (section, line_no, line), with percent per category.
 
     Lines on categories, rules and the classifier appear if the ledger has their columns.
     """
     with_category = CATEGORY in df.columns
     measures = _measures(df)
-    groups = _by_category(df, measures) if with_category else None
+    groups = _by_category(df, measures, cells) if with_category else None
     totals = _totals(groups) if with_category else _kpi_columns(df.agg(*measures))
     # No total is stated when no row has an amount.
     total = F.when(

@@ -1,7 +1,9 @@
 import json
+import time
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from tallyloom.config import BATCH, INTERACTIVE, LedgerConfig
 from tallyloom.operators.clean import clean
@@ -11,6 +13,7 @@ from tallyloom.operators.enrich import (
     classify,
     enrich,
     failed_batches,
+    logged_responses,
     lookup_categories,
     merge_predictions,
     parse_responses,
@@ -139,6 +142,62 @@ def test_failed_calls_are_tried_again_and_kept(spark):
     assert [tuple(r) for r in failed_batches(answers).collect()] == [(1, 10, 19, "TimeoutError: busy")]
 
 
+def test_waits_grow(spark, tmp_path):
+    def late(payload):
+        with open(tmp_path / "calls", "a") as calls:
+            calls.write(f"{time.monotonic()}\n")
+        raise TimeoutError("busy")
+
+    cfg = LedgerConfig(on_classifier_error="skip", classifier_tries=4, classifier_wait=0.2)
+    classify(batch_payloads(ledger(spark, 3), cfg), late, cfg).collect()
+    at = [float(line) for line in (tmp_path / "calls").read_text().split()]
+    waits = [b - a for a, b in zip(at, at[1:])]
+    assert len(at) == 4 and all(w >= 0.2 * (i + 1) for i, w in enumerate(waits))
+
+
+def test_the_log_leaves_only_missing_batches_to_ask_for(spark, tmp_path):
+    calls = tmp_path / "calls"
+
+    def asked():
+        return sorted(int(line) for line in calls.read_text().split())
+
+    def classifier(fails):
+        def answer(payload):
+            rows = json.loads(payload)
+            with open(calls, "a") as out:
+                out.write(f"{rows[0]['row_index']}\n")
+            if rows[0]["row_index"] in fails:
+                raise TimeoutError("busy")
+            return json.dumps({"results": [{"row_index": r["row_index"], "category": r["description"]} for r in rows]})
+
+        return answer
+
+    def predicted(df, fails=()):
+        calls.write_text("")
+        return {r.row_index: r.category_llm for r in enrich(df, classifier(fails), cfg).collect()}
+
+    cfg = LedgerConfig(batch_size=10, on_classifier_error="skip", classifier_tries=1, answer_log=str(tmp_path / "log"))
+    df, every = ledger(spark, 45), {i: f"row {i}" for i in range(45)}
+    first = predicted(df, fails=[20])
+    assert asked() == [0, 10, 20, 30, 40]
+    assert first == every | {i: "" for i in range(20, 30)}
+    assert predicted(df.repartition(3)) == every and asked() == [20]
+    assert predicted(df) == every and asked() == []
+    changed = df.withColumn("description", F.when(F.col("row_index") == 33, "new").otherwise(F.col("description")))
+    assert predicted(changed) == every | {33: "new"} and asked() == [30]
+    assert predicted(df.limit(0)) == {} and asked() == []
+
+
+def test_a_payload_that_two_runs_answered_has_one_answer(spark, tmp_path):
+    log = str(tmp_path / "log")
+    batches = batch_payloads(ledger(spark, 20), LedgerConfig(batch_size=10))
+    hashes = batches.select(F.sha2("payload", 256).alias("payload_hash"))
+    for run, text in enumerate(["b", "a"]):
+        hashes.withColumn("response", F.lit(text)).write.parquet(f"{log}/run={run}")
+    got = logged_responses(batches, lambda payload: "c", log)
+    assert sorted((r.batch_id, r.response, r.error) for r in got.collect()) == [(0, "a", None), (1, "a", None)]
+
+
 def test_merge_keeps_rows_and_null_categories(spark):
     schema = "row_index bigint, category_llm string, suspicious_llm boolean, suspicious_reason_llm string, confidence_llm double"
     predictions = spark.createDataFrame([(0, None, True, "odd", 0.5), (77, "Meals", False, "", 1.0)], schema)

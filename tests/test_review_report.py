@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from tallyloom.config import BATCH, INTERACTIVE, LedgerConfig
 from tallyloom.plans import report
+from tallyloom.plans.analysis import Analysis
 from tallyloom.operators.clean import clean
 from tallyloom.operators.review import apply_edits, reanalyse, review_view
 from tallyloom.operators.rules import NEGATIVE, detect_anomalies
+from tallyloom.sources.staging import stage
 
 ENRICHED = (
     "row_index bigint, date string, amount double, merchant string, description string, "
@@ -73,6 +75,25 @@ def test_monthly_trend(spark):
     assert got == [("2025-01", "Meals", 10.1), ("2025-02", "", 0.0), ("NaT", "Travel", 0.2)]
 
 
+def test_reports_of_cells_equal_those_of_the_ledger(spark):
+    for df in (sample(spark), sample(spark).limit(0), sample(spark).drop("is_anomaly_rule", "suspicious_llm")):
+        cells = report.measure_cells(df, INTERACTIVE)
+        pairs = [(report.kpis(df), report.kpis(df, cells)), (report.category_totals(df), report.category_totals(df, cells))]
+        makers = [report.category_share, report.monthly_trend, report.summary_lines]
+        makers += [report.summary_json, report.report_lines] if "is_anomaly_rule" in df.columns else []
+        pairs += [(make(df, INTERACTIVE), make(df, INTERACTIVE, cells)) for make in makers]
+        for plain, of_cells in pairs:
+            assert plain.dtypes == of_cells.dtypes
+            assert sorted(map(str, plain.collect())) == sorted(map(str, of_cells.collect()))
+
+
+def test_totals_read_the_cells_and_not_the_ledger(spark):
+    made = Analysis(stage(sample(spark)), BATCH)
+    ledger = made.ledger.inputFiles()[0].rsplit("/", 1)[0]
+    for totals in (made.kpis(), made.category_share(), made.monthly_trend(), made.summary_lines()):
+        assert totals.inputFiles() and not any(path.startswith(ledger) for path in totals.inputFiles())
+
+
 def test_anomaly_report(spark):
     got = [tuple(r)[-4:] for r in report.anomaly_report(sample(spark)).orderBy("row_index").collect()]
     assert got == [

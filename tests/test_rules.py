@@ -7,7 +7,7 @@ from tallyloom.config import BATCH, LedgerConfig
 from tallyloom.operators.clean import clean
 from tallyloom.operators.duplicates import flag_duplicates
 from tallyloom.operators.position import with_position
-from tallyloom.operators.quantile import exact_quantile
+from tallyloom.operators.quantile import approximate_quantile, exact_quantile
 from tallyloom.operators.rules import DUPLICATE, NEGATIVE, detect_anomalies
 
 SCHEMA = "row_index bigint, date string, amount double, merchant string, description string"
@@ -56,6 +56,20 @@ def test_quantile_equals_brute_force(spark, name, q):
     assert exact_quantile(df, "v", q) == brute_quantile(values, q)
 
 
+@pytest.mark.parametrize("error", [0.05, 0.002])
+def test_approximate_quantile_keeps_its_rank_error(spark, error):
+    rng = random.Random(3)
+    values = [rng.choice([rng.lognormvariate(4, 2), 7.0, -rng.random()]) for _ in range(20000)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "amount double").repartition(16)
+    for q in (0.05, 0.5, 0.95):
+        found = approximate_quantile(df, "amount", q, error)
+        below, upto = sum(v < found for v in values), sum(v <= found for v in values)
+        assert found in values and below - error * 20000 - 1 <= q * 20000 <= upto + error * 20000 + 1
+    assert approximate_quantile(df.limit(0), "amount", 0.5, error) is None
+    with pytest.raises(ValueError):
+        approximate_quantile(df, "amount", 0.5, 0.0)
+
+
 def test_quantile_of_nothing(spark):
     assert exact_quantile(spark.createDataFrame([(None,)], "v double"), "v", 0.95) is None
     assert exact_quantile(spark.createDataFrame([], "v double"), "v", 0.95) is None
