@@ -169,7 +169,7 @@ def test_run_writes_every_output(spark, ledger_csv, tmp_path):
     cfg = LedgerConfig(export_month=True, ordered_export=True)
     analysis = run(spark, ledger_csv, str(out), cfg=cfg)
     written = {p.name for p in Path(out).iterdir()}
-    assert written == {"enriched", "review", "category_share", "monthly_trend", "anomalies", "summary_json", "summary", "report"}
+    assert written == {"enriched", "review", "category_share", "monthly_trend", "anomalies", "summary_json", "summary", "report", "ledger"}
     lines = [row for part in sorted((out / "enriched").glob("*.csv")) for row in list(csv.DictReader(part.open(encoding="utf-8")))]
     assert len(lines) == 101 and set(COLUMNS) <= set(lines[0]) and "month" in lines[0] and "row_index" not in lines[0]
     assert [r["transaction_id"] for r in lines] == [r.transaction_id for r in analysis.ledger.orderBy("row_index").collect()]
