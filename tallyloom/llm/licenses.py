@@ -11,6 +11,7 @@ from tallyloom.llm.words import ALNUM, grams, slices, text_bytes, words
 
 K = 3
 GAP = 3
+BLOCK = 1 << 16  # equal rows that one row stands for on the way out
 # Phrases that settle a license when their words stand in a row.
 PHRASES = {
     "mit": "under the mit license",
@@ -46,10 +47,13 @@ NEEDED = {
 }
 
 
-def _needed(text: str, label: str) -> list[int]:
+LISTED = (*TEMPLATES.items(), *SPELLINGS)
+
+
+def _needed(text: str, runs: list[str]) -> list[int]:
     """The places of a template whose grams a span must have."""
     words, places = text.split(), set()
-    for run in map(str.split, NEEDED[label]):
+    for run in map(str.split, runs):
         for at in range(len(words) - len(run) + 1):
             if words[at : at + len(run)] == run:
                 places.update(range(at, at + len(run) - K + 1))
@@ -61,16 +65,16 @@ def _word_hashes(text: str) -> np.ndarray:
     return words(raw, np.array([0, len(raw)]), ALNUM)[3]
 
 
-def template_grams(spark: SparkSession) -> DataFrame:
-    """``_gram, _template, _at, _label, _exact, _size, _need``: a row per place in a template."""
+def template_grams(spark: SparkSession, templates=LISTED, needed=NEEDED) -> DataFrame:
+    """``_gram, _template, _at, _label, _exact, _size, _need``: a row per place in a phrase or template."""
     rows = []
-    listed = [(p, label, True) for label, p in PHRASES.items()] + [
-        (t, label, False) for label, t in [*TEMPLATES.items(), *SPELLINGS]
-    ]
+    listed = [(p, label, True) for label, p in PHRASES.items()] + [(t, label, False) for label, t in templates]
     for number, (text, label, exact) in enumerate(listed):
         hashes = _word_hashes(text)
         at, value = grams(hashes, np.zeros(len(hashes), dtype=np.int64), K)
-        need = [] if exact else _needed(text, label)
+        if len(hashes) < K:
+            raise ValueError(f"a template needs at least {K} words: {text!r}")
+        need = [] if exact else _needed(text, needed.get(label, []))
         rows += [(v, number, a, label, exact, len(hashes), need) for a, v in zip(at.tolist(), value.view(np.int64).tolist())]
     kinds = "_gram bigint, _template int, _at int, _label string, _exact boolean, _size int, _need array<int>"
     return spark.createDataFrame(rows, kinds)
@@ -103,7 +107,9 @@ def rolling_grams(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, f"_key {kind}, _hash bigint, _pos bigint, _gram bigint")
 
 
-def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.6) -> DataFrame:
+def scan_licenses(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.6, templates=LISTED, needed=NEEDED
+) -> DataFrame:
     """``key, n_words, n_base, first_word, last_word, base_labels, labels, score``.
 
     All word ``K``-grams are joined with the places of the templates, a table of fixed size. A
@@ -114,10 +120,15 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", leas
     ``least`` for any other template, whose ``NEEDED`` words must be among them. The score is the
     best share.
 
-    A null text is empty. Rows are told apart by key and content: equal rows are one row of the
-    result.
+    ``templates`` are pairs of label and text, in lower case and with a blank between words, of a
+    sentence or of a whole license; their grams are broadcast, so the list should stay in the
+    thousands. ``needed`` holds, by label, the runs of words that must stand unbroken.
+
+    The result has a row per row of ``docs``. Equal rows, those of one key and content, are scanned
+    together and counted, and dealt out again at the end, in blocks of ``BLOCK`` spread over the
+    tasks. A null text is empty; a null key is a key like any other.
     """
-    table = template_grams(docs.sparkSession)
+    table = template_grams(docs.sparkSession, templates, needed)
     marker = F.col("_pos") < 0
     hits = rolling_grams(docs, key, text).withColumn("_join", F.when(~marker, F.col("_gram")))
     # Markers match no template and stay, so texts without any match keep their row.
@@ -126,7 +137,7 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", leas
     )
     own = ["_key", "_hash"]
     votes = hits.groupBy(*own, "_template", (F.col("_pos") - F.col("_at")).alias("_diagonal")).agg(
-        F.max(F.when(marker, F.col("_gram"))).alias("_words"),
+        F.max(F.when(marker, F.col("_gram"))).alias("_words"), F.count_if(marker).alias("_copies"),
         F.first("_label").alias("_label"), F.first("_exact").alias("_exact"), F.first("_size").alias("_size"),
         F.first("_need").alias("_need"), F.array_sort(F.collect_set("_at")).alias("_places"),
     )
@@ -144,7 +155,7 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", leas
         "_span", F.sum("_new").over(by_place)
     )
     spans = spans.groupBy(*own, "_template", "_span").agg(
-        F.max("_words").alias("_words"), F.first("_label").alias("_label"), F.first("_exact").alias("_exact"),
+        F.max("_words").alias("_words"), F.max("_copies").alias("_copies"), F.first("_label").alias("_label"), F.first("_exact").alias("_exact"),
         F.first("_size").alias("_size"), F.first("_need").alias("_need"), F.min("_begin").alias("_begin"),
         F.array_distinct(F.flatten(F.collect_list("_places"))).alias("_places"),
     )
@@ -154,7 +165,7 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", leas
     apart = F.size(F.array_except("_need", "_places")) == 0
     found = base | (~F.col("_exact") & (F.col("_share") >= least) & apart)
     join = lambda test: F.array_join(F.array_sort(F.collect_set(F.when(test, F.col("_label")))), ",")
-    return (
+    scanned = (
         spans.groupBy(*own)
         .agg(
             F.max("_words").alias("n_words"),
@@ -164,7 +175,11 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", leas
             join(base).alias("base_labels"),
             join(found).alias("labels"),
             F.max("_share").alias("score"),
+            F.max("_copies").alias("_copies"),
         )
-        .withColumnRenamed("_key", key)
-        .drop("_hash")
     )
+    # One row stands for at most a block of equal rows before they are spread.
+    blocks = scanned.withColumn("_block", F.explode(F.sequence(F.lit(0), F.expr(f"(_copies - 1) div {BLOCK}")))).hint("rebalance")
+    inside = F.least(F.lit(BLOCK), F.col("_copies") - F.col("_block") * BLOCK).cast("int")
+    rows = blocks.withColumn("_copy", F.explode(F.sequence(F.lit(1), inside)))
+    return rows.withColumnRenamed("_key", key).drop("_hash", "_copies", "_block", "_copy")
