@@ -8,20 +8,22 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.bitmaps import bitmap
 from tallyloom.llm.components import components
-from tallyloom.llm.near_dedup import SHARD, link
-from tallyloom.llm.words import mix
+from tallyloom.llm.near_dedup import SHARD, search_shards
+from tallyloom.llm.words import mix, slices
 from tallyloom.sources.staging import stage
 
 BITS, LETTERS, PERIOD = 256, 64, 1024
 RADIUS = 26
 BLOCK = 128
 MISSED, SPARE_BITS = 0.001, 4
-KEY_BITS = 1 << 27
+KEY_BITS, SHORT = 1 << 27, 40
+KEYS_A_PART, KEYS_AT_ONCE = 1 << 20, 1 << 22
 NAMES = ["n_chars", "edited_sha256", "fp", "edited_fp", "near_edited", "near_next"]
 
 
@@ -194,45 +196,127 @@ def sampled_bands(prints: int, radius: int = RADIUS) -> list[np.ndarray]:
 
 
 def _band_keys(prints: pa.Array, bands: list[np.ndarray]) -> np.ndarray:
-    """The 64-bit key of every fingerprint in every band."""
+    """The key of every fingerprint in every band, a number of ``SHORT`` bits."""
     raw = np.frombuffer(b"".join(prints.to_pylist()), dtype=np.uint8).reshape(len(prints), -1)
     bits = np.unpackbits(raw, axis=1).astype(np.uint64)
-    keys = np.empty((len(prints), len(bands)), dtype=np.uint64)
+    keys = np.empty((len(prints), len(bands)), dtype=np.int64)
     for i, band in enumerate(bands):
-        keys[:, i] = mix((bits[:, band] << np.arange(len(band), dtype=np.uint64)).sum(axis=1) * np.uint64(len(bands)) + np.uint64(i))
+        value = (bits[:, band] << np.arange(len(band), dtype=np.uint64)).sum(axis=1)
+        keys[:, i] = mix(value * np.uint64(len(bands)) + np.uint64(i)) >> np.uint64(64 - SHORT)
     return keys
 
 
-def edit_links(prints: DataFrame, radius: int = RADIUS, shard_size: int = SHARD) -> DataFrame:
-    """Links ``a, b`` between fingerprints of a written table with ``fp``, one row each.
+def _bytes_apart(numbers: np.ndarray) -> bytes:
+    """32-bit numbers, all first bytes before all second ones and so on: small ones then compress well."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
-    Fingerprints meet where one of a number of bands of sampled bits is equal, and are verified by all
-    their bits (see ``sampled_bands`` for what that misses). Band keys are counted first, as plain
-    numbers; only keys that occur twice, as a bitmap of fixed size, take fingerprints along. See
-    ``near_dedup.link`` for what a large band does.
-    """
-    bands = sampled_bands(prints.count(), radius)
 
-    def keys(batches):
+def _together(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, dtype=np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+
+
+def _key_counts(bands: list[np.ndarray], parts: int):
+    """Prints to ``part, keys, counts``: the distinct band keys of many prints, as gaps in ascending order."""
+    room = -(-(1 << SHORT) // parts)
+
+    def packed(found: list[np.ndarray]):
+        keys, counts = np.unique(np.concatenate(found), return_counts=True)
+        part = keys // room
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(keys)]
+        rows = []
+        for a, b in zip(edges, edges[1:]):
+            gaps = np.diff(keys[a:b], prepend=part[a] * room)
+            # Two halves of 32 bits: gaps are below 2**40, and their upper half is mostly zero.
+            rows.append((int(part[a]), _bytes_apart(np.concatenate([gaps & 0xFFFFFFFF, gaps >> 32])), _bytes_apart(counts[a:b])))
+        kinds = zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in kinds], ["part", "keys", "counts"])
+
+    def run(batches):
+        found, n = [], 0
         for batch in batches:
             for at in range(0, len(batch), 4096):
-                yield pa.RecordBatch.from_arrays([pa.array(_band_keys(batch["fp"].slice(at, 4096), bands).ravel().view(np.int64))], ["key"])
+                found.append(_band_keys(batch["fp"].slice(at, 4096), bands).ravel())
+                n += len(found[-1])
+                if n >= KEYS_AT_ONCE:
+                    yield packed(found)
+                    found, n = [], 0
+        if n:
+            yield packed(found)
+
+    return run
+
+
+def _repeated(parts: int):
+    """Rows of ``_key_counts`` sorted by part to ``shard, n`` of the keys that occur more than once."""
+    room = -(-(1 << SHORT) // parts)
+
+    def summed(part: int, keys: list[np.ndarray], counts: list[np.ndarray]):
+        found, at = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array((part * room + found)[n > 1]), pa.array(n[n > 1])], ["shard", "n"])
+
+    def run(batches):
+        current, keys, counts = None, [], []
+        for batch in batches:
+            for part, gaps, times in zip(*(batch[c].to_pylist() for c in ("part", "keys", "counts"))):
+                if part != current and keys:
+                    yield summed(current, keys, counts)
+                    keys, counts = [], []
+                low, high = _together(gaps).reshape(2, -1)
+                current = part
+                keys.append(np.cumsum(low + (high << 32)))
+                counts.append(_together(times))
+        if keys:
+            yield summed(current, keys, counts)
+
+    return run
+
+
+def repeated_keys(prints: DataFrame, bands: list[np.ndarray], count: int) -> DataFrame:
+    """``shard, n``: the band keys that occur in two or more of ``count`` fingerprints.
 
-    counted = prints.select("fp").mapInArrow(keys, "key bigint").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    shared = bitmap(counted.where(F.col("n") > 1), "key", KEY_BITS)
+    Keys are counted where they are made, then travel in order as the gaps between them, three to
+    four bytes each where a row of a key and its count takes three times as many. Parts are ranges of
+    keys, as many as make about ``KEYS_A_PART`` keys each; a key of any frequency is one entry.
+    """
+    parts = max(1, count * len(bands) // KEYS_A_PART)
+    sent = prints.select("fp").mapInArrow(_key_counts(bands, parts), "part bigint, keys binary, counts binary")
+    return sent.repartition("part").sortWithinPartitions("part").mapInArrow(_repeated(parts), "shard bigint, n bigint")
+
+
+def edit_links(prints: DataFrame, radius: int = RADIUS, shard_size: int = SHARD) -> DataFrame:
+    """Links ``a, b`` between fingerprints of a written table with distinct ``fp``, one row each.
+
+    Fingerprints meet where one of a number of bands of sampled bits is equal, and are verified by all
+    their bits (see ``sampled_bands`` for what that misses). Band keys are counted first, without
+    fingerprints; only keys that occur twice, as a bitmap of fixed size, take fingerprints along. See
+    ``near_dedup.link`` for what a large band does.
+    """
+    count = prints.count()
+    bands = sampled_bands(count, radius)
+    counted = stage(repeated_keys(prints, bands, count))
+    large = stage(counted.where(F.col("n") > shard_size))
+    shared = bitmap(counted, "shard", KEY_BITS)
 
     def run(batches):
         for batch in batches:
             for at in range(0, len(batch), 4096):
                 some = batch.slice(at, 4096)
                 found = _band_keys(some["fp"], bands)
-                hit = shared.has(found.ravel()).reshape(found.shape)
-                offsets = pa.array(np.concatenate([[0], np.cumsum(hit.sum(axis=1))]).astype(np.int32))
-                shards = pa.ListArray.from_arrays(offsets, pa.array(found[hit].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([some["fp"], shards], ["fp", "shards"])
+                row, band = np.nonzero(shared.has(found.ravel().view(np.uint64)).reshape(found.shape))
+                yield pa.RecordBatch.from_arrays([some["fp"].take(pa.array(row)), pa.array(found[row, band])], ["fp", "shard"])
 
-    sharded = prints.select("fp").mapInArrow(run, "fp binary, shards array<bigint>")
-    return link(stage(sharded.where(F.size("shards") > 0)), radius, shard_size, _near_links)
+    rows = prints.select("fp").mapInArrow(run, "fp binary, shard bigint")
+    return search_shards(rows, large, radius, shard_size, _near_links).where("a <> b")
+
+
+def _compressed(batches):
+    """Rows with their text as zstd: all texts are shuffled, and this halves what the codec of shuffles leaves."""
+    packer = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        for some in slices(batch, "_text"):
+            texts = pa.array([packer.compress(t.encode()) for t in some["_text"].to_pylist()], pa.binary())
+            yield some.set_column(some.schema.get_field_index("_text"), "_text", texts)
 
 
 def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", parts: int | None = None) -> DataFrame:
@@ -263,21 +347,22 @@ def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text",
     same = F.col("_key").eqNullSafe(F.col("_v")) & (F.col("_hash") == F.col("_h"))
     extra = rows.join(F.broadcast(ends), same).select("_key", "_text", "_hash", F.col("_to").alias("_part"), F.lit(True).alias("_end"))
     extra = extra.dropDuplicates(["_part"])
-    dealt = rows.withColumn("_end", F.lit(False)).unionByName(extra).repartition("_part")
-    dealt = dealt.sortWithinPartitions("_part", "_end", F.asc_nulls_first("_key"), "_hash")
+    dealt = rows.withColumn("_end", F.lit(False)).unionByName(extra)
+    kinds = f"_key {kind}, _text binary, _hash bigint, _part int, _end boolean"
+    dealt = dealt.select("_key", "_text", "_hash", F.col("_part").cast("int"), "_end").mapInArrow(_compressed, kinds)
+    dealt = dealt.repartition("_part").sortWithinPartitions("_part", "_end", F.asc_nulls_first("_key"), "_hash")
 
     def run(batches):
-        previous = None
+        unpacker, previous = zstandard.ZstdDecompressor(), None
         for batch in batches:
             ids, out = [], []
             columns = [batch[c].to_pylist() for c in ("_key", "_text", "_part", "_end")]
-            for one, body, part, end in zip(*columns):
-                whole = None
-                if previous and previous[2] == part:
-                    whole = Walk().read(body).print()
-                    out.append(_compared(previous[1], previous[3], body, whole))
+            for one, raw, part, end in zip(*columns):
+                document = Halved(unpacker.decompress(raw).decode())
+                if previous and previous[1] == part:
+                    out.append(previous[2].compared(document))
                     ids.append(previous[0])
-                previous = None if end else (one, body, part, whole or Walk().read(body).print())
+                previous = None if end else (one, part, document)
             if ids:
                 fields = list(zip(*out))
                 kinds = [pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
@@ -288,12 +373,20 @@ def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return dealt.mapInArrow(run, f"_key {kind}, {kinds}").withColumnRenamed("_key", key)
 
 
-def _compared(text: str, own: bytes, following: str, next_print: bytes) -> tuple:
-    n = len(text)
-    kept, new = text[: n - n // 2], following[: n // 2]
-    edited = Walk().read(kept).read(new).print()
-    digest = hashlib.sha256((kept + new).encode()).hexdigest()
-    return n, digest, own, edited, likeness(own, edited), likeness(own, next_print)
+class Halved:
+    """A text with its fingerprint and the walk at the start of its last half, where an edit goes on."""
+
+    def __init__(self, text: str):
+        self.text, self.half = text, len(text) // 2
+        self.walk = Walk().read(text[: len(text) - self.half])
+        self.print = self.walk.copy().read(text[len(text) - self.half :]).print()
+
+    def compared(self, following: Halved) -> tuple:
+        new = following.text[: self.half]
+        edited = self.walk.copy().read(new).print()
+        kept = self.text[: len(self.text) - self.half]
+        digest = hashlib.sha256((kept + new).encode()).hexdigest()
+        return len(self.text), digest, self.print, edited, likeness(self.print, edited), likeness(self.print, following.print)
 
 
 def edit_classes(prints: DataFrame, key: str = "doc_id") -> DataFrame:

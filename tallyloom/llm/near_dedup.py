@@ -220,6 +220,11 @@ def link(fps: DataFrame, radius: int, shard_size: int = SHARD, search=_links) ->
     """
     rows = fps.select("fp", F.explode("shards").alias("shard")).distinct()
     large = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard_size)
+    return search_shards(rows, large, radius, shard_size, search)
+
+
+def search_shards(rows: DataFrame, large: DataFrame, radius: int, shard_size: int, search=_links) -> DataFrame:
+    """Links of ``fp, shard`` rows, where ``large`` has ``shard, n`` of the shards to split; see ``link``."""
     parts = F.coalesce(F.ceil(F.col("n") / shard_size), F.lit(1)).cast("int")
     home = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     placed = (
