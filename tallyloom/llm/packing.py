@@ -16,7 +16,7 @@ from tallyloom.llm.words import slices
 from tallyloom.sources.staging import stage
 
 LENGTH = 2048
-GRID = 8
+GRID, SLACK = 8, 0.02
 CACHE = 300_000
 AT_ONCE = 2000
 SLICE = 1 << 22
@@ -279,19 +279,52 @@ def cutting_stock(sizes: np.ndarray, counts: np.ndarray, room: int, rounds: int
     return used
 
 
+@lru_cache(maxsize=4)
+def bundle_sizes(length: int, grid: int) -> np.ndarray:
+    """For each piece length from 0, how many such pieces to round up together.
+
+    A few short pieces lose much if each is rounded up to whole steps of the grid; some number of
+    them fills whole steps, and sequences. It is the smallest one that, packed with nothing else,
+    comes within ``SLACK`` of the best fill.
+    """
+    out, room = np.ones(length + 1, dtype=np.int64), length // grid
+    for size in range(1, length + 1):
+        several = np.arange(1, length // size + 1)
+        filled = room // -(-several * size // grid) * several * size
+        out[size] = several[int(np.argmax(filled >= filled.max() - SLACK * length))]
+    return out
+
+
 def pack(pieces: DataFrame, length: int = LENGTH, grid: int = GRID) -> DataFrame:
     """``pieces`` with ``_sequence`` and ``_offset``; ``pieces`` needs ``_length`` and a unique ``_row``.
 
-    Lengths are counted in classes of ``grid`` tokens, rounded up: a histogram of at most
-    ``length / grid`` numbers is all that reaches the driver. Pieces are ranked inside their class
-    and take the places of the patterns in that order, so a piece is matched to its sequence by
-    its class and rank alone. A sequence is padded by under ``grid`` tokens a piece, besides what
-    its pattern leaves free. Pass a written table: it is read three times.
+    Items are single pieces or bundles of pieces of one length (see ``bundle_sizes``); what does not
+    fill a bundle is single. Items are counted in classes of ``grid`` tokens, rounded up: a histogram
+    of at most ``length`` numbers is all that reaches the driver. Pieces are ranked among those of
+    their length, or of their class where that never bundles, and take the places of the patterns in
+    that order, so a piece is matched to its sequence by its length and rank alone. A sequence is
+    padded by under ``grid`` tokens an item, besides what its pattern leaves free. Pass a written
+    table: it is read three times.
     """
-    pieces = pieces.withColumn("_class", F.ceil(F.col("_length") / grid).cast("int"))
-    histogram = pieces.groupBy("_class").agg(F.count(F.lit(1)).alias("n")).orderBy("_class").collect()
-    sizes = np.array([r["_class"] for r in histogram], dtype=np.int64)
-    patterns = cutting_stock(sizes, np.array([r["n"] for r in histogram], dtype=np.int64), length // grid)
+    grid = grid if length % grid == 0 else 1
+    spark, together = pieces.sparkSession, bundle_sizes(length, grid)
+    histogram = pieces.groupBy("_length").agg(F.count(F.lit(1)).alias("n")).orderBy("_length").collect()
+    # Ranks run through a group: one length that bundles, or all other lengths of a class.
+    groups, members = {}, []
+    for size, n in histogram:
+        several, units = int(together[size]), -(-size // grid)
+        group = size if several > 1 else -units
+        groups[group] = (several, size, groups.get(group, (0, 0, 0))[2] + n)
+        members.append((size, group))
+    counts, ranges = np.zeros(length // grid + 1, dtype=np.int64), []
+    for group, (several, size, n) in groups.items():
+        for first, last, each in ((0, n - n % several, several), (n - n % several, n, 1)):
+            if first < last:
+                units = -(-size * each // grid)
+                ranges.append((group, first, last, each, units, int(counts[units])))
+                counts[units] += (last - first) // each
+    sizes = np.flatnonzero(counts)
+    patterns = cutting_stock(sizes, counts[sizes], length // grid)
     taken, sequences, places = np.zeros(len(sizes), dtype=np.int64), 0, []
     for pattern, times in patterns:
         for i in np.flatnonzero(pattern).tolist():
@@ -299,16 +332,23 @@ def pack(pieces: DataFrame, length: int = LENGTH, grid: int = GRID) -> DataFrame
             places.append((int(sizes[i]), int(taken[i]), int(taken[i]) + each * times, each, sequences))
             taken[i] += each * times
         sequences += times
-    table = pieces.sparkSession.createDataFrame(places, "_c int, _from bigint, _to bigint, _each int, _first bigint")
-    ranked = numbered(pieces, "_class", "_row", "_rank")
-    # Patterns are at most two per class, and places one per pattern and class.
-    placed = ranked.join(
+    groups_of = spark.createDataFrame(members, "_l bigint, _group int")
+    items = spark.createDataFrame(ranges, "_g int, _first_rank bigint, _last_rank bigint, _several int, _class int, _before bigint")
+    table = spark.createDataFrame(places, "_c int, _from bigint, _to bigint, _each int, _first bigint")
+    grouped = pieces.join(F.broadcast(groups_of), F.col("_length") == F.col("_l")).drop("_l")
+    ranked = numbered(grouped, "_group", "_row", "_rank")
+    # At most two ranges a group; patterns are at most two per class, and places one per pattern and class.
+    itemised = ranked.join(
+        F.broadcast(items),
+        (F.col("_group") == F.col("_g")) & (F.col("_rank") >= F.col("_first_rank")) & (F.col("_rank") < F.col("_last_rank")),
+    ).withColumn("_item", F.col("_before") + F.expr("(_rank - _first_rank) div _several"))
+    placed = itemised.join(
         F.broadcast(table),
-        (F.col("_class") == F.col("_c")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")),
-    ).withColumn("_sequence", F.col("_first") + F.expr("(_rank - _from) div _each"))
+        (F.col("_class") == F.col("_c")) & (F.col("_item") >= F.col("_from")) & (F.col("_item") < F.col("_to")),
+    ).withColumn("_sequence", F.col("_first") + F.expr("(_item - _from) div _each"))
     inside = Window.partitionBy("_sequence").orderBy(F.desc("_length"), "_row")
     offset = F.sum("_length").over(inside) - F.col("_length")
-    return placed.withColumn("_offset", offset).drop("_class", "_rank", "_c", "_from", "_to", "_each", "_first")
+    return placed.withColumn("_offset", offset).select(*pieces.columns, "_sequence", "_offset")
 
 
 def packed_documents(
