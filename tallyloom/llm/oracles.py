@@ -1,5 +1,23 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
+# The key of a line is stripped of blanks and lower-cased; only its last document keeps a shared line.
+OP2 = """
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+  FROM documents
+), k AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM l
+), shared AS (
+  SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), m AS (
+  SELECT k.*, s.last IS NOT NULL AND k.doc_id <> s.last AS dropped FROM k LEFT JOIN shared s USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN dropped THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
 # Snapshots are compared as whole texts: a conversation is left out if a longer one begins with it.
 OP10 = """
 WITH c AS (
@@ -93,4 +111,4 @@ FROM positives p JOIN pairs n ON n.anchor_id = p.anchor_id AND NOT n.same AND 10
 QUALIFY rank <= 10
 """
 
-ORACLES = {"op10_chat": OP10, "op11_collocations": OP11, "op12_top_k": OP12, "op13_hard_negatives": OP13}
+ORACLES = {"op2_line_dedup": OP2, "op10_chat": OP10, "op11_collocations": OP11, "op12_top_k": OP12, "op13_hard_negatives": OP13}

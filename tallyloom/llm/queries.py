@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from public_tokenizers import path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +21,6 @@ from tallyloom.llm.segmentation import decode_pieces, encode_sampled
 from tallyloom.llm.sharding import assign_shards
 from tallyloom.sources.staging import stage
 
-TOKENIZERS = "/opt/tokenizers"
-
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -48,11 +47,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed_documents(_documents(spark, sf_dir), f"{TOKENIZERS}/word_bpe_49k.json", digest=True)
+    return packed_documents(_documents(spark, sf_dir), path("word_bpe_49k.json"), digest=True)
 
 
 def op5_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = f"{TOKENIZERS}/piece_bpe_32k.model"
+    model = path("piece_bpe_32k.model")
     decoded = decode_pieces(encode_sampled(_documents(spark, sf_dir), model), model)
     return decoded.select("doc_id", F.size("ids").alias("n_ids"), "ids", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 

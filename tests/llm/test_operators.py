@@ -11,15 +11,16 @@ import numpy as np
 import pytest
 import xxhash
 from oracle_check import connect, difference
+from public_tokenizers import path
 from pyspark.sql import functions as F
 
 from tallyloom.llm import chat, edit_prints, licenses, line_dedup, near_dedup, packing, quality, scoring, segmentation, sharding
 from tallyloom.llm.oracles import ORACLES
-from tallyloom.llm.queries import QUERIES, TOKENIZERS
+from tallyloom.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
-WORDS = f"{TOKENIZERS}/word_bpe_49k.json"
+MODEL = path("piece_bpe_32k.model")
+WORDS = path("word_bpe_49k.json")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 AZ = {i: i + 32 for i in range(65, 91)}
 # Null and empty texts, repeated rows, a null key, odd blanks, special tokens, a text without
@@ -184,6 +185,14 @@ def test_sharding(spark, texts, odd, empty):
     for r in rows:
         homes[texts[r.doc_id]].add(r.shard)
     assert all(len(s) == 1 for s in homes.values())
+    # Forty texts of 2 % each, too large for bundles and too small to split, are balanced among small ones.
+    large = [(i, "w " * 1500 + str(i % 40)) for i in range(80)] + [(i, f"small {i}") for i in range(80, 2000)]
+    own = collections.defaultdict(lambda: [0, set()])
+    for r in sharding.assign_shards(spark.createDataFrame(large, "doc_id bigint, text string"), bundles=64).collect():
+        own[r.shard][0] += r["size"]
+        own[r.shard][1].add(large[r.doc_id][1])
+    assert max(n for n, _ in own.values()) < 1.35 * sum(n for n, _ in own.values()) / 8
+    assert sum(len(t) for _, t in own.values()) == len({t for _, t in large})
     assert sharding.assign_shards(odd).count() == len(ROWS) and sharding.assign_shards(empty).count() == 0
 
 
@@ -217,6 +226,22 @@ def test_packing(spark, texts, odd, empty):
     assert packing.packed_documents(empty, WORDS).count() == 0
 
 
+@pytest.mark.parametrize("lengths, most", [
+    ([1] * 5000, 0.01), ([11] * 5000, 0.03), ([99] * 3000, 0.04), ([682] * 300, 0.01), ([1, 3, 7, 11, 13, 17, 40, 99, 250] * 400, 0.02), ([], 0.01),
+])
+def test_short_pieces_leave_little_padding(spark, lengths, most):
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "_row bigint, _length bigint")
+    sequences = collections.defaultdict(list)
+    for r in packing.pack(rows).collect():
+        sequences[r._sequence].append((r._offset, r._length))
+    assert sorted(n for own in sequences.values() for _, n in own) == sorted(lengths)
+    for own in sequences.values():
+        own.sort()
+        assert [at for at, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))] and sum(own[-1]) <= 2048
+    # The last sequence of a small table is as empty as it must be.
+    assert 2048 * (len(sequences) - 1) <= (1 + most) * sum(lengths)
+
+
 def test_cutting_stock_is_near_its_bound():
     rng = np.random.default_rng(0)
     sizes, counts = np.unique(rng.integers(1, 65, 5000), return_counts=True)
@@ -424,7 +449,11 @@ def test_edit_fingerprints(spark, texts, odd, empty):
         a, b = texts[here] or "", texts[after] or ""
         half = len(a) // 2
         assert rows[here].n_chars == len(a)
-        assert rows[here].edited_sha256 == hashlib.sha256((a[: len(a) - half] + b[:half]).encode()).hexdigest()
+        edited = a[: len(a) - half] + b[:half]
+        assert rows[here].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        prints = [edit_prints.Walk().read(t).print() for t in (a, edited, b)]
+        assert [rows[here].fingerprint, rows[here].edited_fingerprint] == [p.hex() for p in prints[:2]]
+        assert [rows[here].near_edited, rows[here].near_next] == [edit_prints.likeness(prints[0], p) for p in prints[1:]]
     mean = lambda c: sum(r[c] for r in rows.values()) / len(rows)
     assert mean("near_edited") > mean("near_next") + 0.3
     assert len({(texts[i], r.fingerprint) for i, r in rows.items()}) == len(set(texts.values()))
@@ -469,6 +498,10 @@ def test_edit_links_lose_no_pair_within_the_radius(spark):
 
 def test_conversations(spark):
     assert difference(QUERIES["op10_chat"](spark, SF), connect(SF), ORACLES["op10_chat"]) is None
+
+
+def test_line_dedup_equals_sql(spark):
+    assert difference(QUERIES["op2_line_dedup"](spark, SF), connect(SF), ORACLES["op2_line_dedup"]) is None
     long = [(9, i, "user", f"t{i}") for i in range(1200)]
     rows = [(1, 0, "user", "a"), (2, 0, "user", "a"), (2, 1, "bot", "b"), (3, 0, "user", "a"), (3, 1, "bot", "b"),
             (4, 0, "user", None), (None, None, None, "x"), *long, *[(10, *r[1:]) for r in long[:1100]]]
@@ -531,6 +564,19 @@ def test_near_dedup_stage_keeps_the_least_of_each_component(spark, texts):
     assert kept == {r.component_id for r in QUERIES["op1_simhash"](spark, SF).collect()}
 
 
+@pytest.mark.parametrize("count", [1, 10**6])
+def test_repeated_band_keys_are_counted_whole(spark, count):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    prints = [rng.bytes(4) + bytes(28) for _ in range(3000)]  # many share bands, one key in all of them
+    bands = edit_prints.sampled_bands(3000)
+    keys = collections.Counter(edit_prints._band_keys(pa.array(prints, pa.binary()), bands).ravel().tolist())
+    frame = spark.createDataFrame([(bytearray(p),) for p in prints], "fp binary").repartition(7)
+    got = {r.shard: r.n for r in edit_prints.repeated_keys(frame, bands, count).collect()}
+    assert got == {k: n for k, n in keys.items() if n > 1} and max(got.values()) >= 3000
+
+
 def test_bands_meet_nearly_all_pairs_within_the_radius():
     rng = np.random.default_rng(8)
     for prints in (10**3, 10**5, 2 * 10**6):
