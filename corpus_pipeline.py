@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from public_tokenizers import path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from tallyloom.llm import line_dedup, near_dedup, packing, quality
 from tallyloom.llm.words import fresh
 from tallyloom.sources.staging import shared_folder
 
-TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
+TOKENIZER = path("word_bpe_49k.json")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
