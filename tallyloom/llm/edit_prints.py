@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.bitmaps import bitmap
 from tallyloom.llm.components import components
+from tallyloom.llm.gaps import SHORT, bytes_apart, cut, together, uncut
 from tallyloom.llm.near_dedup import SHARD, search_shards
 from tallyloom.llm.words import mix, slices
 from tallyloom.sources.staging import stage
@@ -22,7 +23,7 @@ BITS, LETTERS, PERIOD = 256, 64, 1024
 RADIUS = 26
 BLOCK = 128
 MISSED, SPARE_BITS = 0.001, 4
-KEY_BITS, SHORT = 1 << 27, 40
+KEY_BITS = 1 << 27
 KEYS_A_PART, KEYS_AT_ONCE = 1 << 20, 1 << 22
 NAMES = ["n_chars", "edited_sha256", "fp", "edited_fp", "near_edited", "near_next"]
 
@@ -206,28 +207,12 @@ def _band_keys(prints: pa.Array, bands: list[np.ndarray]) -> np.ndarray:
     return keys
 
 
-def _bytes_apart(numbers: np.ndarray) -> bytes:
-    """32-bit numbers, all first bytes before all second ones and so on: small ones then compress well."""
-    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-
-
-def _together(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, dtype=np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
-
-
 def _key_counts(bands: list[np.ndarray], parts: int):
     """Prints to ``part, keys, counts``: the distinct band keys of many prints, as gaps in ascending order."""
-    room = -(-(1 << SHORT) // parts)
 
     def packed(found: list[np.ndarray]):
         keys, counts = np.unique(np.concatenate(found), return_counts=True)
-        part = keys // room
-        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(keys)]
-        rows = []
-        for a, b in zip(edges, edges[1:]):
-            gaps = np.diff(keys[a:b], prepend=part[a] * room)
-            # Two halves of 32 bits: gaps are below 2**40, and their upper half is mostly zero.
-            rows.append((int(part[a]), _bytes_apart(np.concatenate([gaps & 0xFFFFFFFF, gaps >> 32])), _bytes_apart(counts[a:b])))
+        rows = [(part, gaps, bytes_apart(counts[at])) for part, at, gaps in cut(keys, parts)]
         kinds = zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in kinds], ["part", "keys", "counts"])
 
@@ -248,26 +233,24 @@ def _key_counts(bands: list[np.ndarray], parts: int):
 
 def _repeated(parts: int):
     """Rows of ``_key_counts`` sorted by part to ``shard, n`` of the keys that occur more than once."""
-    room = -(-(1 << SHORT) // parts)
 
-    def summed(part: int, keys: list[np.ndarray], counts: list[np.ndarray]):
+    def summed(keys: list[np.ndarray], counts: list[np.ndarray]):
         found, at = np.unique(np.concatenate(keys), return_inverse=True)
         n = np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array((part * room + found)[n > 1]), pa.array(n[n > 1])], ["shard", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(found[n > 1]), pa.array(n[n > 1])], ["shard", "n"])
 
     def run(batches):
         current, keys, counts = None, [], []
         for batch in batches:
             for part, gaps, times in zip(*(batch[c].to_pylist() for c in ("part", "keys", "counts"))):
                 if part != current and keys:
-                    yield summed(current, keys, counts)
+                    yield summed(keys, counts)
                     keys, counts = [], []
-                low, high = _together(gaps).reshape(2, -1)
                 current = part
-                keys.append(np.cumsum(low + (high << 32)))
-                counts.append(_together(times))
+                keys.append(uncut(gaps, part, parts))
+                counts.append(together(times))
         if keys:
-            yield summed(current, keys, counts)
+            yield summed(keys, counts)
 
     return run
 

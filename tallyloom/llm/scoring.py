@@ -9,20 +9,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm.gaps import SHORT, bytes_apart, cut, together, uncut
 from tallyloom.llm.words import NOT_BLANK, slices, text_bytes, words
+from tallyloom.sources.staging import stage
 
 CLASSES = 128
 KNOWN = 95
 EMBED, HIDDEN, EPOCHS, BLOCK = 16, 48, 40, 2048
 AT_ONCE = 1 << 20
+COMMON, WORDS_A_PART, STEPS = 1 << 18, 1 << 22, 1 << 32
 
 
 def _texts(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.col(text).cast("string").alias("_text"))
 
 
-def frequent_words(docs: DataFrame, text: str) -> list[int]:
-    """Hashes of the ``KNOWN`` most frequent words of the whole table, ties by hash.
+def word_counts(docs: DataFrame, text: str) -> DataFrame:
+    """``_word, n``: how often each word, as its hash, occurs in the whole table.
 
     Words are counted inside each task before they are sent.
     """
@@ -44,8 +47,24 @@ def frequent_words(docs: DataFrame, text: str) -> list[int]:
         if room:
             yield counted()
 
-    counts = _texts(docs, text).mapInArrow(run, "_word bigint, _n bigint").groupBy("_word").agg(F.sum("_n").alias("n"))
-    return [r["_word"] for r in counts.orderBy(F.desc("n"), "_word").limit(KNOWN).collect()]
+    return _texts(docs, text).mapInArrow(run, "_word bigint, _n bigint").groupBy("_word").agg(F.sum("_n").alias("n"))
+
+
+def common_words(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashes, ascending, and counts of the words with more than one in ``COMMON`` of all occurrences, and that total.
+
+    There are fewer than ``COMMON`` of them, so at most 4 MB reach the driver and the tasks.
+    """
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    found = counts.where(F.col("n") * COMMON > total).toArrow()
+    hashes = found["_word"].to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], found["n"].to_numpy()[order], total
+
+
+def frequent_words(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The ``KNOWN`` most frequent of the common words, ties by hash; ascending."""
+    return np.sort(hashes[np.lexsort((hashes, -counts))[:KNOWN]])
 
 
 def word_classes(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -62,8 +81,8 @@ def word_classes(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
     return out
 
 
-def _windows(part: pa.RecordBatch, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row of every word, and its left neighbour, right neighbour and own class as one number."""
+def _windows(part: pa.RecordBatch, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and hash of every word, and its left neighbour, right neighbour and own class as one number."""
     _, _, rows, hashes = words(*text_bytes(part["_text"]), NOT_BLANK)
     own = word_classes(hashes, known)
     left, right = np.zeros_like(own), np.zeros_like(own)
@@ -71,7 +90,7 @@ def _windows(part: pa.RecordBatch, known: np.ndarray) -> tuple[np.ndarray, np.nd
         together = rows[1:] == rows[:-1]
         left[1:][together] = own[:-1][together]
         right[:-1][together] = own[1:][together]
-    return rows, (left * CLASSES + right) * CLASSES + own
+    return rows, hashes, (left * CLASSES + right) * CLASSES + own
 
 
 def window_counts(docs: DataFrame, text: str, known: np.ndarray) -> DataFrame:
@@ -81,7 +100,7 @@ def window_counts(docs: DataFrame, text: str, known: np.ndarray) -> DataFrame:
         total = np.zeros(CLASSES**3, dtype=np.int64)
         for batch in batches:
             for part in slices(batch, "_text"):
-                value, n = np.unique(_windows(part, known)[1], return_counts=True)
+                value, n = np.unique(_windows(part, known)[2], return_counts=True)
                 total[value] += n
         value = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(total[value])], ["_window", "n"])
@@ -172,31 +191,144 @@ def train_network(counts: DataFrame) -> bytes:
     return trained["network"] if trained else WindowNetwork().dump()
 
 
-def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, n_tokens, log_likelihood, mean_log_likelihood`` of every document.
+class Model:
+    """What tasks need to score: the network's table, class totals and the common words."""
+
+    def __init__(self, raw: bytes, known: np.ndarray, totals: np.ndarray, hashes: np.ndarray, counts: np.ndarray, parts: int):
+        self.raw, self.known, self.hashes, self.parts = raw, known, hashes, parts
+        self.log_totals = np.log(np.maximum(totals, 1))
+        self.log_counts = np.log(counts)
+
+    def inside(self, hashes: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log-probability of each word in its class, without the count of the rare ones, and which those are."""
+        out = -self.log_totals[own]
+        rare = np.ones(len(hashes), dtype=bool)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            rare = self.hashes[at] != hashes
+            out[~rare] += self.log_counts[at[~rare]]
+        return out, rare
+
+
+def fit(docs: DataFrame, text: str = "text") -> Model:
+    """The model of the whole table: every word and every window is counted."""
+    counts = stage(word_counts(docs, text))
+    hashes, n, total = common_words(counts)
+    known = frequent_words(hashes, n)
+    windows = stage(window_counts(docs, text, known))
+    by_class = windows.groupBy((F.col("_window") % CLASSES).alias("c")).agg(F.sum("n").alias("n")).collect()
+    totals = np.zeros(CLASSES, dtype=np.int64)
+    for own, times in by_class:
+        totals[own] = times
+    return Model(train_network(windows), known, totals, hashes, n, max(1, total // WORDS_A_PART))
+
+
+def _rare_packed(first: int, keys: np.ndarray, rows: np.ndarray, parts: int) -> list[tuple]:
+    """Rows ``_base, part, keys, rows, times`` of rare words: row numbers count from ``first``."""
+    order = np.lexsort((rows, keys))
+    keys, rows = keys[order], rows[order]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])
+    at = np.flatnonzero(new)
+    keys, rows, times = keys[at], rows[at], np.diff(at, append=len(new))
+    return [(first, p, gaps, bytes_apart(rows[s]), bytes_apart(times[s])) for p, s, gaps in cut(keys, parts)]
 
-    Tokens are the blank-separated words, ASCII lower-cased, in ``CLASSES`` classes taken from
-    the whole table. The network learns every word of the table from its two neighbours: all
-    windows are counted, and the counts are all the training needs, so its time is the same at
-    any size while every document takes part. The score is the sum of the log-probabilities of
-    the words, each given both sides. Without words the sum is 0 and the mean null. The classes
-    are numbers of fixed size and the network is under 100 KB; both go to the tasks by value.
-    Repeated rows and null keys are scored like any other.
-    """
-    known = np.sort(np.array(frequent_words(docs, text), dtype=np.int64).view(np.uint64))
-    raw = train_network(window_counts(docs, text, known))
-    kind = docs.schema[key].dataType.simpleString()
+
+PACKED = {"_base": pa.int64(), "_part": pa.int64(), "_keys": pa.binary(), "_rows": pa.binary(), "_times": pa.binary()}
+SCORED = {"_n": pa.int64(), "_score": pa.float64()}
+
+
+def _scored(model: Model):
+    """Texts to their scores without the counts of rare words, and these words apart, for all counts of a key to meet."""
+
+    def filled(n: int, given: dict, key: pa.DataType) -> pa.RecordBatch:
+        kinds = {"_row": pa.int64(), "_key": key} | SCORED | PACKED
+        return pa.RecordBatch.from_arrays([given.get(c, pa.nulls(n, t)) for c, t in kinds.items()], list(kinds))
 
     def run(batches):
-        table = WindowNetwork.load(raw).table()
+        table = WindowNetwork.load(model.raw).table()
+        first, held, kind = None, [], None
+
+        def sent():
+            packed = _rare_packed(first, *map(np.concatenate, zip(*held)), model.parts)
+            return filled(len(packed), {c: pa.array(v, t) for (c, t), v in zip(PACKED.items(), zip(*packed))}, kind)
+
         for batch in batches:
             for part in slices(batch, "_text"):
-                rows, window = _windows(part, known)
+                kind = part["_key"].type
+                places = part["_row"].to_numpy()
+                first = int(places[0]) if first is None else first
+                rows, hashes, window = _windows(part, model.known)
+                inside, rare = model.inside(hashes, window % CLASSES)
                 n = np.bincount(rows, minlength=len(part))
-                total = np.bincount(rows, weights=table[window], minlength=len(part))
-                yield pa.RecordBatch.from_arrays([part["_key"], pa.array(n, pa.int64()), pa.array(total, pa.float64())], ["_key", "n_tokens", "log_likelihood"])
+                score = np.bincount(rows, weights=table[window] + inside, minlength=len(part))
+                given = {"_row": part["_row"], "_key": part["_key"], "_n": pa.array(n, pa.int64()), "_score": pa.array(score, pa.float64())}
+                yield filled(len(part), given, kind)
+                held.append(((hashes[rare] >> np.uint64(64 - SHORT)).astype(np.int64), places[rows[rare]] - first))
+                if sum(len(k) for k, _ in held) > AT_ONCE:
+                    yield sent()
+                    first, held = None, []
+        if held and any(len(k) for k, _ in held):
+            yield sent()
+
+    return run
+
+
+def _rare_scores(parts: int):
+    """Packed rare words sorted by part to ``_row, _more``: the summed logarithms of their counts, in ``STEPS``."""
+
+    def summed(held: list[tuple]):
+        keys, rows, times = map(np.concatenate, zip(*held))
+        _, at = np.unique(keys, return_inverse=True)
+        n = np.bincount(at, weights=times)
+        worth = np.round(np.log(n) * STEPS).astype(np.int64)[at] * times
+        order = np.argsort(rows, kind="stable")
+        rows = rows[order]
+        starts = np.flatnonzero(np.diff(rows, prepend=rows[0] - 1))
+        return pa.RecordBatch.from_arrays([pa.array(rows[starts]), pa.array(np.add.reduceat(worth[order], starts))], ["_row", "_more"])
+
+    def run(batches):
+        current, held = None, []
+        for batch in batches:
+            for base, part, keys, rows, times in zip(*(batch[c].to_pylist() for c in PACKED)):
+                if part != current and held:
+                    yield summed(held)
+                    held = []
+                current = part
+                held.append((uncut(keys, part, parts), base + together(rows), together(times)))
+        if held:
+            yield summed(held)
+
+    return run
+
+
+def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, n_tokens, log_likelihood, mean_log_likelihood`` of every document.
 
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
-    scored = rows.mapInArrow(run, f"_key {kind}, n_tokens bigint, log_likelihood double")
-    mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
-    return scored.withColumn("mean_log_likelihood", mean).withColumnRenamed("_key", key)
+    Tokens are the blank-separated words, ASCII lower-cased. The probability of a word is that of
+    its class between its two neighbours' classes, from the network, times that of the word in its
+    class, from the counts of all words of the table. The network learns every word: all windows are
+    counted, and the counts are all the training needs, so its time is the same at any size while
+    every document takes part. The score is the sum of the log-probabilities of the words. Without
+    words the sum is 0 and the mean null.
+
+    The network, under 100 KB, and the words with more than one in ``COMMON`` of all occurrences,
+    under 4 MB, go to the tasks by value. Rarer words meet their counts by a shuffle: each goes with
+    its document to a range of word hashes, whose task holds about ``WORDS_A_PART`` occurrences at
+    most, as none of these words has many. Repeated rows and null keys are scored like any other.
+    """
+    model = fit(docs, text)
+    kind = docs.schema[key].dataType.simpleString()
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
+    packed = "_base bigint, _part bigint, _keys binary, _rows binary, _times binary"
+    scored = stage(rows.mapInArrow(_scored(model), f"_row bigint, _key {kind}, _n bigint, _score double, {packed}"))
+    rare = scored.where("_part IS NOT NULL").select(*PACKED).repartition("_part").sortWithinPartitions("_part")
+    more = rare.mapInArrow(_rare_scores(model.parts), "_row bigint, _more bigint").groupBy("_row").agg(F.sum("_more").alias("_more"))
+    both = scored.where("_row IS NOT NULL").select("_row", "_key", "_n", "_score").join(more, "_row", "left")
+    total = F.col("_score") + F.coalesce("_more", F.lit(0)) / F.lit(float(STEPS))
+    return both.select(
+        F.col("_key").alias(key),
+        F.col("_n").alias("n_tokens"),
+        total.alias("log_likelihood"),
+        F.when(F.col("_n") > 0, total / F.col("_n")).alias("mean_log_likelihood"),
+    )

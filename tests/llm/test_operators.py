@@ -325,11 +325,41 @@ def test_scores_beat_single_words_on_held_out_documents(spark, docs, odd, empty)
 
 
 def test_window_counts_are_of_all_words(spark, odd):
-    known = np.sort(np.array(scoring.frequent_words(odd, "text"), dtype=np.int64).view(np.uint64))
+    known = scoring.frequent_words(*scoring.common_words(scoring.word_counts(odd, "text"))[:2])
     total = scoring.window_counts(odd, "text", known).agg(F.sum("n")).first()[0]
     assert total == sum(len(WORD.findall(t or "")) for _, t, _ in ROWS)
 
 
+@pytest.mark.parametrize("common, part", [(1 << 18, 1 << 22), (200, 1 << 10)])
+def test_scores_are_sums_over_every_word(spark, docs, monkeypatch, common, part):
+    """Against a sum over Python words; with few common words and many parts, most counts meet by the shuffle."""
+    monkeypatch.setattr(scoring, "COMMON", common)
+    monkeypatch.setattr(scoring, "WORDS_A_PART", part)
+    texts = {r.doc_id: [w.encode() for w in WORD.findall((r.text or "").translate(AZ))] for r in docs.collect()}
+    counts = collections.Counter(w for t in texts.values() for w in t)
+    model = scoring.fit(docs)
+    assert model.parts == max(1, sum(counts.values()) // part)
+    table = scoring.WindowNetwork.load(model.raw).table()
+    found = {}
+    for w in counts:
+        data = np.frombuffer(w, dtype=np.uint8)
+        found[w] = scoring.words(data, np.array([0, len(data)]), scoring.NOT_BLANK)[3]
+    classes = {w: int(scoring.word_classes(h, model.known)[0]) for w, h in found.items()}
+    totals = collections.Counter()
+    for w, n in counts.items():
+        totals[classes[w]] += n
+    got = {r.doc_id: r for r in scoring.score_documents(docs).collect()}
+    gain = 0
+    for i, t in texts.items():
+        c = [0, *map(classes.get, t), 0]
+        own = [(c[j] * scoring.CLASSES + c[j + 2]) * scoring.CLASSES + c[j + 1] for j in range(len(t))]
+        expected = sum(float(table[w]) for w in own) + sum(np.log(counts[w] / totals[classes[w]]) for w in t)
+        assert got[i].n_tokens == len(t) and abs(got[i].log_likelihood - expected) < 1e-4 * max(1, len(t))
+        gain += expected - sum(np.log(counts[w] / sum(counts.values())) for w in t)
+    # Both sides help: better than the same counts without any context.
+    assert gain > 0
+
+
 def test_licenses(spark, texts, odd, empty):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
