@@ -17,7 +17,7 @@ CLASSES = 128
 KNOWN = 95
 EMBED, HIDDEN, EPOCHS, BLOCK = 16, 48, 40, 2048
 AT_ONCE = 1 << 20
-COMMON, WORDS_A_PART, STEPS = 1 << 18, 1 << 22, 1 << 32
+COMMON, WORDS_A_PART, STEPS = 1 << 18, 1 << 22, 1 << 24
 
 
 def _texts(docs: DataFrame, text: str) -> DataFrame:
@@ -275,17 +275,22 @@ def _scored(model: Model):
 
 
 def _rare_scores(parts: int):
-    """Packed rare words sorted by part to ``_row, _more``: the summed logarithms of their counts, in ``STEPS``."""
+    """Packed rare words sorted by part to ``_base, _rows, _worth``: of each row, the summed logarithms of its words' counts.
+
+    They are whole numbers of ``STEPS``, so sums do not depend on their order, and go back packed as they came.
+    """
 
     def summed(held: list[tuple]):
-        keys, rows, times = map(np.concatenate, zip(*held))
-        _, at = np.unique(keys, return_inverse=True)
-        n = np.bincount(at, weights=times)
-        worth = np.round(np.log(n) * STEPS).astype(np.int64)[at] * times
-        order = np.argsort(rows, kind="stable")
-        rows = rows[order]
-        starts = np.flatnonzero(np.diff(rows, prepend=rows[0] - 1))
-        return pa.RecordBatch.from_arrays([pa.array(rows[starts]), pa.array(np.add.reduceat(worth[order], starts))], ["_row", "_more"])
+        _, at = np.unique(np.concatenate([h[1] for h in held]), return_inverse=True)
+        n = np.bincount(at, weights=np.concatenate([h[3] for h in held]))
+        worth, out, first = np.round(np.log(n) * STEPS).astype(np.int64), [], 0
+        for base, keys, rows, times in held:
+            own = worth[at[first : first + len(keys)]] * times
+            found, place = _summed(rows, own)
+            out.append((base, bytes_apart(found), bytes_apart(np.concatenate([place & 0xFFFFFFFF, place >> 32]))))
+            first += len(keys)
+        kinds = zip(zip(*out), (pa.int64(), pa.binary(), pa.binary()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in kinds], ["_base", "_rows", "_worth"])
 
     def run(batches):
         current, held = None, []
@@ -295,13 +300,41 @@ def _rare_scores(parts: int):
                     yield summed(held)
                     held = []
                 current = part
-                held.append((uncut(keys, part, parts), base + together(rows), together(times)))
+                held.append((base, uncut(keys, part, parts), together(rows), together(times)))
         if held:
             yield summed(held)
 
     return run
 
 
+def _summed(rows: np.ndarray, worth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows, ascending, and the sum of each."""
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
+    starts = np.flatnonzero(np.diff(rows, prepend=-1))
+    return rows[starts], np.add.reduceat(worth[order], starts)
+
+
+def _rows_of_base(batches):
+    """What all parts say of the rows from one ``_base`` on, sorted by it, to ``_row, _more``."""
+
+    def summed(base: int, held: list[tuple]):
+        rows, more = _summed(*map(np.concatenate, zip(*held)))
+        return pa.RecordBatch.from_arrays([pa.array(base + rows), pa.array(more)], ["_row", "_more"])
+
+    current, held = None, []
+    for batch in batches:
+        for base, rows, worth in zip(*(batch[c].to_pylist() for c in ("_base", "_rows", "_worth"))):
+            if base != current and held:
+                yield summed(current, held)
+                held = []
+            current = base
+            low, high = together(worth).reshape(2, -1)
+            held.append((together(rows), low + (high << 32)))
+    if held:
+        yield summed(current, held)
+
+
 def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, n_tokens, log_likelihood, mean_log_likelihood`` of every document.
 
@@ -323,7 +356,8 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     packed = "_base bigint, _part bigint, _keys binary, _rows binary, _times binary"
     scored = stage(rows.mapInArrow(_scored(model), f"_row bigint, _key {kind}, _n bigint, _score double, {packed}"))
     rare = scored.where("_part IS NOT NULL").select(*PACKED).repartition("_part").sortWithinPartitions("_part")
-    more = rare.mapInArrow(_rare_scores(model.parts), "_row bigint, _more bigint").groupBy("_row").agg(F.sum("_more").alias("_more"))
+    back = rare.mapInArrow(_rare_scores(model.parts), "_base bigint, _rows binary, _worth binary")
+    more = back.repartition("_base").sortWithinPartitions("_base").mapInArrow(_rows_of_base, "_row bigint, _more bigint")
     both = scored.where("_row IS NOT NULL").select("_row", "_key", "_n", "_score").join(more, "_row", "left")
     total = F.col("_score") + F.coalesce("_more", F.lit(0)) / F.lit(float(STEPS))
     return both.select(
