@@ -6,6 +6,7 @@ import time
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +26,8 @@ PAYLOAD_TEXT = ("date", "merchant", "description", "currency")
 # Answers are read as text; these spellings of "suspicious" mean no, as does a missing value.
 FALSE_TEXTS = ("", "false", "0", "0.0", "no", "none", "null", "[]", "{}")
 LOGGED = "payload_hash string, response string"
+# Characters of answers that a task holds before it passes them on.
+HELD_ANSWERS = 1 << 20
 
 
 def assign_batches(df: DataFrame, cfg: LedgerConfig = BATCH, dense: bool = False) -> DataFrame:
@@ -80,9 +83,11 @@ def classify(payloads: DataFrame, classifier: Classifier, cfg: LedgerConfig = BA
     ``classifier_wait`` seconds each. What a batch failed with stays in ``error``, or ends the job,
     by profile. ``classifier_tasks`` bounds how many calls run at a time. A task that is retried
     calls again, so write the result (see ``stage``) before reading it more than once. Other columns
-    pass through.
+    pass through. A task takes one payload at a time and passes its answers on when they are about
+    a megabyte.
     """
     skip, tries, wait = cfg.on_classifier_error == "skip", cfg.classifier_tries, cfg.classifier_wait
+    room = HELD_ANSWERS
 
     def ask(payload: str) -> tuple[str | None, str | None]:
         for call in range(1, tries + 1):
@@ -96,16 +101,23 @@ def classify(payloads: DataFrame, classifier: Classifier, cfg: LedgerConfig = BA
                 else:
                     raise
 
-    def answer(frames):
-        for frame in frames:
-            answers = [ask(p) for p in frame.pop("payload")]
-            yield frame.assign(response=[a for a, _ in answers], error=[e for _, e in answers])
+    def answer(batches):
+        for batch in batches:
+            first, held, answers = 0, 0, []
+            for last, payload in enumerate(batch.columns[-1], 1):
+                answers.append(ask(payload.as_py()))
+                held += sum(len(text) for text in answers[-1] if text)
+                if held >= room or last == len(batch):
+                    texts = [pa.array(column, pa.string(), from_pandas=True) for column in zip(*answers)]
+                    yield pa.RecordBatch.from_arrays([*batch.slice(first, len(answers)).columns[:-1], *texts], names)
+                    first, held, answers = last, 0, []
 
     if cfg.classifier_tasks:
         payloads = payloads.repartition(cfg.classifier_tasks, "batch_id")
     others = [c for c in payloads.columns if c != "payload"]
     schema = T.StructType([payloads.schema[c] for c in others]).add("response", "string").add("error", "string")
-    return payloads.select(*others, "payload").mapInPandas(answer, schema)
+    names = schema.names
+    return payloads.select(*others, "payload").mapInArrow(answer, schema)
 
 
 def logged_responses(payloads: DataFrame, classifier: Classifier, log: str, cfg: LedgerConfig = BATCH) -> DataFrame:

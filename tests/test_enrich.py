@@ -1,3 +1,4 @@
+import datetime as dt
 import json
 import time
 
@@ -188,6 +189,25 @@ def test_the_log_leaves_only_missing_batches_to_ask_for(spark, tmp_path):
     assert predicted(df.limit(0)) == {} and asked() == []
 
 
+def test_a_task_holds_few_answers_at_a_time(spark):
+    def answer(payload):
+        with open("/proc/self/statm") as f:
+            return f"{int(f.read().split()[1]) * 4096 >> 20} ".ljust(100_000, "x")
+
+    batches = spark.range(0, 3000, 1, 1).select(F.col("id").alias("batch_id"), F.lit("[]").alias("payload"))
+    mb = classify(batches, answer).select("batch_id", F.split("response", " ")[0].cast("int").alias("mb"))
+    first, last, n, ids = mb.agg(F.min("mb"), F.max("mb"), F.count("mb"), F.count_distinct("batch_id")).first()
+    assert (n, ids) == (3000, 3000) and last - first < 150
+
+
+def test_classify_passes_other_columns_on(spark):
+    rows = [(1, None, None, [1.5, None], "p"), (None, "b", dt.date(2025, 1, 2), None, None)]
+    df = spark.createDataFrame(rows, "k bigint, t string, d date, a array<double>, payload string")
+    got = classify(df, lambda payload: None if payload is None else payload * 2)
+    assert got.columns == ["k", "t", "d", "a", "response", "error"]
+    assert sorted(map(tuple, got.collect()), key=str) == [(1, None, None, [1.5, None], "pp", None), (None, "b", dt.date(2025, 1, 2), None, None, None)]
+
+
 def test_a_payload_that_two_runs_answered_has_one_answer(spark, tmp_path):
     log = str(tmp_path / "log")
     batches = batch_payloads(ledger(spark, 20), LedgerConfig(batch_size=10))
