@@ -12,6 +12,8 @@ SPLIT = ("_file", "_split")
 # Whole quoted fields of a line, and what ends a field that was open before the line.
 QUOTED = r'(^|,)"[^"]*+(?:""[^"]*+)*+"(?=,|$)'
 CLOSING = r'^[^"]*+(?:""[^"]*+)*+"(?=,|$)'
+# Input splits smaller than this share a task, as far as every core still has some tasks.
+TASK_BYTES, TASKS_PER_CORE = 64 << 20, 4
 
 
 def _left_open(text: Column) -> Column:
@@ -19,6 +21,21 @@ def _left_open(text: Column) -> Column:
     return F.regexp_replace(text, QUOTED, "$1").rlike('(^|,)"')
 
 
+def _shared_tasks(lines: DataFrame, path: str) -> DataFrame:
+    """``lines`` of the text at ``path``, where small input splits are read several to a task.
+
+    A task per split, and a written file per task, cost more than a small split itself. The number of
+    tasks still grows with the bytes.
+    """
+    spark = lines.sparkSession
+    n, least = lines.rdd.getNumPartitions(), TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    if n <= least:
+        return lines
+    size = spark.read.format("binaryFile").load(path).agg(F.sum("length").alias("size")).first()["size"]
+    tasks = max(least, -(-size // TASK_BYTES))
+    return lines.coalesce(tasks) if tasks < n else lines
+
+
 def csv_lines(spark: SparkSession, path: str) -> DataFrame:
     """``_file, _split, _id, value, _opens, _closes``: the lines, written, from one scan of the text.
 
@@ -31,7 +48,7 @@ def csv_lines(spark: SparkSession, path: str) -> DataFrame:
     quotes = value.contains('"')
     flags = {"_opens": quotes & _left_open(value), "_closes": quotes & value.rlike(CLOSING) & ~_left_open(rest)}
     place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split")]
-    lines = spark.read.text(path).select("value", *place).withColumn("_id", F.monotonically_increasing_id())
+    lines = _shared_tasks(spark.read.text(path).select("value", *place), path).withColumn("_id", F.monotonically_increasing_id())
     return stage(lines.withColumns(flags))
 
 

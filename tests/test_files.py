@@ -7,8 +7,9 @@ import pytest
 from tallyloom.config import INTERACTIVE, LedgerConfig
 from tallyloom.operators.clean import clean
 from tallyloom.plans.analysis import analyse, run
-from tallyloom.sources.files import read_clean_ledger, read_ledger, write_csv, write_enriched
+from tallyloom.sources.files import ledger_of_lines, read_clean_ledger, read_ledger, write_csv, write_enriched
 from tallyloom.sources.generate import COLUMNS, generate_ledger, generate_rows, merchant_table
+from tallyloom.sources.records import TASKS_PER_CORE, csv_lines
 from tallyloom.sources.staging import shared_folder, stage
 
 
@@ -75,6 +76,22 @@ def test_line_breaks_across_splits(spark, tmp_path, size):
     assert [(r.row_index, [r.date, r.amount, r.description, r.notes or ""]) for r in got] == list(enumerate(rows))
 
 
+def test_small_splits_share_tasks(spark, tmp_path):
+    rows = [f'2025-01-{i % 28 + 1:02},{i},"row\n{i}"' for i in range(800)]
+    for part in range(2):
+        write(tmp_path / f"p{part}.csv", "\n".join(["date,amount,description", *rows[part * 400 : part * 400 + 400]]) + "\n")
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    try:
+        lines = csv_lines(spark, str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert lines.select("_file", "_split").distinct().count() > 150
+    assert len(lines.inputFiles()) <= TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    got = ledger_of_lines(spark, str(tmp_path), lines).orderBy("row_index").collect()
+    assert [(r.row_index, r.amount, r.description) for r in got] == [(i, str(i), f"row\n{i}") for i in range(800)]
+
+
 def test_quotes_inside_fields_are_text(spark, tmp_path):
     text = 'date,amount,description\n2025-01-01,5,5" pipe\n2025-01-02,6,"a ""b"", c"\n'
     rows = read_ledger(spark, write(tmp_path / "q.csv", text)).orderBy("row_index").collect()
