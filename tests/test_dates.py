@@ -44,6 +44,12 @@ def test_ties_are_refused_and_a_given_list_wins(spark):
     assert read(spark, ["01/01/2024", "02/02/2024"]) == [datetime(2024, 1, 1), datetime(2024, 2, 2)]
 
 
+def test_the_shape_of_more_values_settles_a_tie(spark):
+    assert read(spark, ["1.2.2024", "2024-02-30", "2024-01-02"]) == [None, None, datetime(2024, 1, 2)]
+    with pytest.raises(ValueError, match="equally well"):
+        read(spark, ["1.2.2024", "31.2.2024", "2024-02-30", "2024-01-02"])
+
+
 def test_dates_that_nothing_reads(spark):
     assert read(spark, ["soon", None, ""]) == [None] * 3
     assert clean(ledger(spark, [])).count() == 0
