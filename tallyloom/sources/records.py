@@ -143,10 +143,11 @@ def number_records(rows: DataFrame, columns: list[str], out: str, in_scan_order:
 
     Rows that are still in scan order need no sort: they are written with their place in the
     partition, and a count per split and partition gives where each begins. Rows of assembled
-    records are dealt by ranges of file, split and line.
+    records are written, so that they are not put together again to find ranges, and dealt by ranges
+    of file, split and line.
     """
     if not in_scan_order:
-        rows = rows.repartitionByRange("_file", "_split", "_id").sortWithinPartitions("_file", "_split", "_id")
+        rows = stage(rows).repartitionByRange("_file", "_split", "_id").sortWithinPartitions("_file", "_split", "_id")
     rows = stage(rows.withColumns({"_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id()}))
     by = [*SPLIT, "_part"]
     in_order = Window.orderBy("_file", "_split", "_least")
