@@ -26,6 +26,10 @@ SHARDS = 10
 RUN_WORDS, COUNTED_WORDS, RANGE_WORDS = 3_000_000, 1_500_000, 1_000_000
 # Bits of the filters sent to the tasks: a fixed size, whatever the number of words or phrases.
 WORD_BITS, PHRASE_BITS = 1 << 24, 1 << 26
+# Numbers that tell apart the texts a phrase may be spelled from; they must fit in 16 bits.
+PLACES = 1 << 16
+# Where a place meets the bits of a hash, and which bits of the hash the bitmaps of its owners take.
+PLACE_SHIFT, OWNER_SHIFTS = 10, (0, 26)
 
 
 # --- runs of words ------------------------------------------------------------------------
@@ -36,14 +40,17 @@ class Words:
     """The words of some texts end to end.
 
     ``hashes`` tell words of different languages apart; ``joined`` says whether a word and the
-    one before it stand in the same piece; ``lang`` numbers the entries of ``langs``. The bytes are
-    kept only where phrases are to be spelled.
+    one before it stand in the same piece; ``lang`` numbers the entries of ``langs``. ``place`` is a
+    number below ``PLACES`` taken from the bytes of the text a word stands in, so equal texts have equal
+    places in every pass, however the table is split. The bytes are kept only where phrases are to be
+    spelled.
     """
 
     langs: list[str]
     lang: np.ndarray
     hashes: np.ndarray
     joined: np.ndarray
+    place: np.ndarray
     data: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
@@ -101,16 +108,17 @@ def word_runs(batches: Iterator[pa.RecordBatch], size: int, spelled: bool = Fals
         data, starts, ends, rows, hashes, joined = _read_words(runs)
         lang = np.array(owners, dtype=np.int32)[rows]
         hashes = hashes ^ np.array(seeds, dtype=np.uint64)[lang] if len(lang) else hashes
+        place = np.array([xxhash.xxh64_intdigest(r) % PLACES for r in runs], dtype=np.uint16)[rows]
         if not spelled:
             data, starts, ends = (np.zeros(0, dtype=x.dtype) for x in (data, starts, ends))
-        parts.append((lang, hashes, joined, data, starts + at, ends + at))
+        parts.append((lang, hashes, joined, place, data, starts + at, ends + at))
         at, n = at + len(data), n + len(hashes)
 
     def close():
         nonlocal parts, at, n
         columns = list(zip(*parts))
         parts, at, n = [], 0, 0
-        return Words(list(langs), *[np.concatenate(columns.pop(0)) for _ in range(6)])
+        return Words(list(langs), *[np.concatenate(columns.pop(0)) for _ in range(7)])
 
     runs, owners, held = [], [], 0
     for batch in (part for whole in batches for part in slices(whole, "_text")):
@@ -197,23 +205,24 @@ def _texts(docs: DataFrame, text: str, lang: str) -> DataFrame:
 
 
 def _word_counts(texts: DataFrame, size: int) -> DataFrame:
-    """``lang, h, f``: the words of every run with their counts there."""
+    """``lang, h, f, place``: the words of every run with their counts and a place there."""
 
     def run(batches):
         for held in word_runs(batches, size):
             for some, codes, n in counted(held.hashes):
                 first = some[np.unique(codes, return_index=True)[1]]
                 langs = held.lang_names(first)
-                yield pa.RecordBatch.from_arrays([langs, pa.array(held.hashes[first].view(np.int64)), pa.array(n)], ["lang", "h", "f"])
+                columns = [langs, pa.array(held.hashes[first].view(np.int64)), pa.array(n), pa.array(held.place[first].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "h", "f", "place"])
 
-    return texts.mapInArrow(run, "lang string, h bigint, f bigint")
+    return texts.mapInArrow(run, "lang string, h bigint, f bigint, place int")
 
 
 def _locally_frequent(texts: DataFrame, filters: list[Bits], most: int, support: int, shards: int, size: int) -> DataFrame:
-    """``h``: the hashes of the phrases that reach their share of the support in some shard.
+    """``h, f, place``: the phrases that reach the support, among those that reach their share in some shard.
 
-    Of their union, those go that cannot reach the support even with one occurrence less than its
-    share in each of the other shards.
+    The shards have counted all their phrases, so the sum over all shards is the exact count of a
+    phrase of their union. ``place`` is that of a text that holds the phrase.
 
     A shard is every ``shards``-th partition of ``texts``. A task counts its part of the shard in the
     runs of words that it holds at a time, and the counts are added up by shard and hash. ``filters``
@@ -228,36 +237,56 @@ def _locally_frequent(texts: DataFrame, filters: list[Bits], most: int, support:
             return filters[k - 1].has(value) if k <= known else np.ones(len(at), dtype=bool)
 
         for held in word_runs(batches, size):
-            for k, _, value in levels(held, most, keep):
+            for k, at, value in levels(held, most, keep):
                 if k <= known:
                     continue
                 for some, codes, n in counted(value):
-                    _, first = np.unique(codes, return_index=True)
-                    columns = [pa.array(np.full(len(n), shard_number, dtype=np.int32)), pa.array(value[some[first]].view(np.int64)), pa.array(n)]
-                    yield pa.RecordBatch.from_arrays(columns, ["shard", "h", "c"])
+                    first = some[np.unique(codes, return_index=True)[1]]
+                    places = held.place[at[first]].astype(np.int32)
+                    columns = [np.full(len(n), shard_number, dtype=np.int32), value[first].view(np.int64), n, places]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shard", "h", "c", "place"])
 
     # Counts are combined in the task already, so they are not combined again before the shuffle.
-    found = texts.mapInArrow(run, "shard int, h bigint, c bigint").repartition("h").groupBy("shard", "h").agg(F.sum("c").alias("c"))
-    local = local_support(support, shards)
-    united = found.where(F.col("c") >= local).groupBy("h").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n"))
-    return united.where(F.col("c") + (shards - F.col("n")) * (local - 1) >= support).select("h")
+    found = texts.mapInArrow(run, "shard int, h bigint, c bigint, place int").repartition("h").groupBy("shard", "h")
+    found = found.agg(F.sum("c").alias("c"), F.min("place").alias("place"))
+    united = found.groupBy("h").agg(F.max("c").alias("most"), F.sum("c").alias("f"), F.min("place").alias("place"))
+    reached = (F.col("most") >= local_support(support, shards)) & (F.col("f") >= support)
+    return united.where(reached).select("h", "f", "place")
 
 
-def _count_candidates(texts: DataFrame, candidates: Bits, most: int, size: int) -> DataFrame:
-    """``lang, phrase, k, f``: how often each candidate occurs in each run."""
+def _owners(phrases: DataFrame) -> list[Bits]:
+    """The pairs of a phrase's hash and its place, as two bitmaps of different bits of the hash."""
+    place = F.shiftleft(F.col("place").cast("bigint"), PLACE_SHIFT)
+    return [bitmap(phrases.select(F.shiftright("h", by).bitwiseXOR(place).alias("h")), "h", PHRASE_BITS) for by in OWNER_SHIFTS]
+
+
+def _owned(owners: list[Bits], value: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Whether each phrase is to be spelled from the text it stands in; a few more than its own may pass."""
+    some, moved = np.arange(len(value)), place.astype(np.uint64) << np.uint64(PLACE_SHIFT)
+    for by, bits in zip(OWNER_SHIFTS, owners):
+        some = some[bits.has(value[some] >> np.uint64(by) ^ moved[some])]
+    return some
+
+
+def _spelled(texts: DataFrame, candidates: Bits, owners: list[Bits], most: int, size: int) -> DataFrame:
+    """``h, lang, k, phrase``: the candidates, each read from the texts at its place.
+
+    A phrase is in many runs, but only those runs spell it that have a text of its place, so the rows
+    are about as many as the phrases, whatever the number of runs.
+    """
 
     def run(batches):
         for held in word_runs(batches, size, spelled=True):
             for k, at, value in levels(held, most, lambda k, at, value: candidates.has(value)):
-                for some, codes, n in counted(value):
-                    first = at[some[np.unique(codes, return_index=True)[1]]]
-                    for cut in range(0, len(first), 1 << 16):
-                        own = first[cut : cut + (1 << 16)]
-                        langs = held.lang_names(own)
-                        columns = [langs, held.texts(own, k), pa.array(np.full(len(own), k, dtype=np.int32)), pa.array(n[cut : cut + (1 << 16)])]
-                        yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "k", "f"])
+                own = _owned(owners, value, held.place[at])
+                own = own[np.unique(value[own], return_index=True)[1]]
+                for cut in range(0, len(own), 1 << 16):
+                    some = own[cut : cut + (1 << 16)]
+                    langs, texts_of = held.lang_names(at[some]), held.texts(at[some], k)
+                    columns = [pa.array(value[some].view(np.int64)), langs, pa.array(np.full(len(some), k, dtype=np.int32)), texts_of]
+                    yield pa.RecordBatch.from_arrays(columns, ["h", "lang", "k", "phrase"])
 
-    return texts.mapInArrow(run, "lang string, phrase string, k int, f bigint")
+    return texts.mapInArrow(run, "h bigint, lang string, k int, phrase string")
 
 
 def frequent_phrases(
@@ -277,24 +306,28 @@ def frequent_phrases(
     words at a time, and their counts meet by shard and phrase. The number of shards is fixed, so that
     the local support, and the part of all phrases that reach it, do not change with the size of the
     table. The union of what is frequent in some shard holds every phrase that is frequent
-    overall, and a last pass counts all of it exactly.
+    overall; its exact counts are the sums over all shards, each of which has counted all its phrases.
+    A last pass spells every phrase that reaches the support, from one of the texts that hold it.
 
-    Words, pairs and candidates reach the tasks as bitmaps of fixed size, which can only let in more.
-    Words are compared by 64-bit hashes inside a run of words and by their text between runs.
+    Words, pairs, candidates and the texts to spell them from reach the tasks as bitmaps of fixed size,
+    which can only let in more. Words and phrases are told apart by 64-bit hashes.
     """
     texts = _texts(docs, text, lang)
     counted_words = min(run_words, COUNTED_WORDS)
-    once = stage(_word_counts(texts, counted_words).groupBy("lang", "h").agg(F.sum("f").alias("f")))
+    once = _word_counts(texts, counted_words).groupBy("lang", "h").agg(F.sum("f").alias("f"), F.min("place").alias("place"))
+    once = stage(once)
     totals = stage(once.groupBy("lang").agg(F.sum("f").alias("n")))
-    often = once.where(F.col("f") >= support).select("h")
-    filters, candidates = [bitmap(often, "h", WORD_BITS)], often
+    counts = once.where(F.col("f") >= support).select("h", "f", "place")
+    filters = [bitmap(counts, "h", WORD_BITS)]
     for longest in sorted({min(2, most), most} - {1}):
         mined = stage(_locally_frequent(texts, filters, longest, support, shards, run_words))
         filters.append(bitmap(mined, "h", PHRASE_BITS))
-        candidates = candidates.union(mined)
-    found = _count_candidates(texts, bitmap(candidates, "h", PHRASE_BITS), most, counted_words)
-    found = found.groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f"))
-    return stage(found.where(F.col("f") >= support)), totals
+        counts = counts.union(mined)
+    spelled = _spelled(texts, bitmap(counts, "h", PHRASE_BITS), _owners(counts), most, counted_words)
+    # Texts of one place, such as copies, may spell a phrase in several runs.
+    spelled = spelled.groupBy("h").agg(F.min(F.struct("lang", "k", "phrase")).alias("_own"))
+    found = spelled.join(counts.select("h", "f"), "h").select("_own.lang", "_own.phrase", "_own.k", "f")
+    return stage(found), totals
 
 
 # --- scores ---------------------------------------------------------------------------------

@@ -61,6 +61,35 @@ def test_collocations_of_shards_in_small_runs(spark):
     assert mined(docs, support=5, top=50) == expected
 
 
+def test_spelled_phrases_do_not_grow_with_the_runs(spark, monkeypatch):
+    """The pass that spells phrases makes about a row a phrase, in however many runs each is met."""
+    made = spark.sparkContext.accumulator(0)
+    frame = type(spark.range(1))
+    map_in_arrow = frame.mapInArrow
+
+    def counting(self, function, schema, *args, **kw):
+        def run(batches):
+            for batch in function(batches):
+                made.add(batch.num_rows)
+                yield batch
+
+        return map_in_arrow(self, run if "phrase" in schema else function, schema, *args, **kw)
+
+    monkeypatch.setattr(frame, "mapInArrow", counting)
+    # Every text is another order of the same five sentences: all runs meet all phrases.
+    parts = ["a b c d e", "f g h i", "new york city", "the end", "x"]
+    rows = [(". ".join([*parts[i % 5 :], *parts[: i % 5], f"text {i}"]), "en") for i in range(60)]
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(6)
+    found, _ = phrases.frequent_phrases(docs, support=20, shards=3, run_words=30)
+    brute = collections.Counter()
+    for text, _ in rows:
+        for w in (piece.split() for piece in text.split(". ")):
+            brute.update((" ".join(w[i : i + k]), k) for k in range(1, 6) for i in range(len(w) - k + 1))
+    expected = {(p, k, f) for (p, k), f in brute.items() if f >= 20}
+    assert {(r.phrase, r.k, r.f) for r in found.collect()} == expected
+    assert len(expected) <= made.value <= 2 * len(expected)
+
+
 def test_collocations_of_odd_rows(spark):
     long = "A b\tc d e f. " * 300 + "é a" * 5
     rows = [(1, None, "en"), (1, "", None), (None, "New York, new york. NEW\nYORK new york " * 3, None), (2, "new york", "und"), (2, "new york", "und"),
