@@ -20,10 +20,12 @@ from tallyloom.sources.staging import stage
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 INSIDE = np.array([b not in BREAKS + b"\x20\x09" for b in range(256)])
 IS_BREAK = np.array([b in BREAKS for b in range(256)])
-SLICE = 1 << 20
+# Bytes of text that a task reads into words at a time.
+SLICE = 1 << 18
 SHARDS = 10
-# Words that a task holds at a time to mine, to spell phrases, and to hash or count.
-RUN_WORDS, COUNTED_WORDS, RANGE_WORDS = 3_000_000, 1_500_000, 1_000_000
+# Words that a task holds at a time to mine, to count words, to spell phrases with their bytes, and to
+# hash, look up or count in a span: whatever takes more than the words themselves is made for a span.
+RUN_WORDS, COUNTED_WORDS, SPELLED_WORDS, RANGE_WORDS = 3_000_000, 1_500_000, 600_000, 1 << 18
 # Bits of the filters sent to the tasks: a fixed size, whatever the number of words or phrases.
 WORD_BITS, PHRASE_BITS = 1 << 24, 1 << 26
 # Numbers that tell apart the texts a phrase may be spelled from; they must fit in 16 bits.
@@ -91,7 +93,7 @@ def _pieces(body: bytes) -> Iterator[bytes]:
 def _read_words(runs: list[bytes]):
     raw = np.frombuffer(b"".join(runs), dtype=np.uint8)
     offsets = np.concatenate([[0], np.cumsum([len(r) for r in runs])])
-    starts, ends, rows, hashes = words(raw, offsets, INSIDE)
+    starts, ends, rows, hashes = words(raw, offsets, INSIDE, 2 * SLICE)
     breaks = np.concatenate([[0], np.cumsum(IS_BREAK[raw])])[starts]
     joined = np.zeros(len(starts), dtype=bool)
     joined[1:] = (breaks[1:] == breaks[:-1]) & (rows[1:] == rows[:-1])
@@ -127,14 +129,14 @@ def word_runs(batches: Iterator[pa.RecordBatch], size: int, spelled: bool = Fals
                 langs[lang] = len(langs)
                 seeds.append(xxhash.xxh64_intdigest(lang.encode()))
             for run in _pieces((text or "").encode()):
-                runs.append(run)
-                owners.append(langs[lang])
-                held += len(run)
-                if held >= SLICE:
+                if runs and held + len(run) > SLICE:
                     read(runs, owners)
                     runs, owners, held = [], [], 0
                     if n >= size:
                         yield close()
+                runs.append(run)
+                owners.append(langs[lang])
+                held += len(run)
     if runs:
         read(runs, owners)
     if parts:
@@ -146,46 +148,56 @@ def word_runs(batches: Iterator[pa.RecordBatch], size: int, spelled: bool = Fals
 Keep = Callable[[int, np.ndarray, np.ndarray], np.ndarray]
 
 
+def _spans(n: int) -> Iterator[slice]:
+    for a in range(0, n, RANGE_WORDS):
+        yield slice(a, a + RANGE_WORDS)
+
+
 def levels(held: Words, most: int, keep: Keep) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For ``k`` = 1 to ``most``, the places and hashes of the phrases that ``keep`` keeps.
 
-    ``keep(k, places, hashes)`` is a mask. A phrase is looked at only if both phrases one word
-    shorter inside it were kept, which holds for every phrase as frequent as they have to be.
+    ``keep(k, places, hashes)`` is a mask, asked for a span of the places at a time. A phrase is looked
+    at only if both phrases one word shorter inside it were kept, which holds for every phrase as
+    frequent as they have to be. Let go of what is yielded before the next: it is as large as the words.
     """
     at, value = np.arange(len(held.hashes), dtype=np.int32), held.hashes
     for k in range(1, most + 1):
-        mask = keep(k, at, value)
-        at, value = at[mask], value[mask]
+        mask = np.zeros(len(at), dtype=bool)
+        for some in _spans(len(at)):
+            mask[some] = keep(k, at[some], value[some])
+        at = at[mask]
+        value = value[mask]
         if not len(at):
             return
         yield k, at, value
         kept = np.zeros(len(held.hashes) + 1, dtype=bool)
         kept[at] = True
-        more = kept[at + 1]
         if k == 1:
-            more &= np.append(held.joined, False)[at + 1]
-        at, value = at[more], value[more]
-        for a in range(0, len(at), RANGE_WORDS):
-            some = slice(a, a + RANGE_WORDS)
+            kept[:-1] &= held.joined
+        more = kept[1:][at]
+        at = at[more]
+        value = value[more]
+        for some in _spans(len(at)):
             value[some] = mix(value[some] * np.uint64(BASE) + held.hashes[at[some] + k])
 
 
 def _ranges(values: np.ndarray) -> Iterator[np.ndarray]:
     """Places of the values, in ranges of the values' low bits, so that a range is counted in little memory."""
-    n = max(1, -(-len(values) // RANGE_WORDS))
-    if n == 1:
-        yield np.arange(len(values))
-        return
-    part = (values & np.uint64(0xFFFF)).astype(np.uint32) * n >> 16
+    n = min(max(1, -(-len(values) // RANGE_WORDS)), 1 << 16)
+    part = np.zeros(len(values), dtype=np.uint16)
+    for some in _spans(len(values)):
+        part[some] = (values[some] & np.uint64(0xFFFF)) * np.uint64(n) >> np.uint64(16)
     for i in range(n):
         yield np.flatnonzero(part == i)
 
 
-def counted(values: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """In ranges: places, the number of each place's distinct value, and how often each occurs."""
+def counted(values: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """In ranges: a place of each distinct value, and how often it occurs."""
     for some in _ranges(values):
         codes, distinct = pd.factorize(values[some])
-        yield some, codes, np.bincount(codes, minlength=len(distinct))
+        place = np.zeros(len(distinct), dtype=np.int64)
+        place[codes] = some
+        yield place, np.bincount(codes, minlength=len(distinct))
 
 
 def local_support(support: int, shards: int) -> int:
@@ -209,11 +221,11 @@ def _word_counts(texts: DataFrame, size: int) -> DataFrame:
 
     def run(batches):
         for held in word_runs(batches, size):
-            for some, codes, n in counted(held.hashes):
-                first = some[np.unique(codes, return_index=True)[1]]
-                langs = held.lang_names(first)
-                columns = [langs, pa.array(held.hashes[first].view(np.int64)), pa.array(n), pa.array(held.place[first].astype(np.int32))]
+            for some, n in counted(held.hashes):
+                langs = held.lang_names(some)
+                columns = [langs, pa.array(held.hashes[some].view(np.int64)), pa.array(n), pa.array(held.place[some].astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, ["lang", "h", "f", "place"])
+            del held
 
     return texts.mapInArrow(run, "lang string, h bigint, f bigint, place int")
 
@@ -238,12 +250,11 @@ def _locally_frequent(texts: DataFrame, filters: list[Bits], most: int, support:
 
         for held in word_runs(batches, size):
             for k, at, value in levels(held, most, keep):
-                if k <= known:
-                    continue
-                for some, codes, n in counted(value):
-                    first = some[np.unique(codes, return_index=True)[1]]
-                    mark = n << 32 | shard_number | held.place[at[first]]
-                    yield pa.RecordBatch.from_arrays([pa.array(value[first].view(np.int64)), pa.array(mark)], ["h", "mark"])
+                for some, n in counted(value) if k > known else ():
+                    mark = n << 32 | shard_number | held.place[at[some]]
+                    yield pa.RecordBatch.from_arrays([pa.array(value[some].view(np.int64)), pa.array(mark)], ["h", "mark"])
+                del at, value
+            del held
 
     # Counts are combined in the task already, so they are not combined again before the shuffle. A
     # count, its shard and its place travel as one number, which makes the shuffle smaller.
@@ -280,13 +291,15 @@ def _spelled(texts: DataFrame, candidates: Bits, owners: list[Bits], most: int,
     def run(batches):
         for held in word_runs(batches, size, spelled=True):
             for k, at, value in levels(held, most, lambda k, at, value: candidates.has(value)):
-                own = _owned(owners, value, held.place[at])
+                own = np.concatenate([_owned(owners, value[some], held.place[at[some]]) + some.start for some in _spans(len(at))])
                 own = own[np.unique(value[own], return_index=True)[1]]
                 for cut in range(0, len(own), 1 << 16):
                     some = own[cut : cut + (1 << 16)]
                     langs, texts_of = held.lang_names(at[some]), held.texts(at[some], k)
                     columns = [pa.array(value[some].view(np.int64)), langs, pa.array(np.full(len(some), k, dtype=np.int32)), texts_of]
                     yield pa.RecordBatch.from_arrays(columns, ["h", "lang", "k", "phrase"])
+                del at, value
+            del held
 
     return texts.mapInArrow(run, "h bigint, lang string, k int, phrase string")
 
@@ -315,8 +328,7 @@ def frequent_phrases(
     which can only let in more. Words and phrases are told apart by 64-bit hashes.
     """
     texts = _texts(docs, text, lang)
-    counted_words = min(run_words, COUNTED_WORDS)
-    once = _word_counts(texts, counted_words).groupBy("lang", "h").agg(F.sum("f").alias("f"), F.min("place").alias("place"))
+    once = _word_counts(texts, min(run_words, COUNTED_WORDS)).groupBy("lang", "h").agg(F.sum("f").alias("f"), F.min("place").alias("place"))
     once = stage(once)
     totals = stage(once.groupBy("lang").agg(F.sum("f").alias("n")))
     counts = once.where(F.col("f") >= support).select("h", "f", "place")
@@ -325,7 +337,7 @@ def frequent_phrases(
         mined = stage(_locally_frequent(texts, filters, longest, support, shards, run_words))
         filters.append(bitmap(mined, "h", PHRASE_BITS))
         counts = counts.union(mined)
-    spelled = _spelled(texts, bitmap(counts, "h", PHRASE_BITS), _owners(counts), most, counted_words)
+    spelled = _spelled(texts, bitmap(counts, "h", PHRASE_BITS), _owners(counts), most, min(run_words, SPELLED_WORDS))
     # Texts of one place, such as copies, may spell a phrase in several runs.
     spelled = spelled.groupBy("h").agg(F.min(F.struct("lang", "k", "phrase")).alias("_own"))
     found = spelled.join(counts.select("h", "f"), "h").select("_own.lang", "_own.phrase", "_own.k", "f")

@@ -12,6 +12,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 21
+# Bytes whose powers are kept between calls, at least.
+ROOM = 1 << 22
 MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -70,11 +72,12 @@ def slices(batch: pa.RecordBatch, text: str, room: int = SLICE_BYTES) -> Iterato
         yield batch.slice(a, b - a)
 
 
-def words(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray):
+def words(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray, least: int = ROOM):
     """Starts, ends, row and 64-bit hash of every word of lower-cased texts laid end to end.
 
     The hash is a polynomial over the bytes taken from one running sum, so it costs a few vector
-    operations per byte and no Python object per word.
+    operations per byte and no Python object per word. Its two tables of powers stay for later calls, 16
+    bytes for each byte of the longest ``data``; ``least``, a power of two, keeps them at one size.
     """
     n = len(data)
     none = np.zeros(0, dtype=np.int64)
@@ -92,7 +95,7 @@ def words(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray):
     after[-1] = False
     after[:-1] = inside[1:]
     ends = np.flatnonzero(inside & (~after | first[1:])) + 1
-    room = 1 << max(22, (n + 1).bit_length())
+    room = max(least, 1 << (n + 1).bit_length())
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(_letters()[data] * _powers(BASE, room)[:n], out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * _powers(INVERSE, room)[starts])

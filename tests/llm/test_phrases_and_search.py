@@ -3,6 +3,8 @@
 import collections
 import math
 import re
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -121,6 +123,29 @@ def test_words_of_a_huge_text_are_cut_where_pieces_end(monkeypatch):
     assert whole == [[" ".join(p[i : i + k]) for p in pieces for i in range(len(p) - k + 1)] for k in range(1, 6)]
 
 
+@pytest.mark.parametrize("step", ["mine", "spell"])
+def test_memory_of_a_task_by_words_held(spark, monkeypatch, step):
+    """Next to its words a task holds one level of phrases; what is looked up or counted comes in spans."""
+    held = 1 << 20
+    numbers = np.random.default_rng(3).integers(0, 5000, (600, held // 200))
+    column = pa.array([" ".join(f"w{i}" for i in row) for row in numbers])
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * len(column)), column], ["_lang", "_text"])
+    monkeypatch.setattr(phrases, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    tasks = []
+    texts = SimpleNamespace(mapInArrow=lambda run, schema: (tasks.append(run), spark.range(0).selectExpr("id h", "id mark"))[1])
+    bits = phrases.Bits(np.full(1, -1).view(np.uint64), 64)
+    if step == "mine":
+        phrases._locally_frequent(texts, [bits], 5, 100, 3, held)
+    else:
+        phrases._spelled(texts, bits, [phrases.Bits(np.zeros(1, dtype=np.uint64), 64), bits], 5, held)
+    collections.deque(tasks[0](iter([batch.slice(0, 5)])), 0)  # what stays, like imports, is not counted
+    tracemalloc.start()
+    made = sum(part.num_rows for part in tasks[0](iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert bool(made) == (step == "mine") and peak < 80 * held
+
+
 # --- vectors --------------------------------------------------------------------------------
 
 
