@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType
 
 from tallyloom.functions.values import named
-from tallyloom.llm.words import BLANKS, LOWER, fresh
+from tallyloom.llm.words import BLANKS, LOWER, fresh, lean_slices
 from tallyloom.sources.staging import shared_folder, stage
 
 FANOUT = 3
@@ -107,7 +107,7 @@ class LineRuns:
 
 def _line_rows(min_chars: int, kind: str):
     def run(batches):
-        for batch in batches:
+        for batch in lean_slices(batches, "_text"):
             ids, keys = [], []
             for i, text in enumerate(batch["_text"].to_pylist()):
                 found = {line_key(line, min_chars) for line in (text or "").encode().split(b"\n")} - {None}
@@ -157,7 +157,7 @@ def shared_lines(
 
 def _drop_rows(text: str, drop: str, counts: tuple[str, str], min_chars: int):
     def run(batches):
-        for batch in batches:
+        for batch in lean_slices(batches, text):
             kept, total, dropped = [], [], []
             for value, gone in zip(batch[text].to_pylist(), batch[drop].to_pylist()):
                 lines = (value or "").encode().split(b"\n")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.values import named
 from tallyloom.llm.components import components
-from tallyloom.llm.words import LOWER, block_choices, fresh, mix
+from tallyloom.llm.words import LOWER, block_choices, fresh, lean_slices, mix
 from tallyloom.sources.staging import stage
 
 SHARD = 4096
@@ -86,7 +86,7 @@ def fingerprints(
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in lean_slices(batches, "_text"):
             found = [fingerprint((t or "").encode(), shingle, bits, bands) for t in batch["_text"].to_pylist()]
             columns = [batch["_key"], pa.array([f for f, _ in found], pa.binary())]
             if bands:

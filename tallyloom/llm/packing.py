@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm.ranks import numbered
-from tallyloom.llm.words import slices
+from tallyloom.llm.words import lean_slices
 from tallyloom.sources.staging import stage
 
 LENGTH = 2048
 GRID, SLACK = 8, 0.02
 CACHE = 300_000
+CACHE_BYTES = 1 << 26
 AT_ONCE = 2000
 SLICE = 1 << 22
 MARKS = (".", ",", "|")
@@ -41,9 +42,13 @@ class ChunkEncoder:
 
     The tokenizer turns runs of blanks into one, and no token spans a blank, so a text's ids are
     its chunks' ids in a row. Arrow finds the distinct chunks of a slice, and a letter word is
-    taken apart from the mark after it; only what two generations of a bounded cache do not hold
-    goes to the tokenizer, and arrays put the ids together. Texts with characters on whose
-    blankness two libraries differ, or with the text of a special token, are encoded whole.
+    taken apart from the mark after it; only what a bounded table does not hold goes to the
+    tokenizer, and arrays put the ids together. Texts with characters on whose blankness two
+    libraries differ, or with the text of a special token, are encoded whole.
+
+    The table has words, their ids end to end, how many ids each has and whether it was used since
+    the table was last cleared of unused ones. It is Arrow and numpy arrays, about 30 bytes a word
+    where Python objects take 150: a worker keeps it from task to task.
     """
 
     def __init__(self, path: str):
@@ -56,42 +61,57 @@ class ChunkEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends_word[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.words, self.ids = pa.array([], pa.string()), np.zeros(0, dtype="<u4")
+        self.n, self.used = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=bool)
 
     def _ids(self, text: str) -> np.ndarray:
         # The fast call leaves out offsets, which nobody reads here.
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def _encode_new(self, chunks: list[str]) -> None:
-        """Learn chunks together, in one call for many."""
+    def _encode_new(self, chunks: list[str]) -> list[bytes]:
+        """The ids of every chunk, encoded together, in one call for many."""
+        found: dict[str, bytes] = {}
         words = [c for c in chunks if c.isalpha()]
         others = [c for c in chunks if not c.isalpha()]
         for some in (words[at : at + AT_ONCE] for at in range(0, len(words), AT_ONCE)):
             ids = self._ids(" ".join(some))
             ends = np.flatnonzero(self.ends_word[ids]) + 1
             if len(ends) == len(some):
-                self._keep(some, ids, [0, *ends[:-1].tolist()], ends.tolist())
+                self._keep(found, some, ids, [0, *ends[:-1].tolist()], ends.tolist())
             else:  # a word that the tokenizer takes for several
                 others += some
         for some in (others[at : at + AT_ONCE] for at in range(0, len(others), AT_ONCE)):
             ids = self._ids(self.separator.join(some))
             cuts = np.flatnonzero(ids == self.separator_id)
-            self._keep(some, ids, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)])
+            self._keep(found, some, ids, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)])
+        return list(map(found.__getitem__, chunks))
 
-    def _keep(self, chunks: list[str], ids: np.ndarray, starts: list[int], ends: list[int]) -> None:
+    @staticmethod
+    def _keep(found: dict[str, bytes], chunks: list[str], ids: np.ndarray, starts: list[int], ends: list[int]) -> None:
         raw = ids.tobytes()
         for chunk, a, b in zip(chunks, starts, ends):
-            self.young[chunk] = raw[4 * a : 4 * b]
-
-    def _learned(self, chunks: list[str]) -> list[bytes]:
-        if len(self.young) > CACHE:
-            self.old, self.young = self.young, {}
-        unknown = set(chunks).difference(self.young)
-        known = unknown.intersection(self.old)
-        self.young.update((c, self.old[c]) for c in known)
-        self._encode_new(list(unknown - known))
-        return list(map(self.young.__getitem__, chunks))
+            found[chunk] = raw[4 * a : 4 * b]
+
+    def _forget(self) -> None:
+        """Leave out the words that were not used since the last time."""
+        stay = np.flatnonzero(self.used)
+        self.ids = _laid_out(self.ids, (np.cumsum(self.n) - self.n)[stay], self.n[stay])
+        self.words, self.n, self.used = self.words.take(pa.array(stay)), self.n[stay], np.zeros(len(stay), dtype=bool)
+
+    def _learned(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """For every chunk where its ids start in ``ids`` and how many it has; unknown ones are learned."""
+        if np.count_nonzero(self.used) > CACHE or self.words.nbytes > CACHE_BYTES:
+            self._forget()
+        place = pc.index_in(chunks, value_set=self.words)
+        new = chunks.filter(place.is_null()).unique()
+        place = pc.coalesce(place, pc.add(pc.index_in(chunks, value_set=new), len(self.words))).to_numpy()
+        coded = self._encode_new(new.to_pylist())
+        self.words = pa.concat_arrays([self.words, new])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(coded), dtype="<u4")])
+        self.n = np.concatenate([self.n, np.fromiter(map(len, coded), dtype=np.int32, count=len(coded)) // 4])
+        self.used = np.concatenate([self.used, np.ones(len(coded), dtype=bool)])
+        self.used[place] = True
+        return (np.cumsum(self.n) - self.n)[place], self.n[place].astype(np.int64)
 
     @staticmethod
     def _parts(chunks: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -115,11 +135,10 @@ class ChunkEncoder:
         chunks = lists.flatten().dictionary_encode()
         words, mark = self._parts(chunks.dictionary)
         words = words.dictionary_encode()
-        coded = self._learned([*words.dictionary.to_pylist(), "", *MARKS])
-        n = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded)) // 4
+        starts, n = self._learned(pa.concat_arrays([words.dictionary, pa.array(["", *MARKS])]))
         # Ids of every distinct chunk: those of its word, then those of its mark or of nothing.
         pairs = np.stack([words.indices.to_numpy().astype(np.int64), len(words.dictionary) + mark], axis=1).ravel()
-        ids = _laid_out(np.frombuffer(b"".join(coded), dtype="<u4"), (np.cumsum(n) - n)[pairs], n[pairs])
+        ids = _laid_out(self.ids, starts[pairs], n[pairs])
         n = n[pairs].reshape(-1, 2).sum(axis=1)
         codes = chunks.indices.to_numpy()
         ends = np.concatenate([[0], np.cumsum(n[codes])])
@@ -169,19 +188,18 @@ def token_pieces(docs: DataFrame, key: str, text: str, tokenizer: str, end_id: i
 
     def run(batches):
         encoder = _encoder(tokenizer)
-        for batch in batches:
-            for part in slices(batch, "_text", SLICE):
-                alone = len(part) == 1
-                ids, n = encoder.encode_long(part["_text"][0].as_py() or "") if alone else encoder.encode(part["_text"])
-                ids, n = np.insert(ids, np.cumsum(n), end_id), n + 1
-                pieces = -(-n // length)
-                at = np.repeat(np.arange(len(n)), pieces)
-                start = (np.arange(len(at)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * length
-                size = np.minimum(length, n[at] - start)
-                edges = np.concatenate([[0], 4 * np.cumsum(size)]).astype(np.int32)
-                raw = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(edges), pa.py_buffer(ids)])
-                columns = [part["_key"].take(pa.array(at)), *map(pa.array, (start, size, n[at])), raw]
-                yield pa.RecordBatch.from_arrays(columns, ["_key", "_start", "_length", "_tokens", "_ids"])
+        for part in lean_slices(batches, "_text", SLICE):
+            alone = len(part) == 1
+            ids, n = encoder.encode_long(part["_text"][0].as_py() or "") if alone else encoder.encode(part["_text"])
+            ids, n = np.insert(ids, np.cumsum(n), end_id), n + 1
+            pieces = -(-n // length)
+            at = np.repeat(np.arange(len(n)), pieces)
+            start = (np.arange(len(at)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * length
+            size = np.minimum(length, n[at] - start)
+            edges = np.concatenate([[0], 4 * np.cumsum(size)]).astype(np.int32)
+            raw = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(edges), pa.py_buffer(ids)])
+            columns = [part["_key"].take(pa.array(at)), *map(pa.array, (start, size, n[at])), raw]
+            yield pa.RecordBatch.from_arrays(columns, ["_key", "_start", "_length", "_tokens", "_ids"])
 
     rows = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
     return rows.mapInArrow(run, f"_key {kind}, _start bigint, _length bigint, _tokens bigint, _ids binary")

@@ -72,6 +72,16 @@ def slices(batch: pa.RecordBatch, text: str, room: int = SLICE_BYTES) -> Iterato
         yield batch.slice(a, b - a)
 
 
+def lean_slices(batches: Iterator[pa.RecordBatch], text: str, room: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """``slices`` of every batch; what Arrow holds unused goes back to the system after each batch.
+
+    A Python worker outlives its tasks, and what it keeps is missing in later stages.
+    """
+    for batch in batches:
+        yield from slices(batch, text, room)
+        pa.default_memory_pool().release_unused()
+
+
 def words(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray, least: int = ROOM):
     """Starts, ends, row and 64-bit hash of every word of lower-cased texts laid end to end.
 

@@ -5,9 +5,11 @@ import hashlib
 import random
 import re
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from oracle_check import connect, difference
@@ -219,6 +221,38 @@ def checked(rows, texts):
     return len(sequences) * 2048 / max(1, sum(r.length for r in rows)) - 1
 
 
+def test_encoder_table(monkeypatch):
+    rng = random.Random(5)
+    made = list({"".join(rng.choices("abcdefghij", k=8)) for _ in range(60_000)})
+    encoder = packing.ChunkEncoder(WORDS)
+    encoder.encode(pa.array([" ".join(made[:100])]))
+    before = pa.total_allocated_bytes()
+    tracemalloc.start()
+    for i in range(0, len(made), 5000):
+        encoder.encode(pa.array([" ".join(made[i : i + 5000])]))
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    assert held < 70 * len(made)
+    # Words that the table has forgotten, or learns anew, have the same ids.
+    monkeypatch.setattr(packing, "CACHE", 50)
+    encoder = packing.ChunkEncoder(WORDS)
+    for _ in range(60):
+        text = " ".join(rng.choice(made[:300]) + rng.choice(["", ".", ",", " .", "|", "x.", "\u00e9,"]) for _ in range(40))
+        ids, n = encoder.encode(pa.array([text, None, ""]))
+        assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids and n.tolist() == [len(ids), 0, 0]
+    assert len(encoder.words) < 300
+
+
+def test_rows_leave_tasks_in_parts():
+    batch = pa.RecordBatch.from_pydict({"_doc": [1, 2, 3, 4], "_text": ["a line of text that is long enough to count\n" * 30_000] * 4})
+    run, _ = line_dedup._line_rows(40, "bigint")
+    assert [x["_doc"].to_pylist() for x in run(iter([batch]))] == [[1, 2], [3, 4]]
+    run = line_dedup._drop_rows("_text", "drop", ("lines", "dropped"), 40)
+    drop = pa.array([None] * 4, pa.list_(pa.binary()))
+    got = list(run(iter([batch.append_column("drop", drop)])))
+    assert [len(x) for x in got] == [2, 2] and pa.Table.from_batches(got)["_text"].to_pylist() == batch["_text"].to_pylist()
+
+
 def test_packing(spark, texts, odd, empty):
     assert checked(QUERIES["op4_packing"](spark, SF).collect(), texts) < 0.02
     named = {r[0]: r[1] for r in ROWS}
